@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,3 +50,8 @@ def word_array(c: Column) -> Column:
 def id_remainder(c: Column, mod: int) -> Column:
     """crc32 of the decimal id, modulo ``mod``; a null id counts as an empty string."""
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def with_fields(schema: StructType, **types: str) -> StructType:
+    """``schema`` with further fields, given as name=DDL type."""
+    return StructType([*schema.fields, *(StructField(k, DataType.fromDDL(v)) for k, v in types.items())])

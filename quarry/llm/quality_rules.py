@@ -71,7 +71,7 @@ def measure(text: str) -> tuple[int, int, int, int, int, str]:
         capitals / chars > 0.3,
         text.count("!") / n > 0.1,
         len(lines) > 2 and dups / len(lines) > 0.3,
-        repeats / n > 0.2,
+        repeats / n > 0.4,
         same / n > 0.05,
         not 2 <= mean <= 15,
         sum(map(str.isalpha, text)) / chars < 0.75,

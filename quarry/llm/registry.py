@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, quality_rules
+from . import bpe_codec, chat_format, line_dedup, mixing, quality_rules, simhash
 
 QUERIES = {
+    "op2_bpe": bpe_codec.op2_bpe,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_mix": mixing.op8_mix,
     "op9_chat": chat_format.op9_chat,
+    "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE,
     "op8_mix": mixing.ORACLE,
     "op9_chat": chat_format.ORACLE,
 }
