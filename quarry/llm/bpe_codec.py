@@ -1,20 +1,23 @@
 """BPE encoding and decoding through a distinct-word table.
 
 Byte-level BPE never merges across the words of its pre-tokenizer, so a word always
-has the same ids. The table is dealt into chunks of whole documents. Each chunk lists
-its distinct words; the lists are dealt by word, where equal words lie side by side and
-each is encoded once, and the encoded words go back to their chunks. There a document's
-words, in order, look up their ids. Decoding joins ids with the vocabulary's pieces and
-strings the pieces together.
-
-What is held in one place is a chunk's documents and words, and the vocabulary, whose
-size is fixed by its file.
+has the same ids. The table is dealt into as many chunks of whole documents as there
+are shuffle partitions. Each chunk lists its distinct words; the lists are dealt by
+word, so that each word meets its equals in one place and is encoded once, and the
+encoded words go back to their chunks. There a document's words, in order, look up
+their ids. Decoding joins ids with the vocabulary's pieces and strings the pieces
+together. Documents and word lists travel as compressed Arrow streams.
+
+What is held in one place is a chunk's documents and words, or one bucket's share of
+the distinct words, and the vocabulary, whose size is fixed by its file: more shuffle
+partitions make all of them smaller.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,6 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "byte_bpe_50k.json"
-CHUNKS_PER_PARTITION = 4
 
 
 def byte_letters() -> dict[str, int]:
@@ -82,60 +84,99 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     spark, n = docs.sparkSession, common.partitions(docs.sparkSession)
     docs = docs.drop("ids")
-    own = docs.columns
+    own, added, content = docs.columns, vocabulary.added, spark.sparkContext.broadcast(vocabulary.text)
+    schema = common.with_fields(docs.schema, ids="array<int>")
     chunk = _unused(own, "__chunk")
-    key = F.xxhash64(*[F.col(c) for c in ("doc_id", "text") if c in own])
-    dealt = docs.withColumn(chunk, F.pmod(key, F.lit(n * CHUNKS_PER_PARTITION)).cast("int")).repartition(n, chunk)
-    added, content = vocabulary.added, spark.sparkContext.broadcast(vocabulary.text)
+    labels = common.even_labels(spark, n)
+    key = F.pmod(F.xxhash64(*[F.col(c) for c in ("doc_id", "text") if c in own]), F.lit(n)).cast("int")
+    packed = docs.withColumn(chunk, F.element_at(F.array(*map(F.lit, labels)), key + 1)).mapInArrow(pack_rows(chunk, own), "chunk int, rows binary").repartition(n, "chunk")
 
-    def distinct_words(batches):
-        split = splitter(added)
+    words = packed.mapInArrow(distinct_words(added, labels), "chunk int, bucket int, rows binary").repartition(n, "bucket")
+    encoded = words.mapInArrow(encode_words(content), "chunk int, words binary")
+    return packed.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(look_up(own, added), schema)
+
+
+def pack_rows(chunk: str, own: list[str]):
+    def run(batches):
         for b in batches:
-            words: dict[int, set] = {}
-            for c, text in zip(b[chunk].to_pylist(), b["text"].to_pylist(), strict=True):
-                words.setdefault(c, set()).update(split(text or ""))
-            for c, found in words.items():
-                yield pa.RecordBatch.from_arrays([pa.array([c] * len(found), pa.int32()), pa.array(list(found), pa.string())], ["chunk", "word"])
+            labels = b[chunk].to_numpy()
+            order = np.argsort(labels, kind="stable")
+            b, labels = b.select(own).take(pa.array(order)), labels[order]
+            cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)] if len(labels) else [0]
+            blobs = [common.pack(b.slice(i, j - i)) for i, j in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(labels[cuts[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "rows"])
 
-    def encode_words(batches):
+    return run
+
+
+def distinct_words(added: list[str], labels: list[int]):
+    """Each chunk's distinct words, as a list per bucket of words."""
+
+    def run(batches):
+        split, found = splitter(added), {}
+        for b in batches:
+            for c, rows in zip(b["chunk"].to_pylist(), b["rows"].to_pylist(), strict=True):
+                words = found.setdefault(c, set())
+                for text in common.unpack(rows)["text"].to_pylist():
+                    words.update(split(text or ""))
+        for c, words in found.items():
+            lists: dict[int, list] = {}
+            for w in words:
+                lists.setdefault(zlib.crc32(w.encode()) % len(labels), []).append(w)
+            for k, some in lists.items():
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([labels[k]], pa.int32()), pa.array([common.pack(pa.table({"word": sorted(some)}))], pa.binary())], ["chunk", "bucket", "rows"])
+
+    return run
+
+
+def encode_words(content):
+    """A bucket's distinct words, each encoded once, as (word, ids) lists for the chunks that asked."""
+
+    def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(content.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
+        known: dict[str, list[int]] = {}
         for b in batches:
-            column = b["word"].dictionary_encode()
-            known = [e.ids for e in tokenizer.encode_batch(column.dictionary.to_pylist(), add_special_tokens=False)]
-            ids = pa.array(known, pa.list_(pa.int32())).take(column.indices)
-            yield pa.RecordBatch.from_arrays([b["chunk"], b["word"], ids], ["chunk", "word", "ids"])
+            for c, rows in zip(b["chunk"].to_pylist(), b["rows"].to_pylist(), strict=True):
+                words = common.unpack(rows)["word"].to_pylist()
+                new = [w for w in words if w not in known]
+                known.update(zip(new, (e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+                ids = pa.array([known[w] for w in words], pa.list_(pa.int32()))
+                blob = common.pack(pa.table({"word": words, "ids": ids}))
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "words"])
 
-    words = dealt.mapInArrow(distinct_words, "chunk int, word string")
-    encoded = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(encode_words, "chunk int, word string, ids array<int>")
+    return run
 
-    def look_up(texts: pa.Table, table: pa.Table) -> pa.Table:
+
+def look_up(own: list[str], added: list[str]):
+    """Join a chunk's documents, word by word in order, with the ids of its words."""
+
+    def run(packed: pa.Table, encoded: pa.Table) -> pa.Table:
         split = splitter(added)
+        table = pa.concat_tables([common.unpack(x) for x in encoded["words"].to_pylist()]) if len(encoded) else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
         place = {w: i for i, w in enumerate(table["word"].to_pylist())}
-        ids = table["ids"].combine_chunks()
-        ids = ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int32()))
-        values, starts = ids.flatten().to_numpy(), ids.offsets.to_numpy().astype(np.int64)
-        starts = starts - starts[0] if len(starts) else starts
-        lengths = np.diff(starts)
-        out, ends, total = [], [0], 0
-        for text in texts["text"].to_pylist():
-            words = split(text or "")
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            each = lengths[at]
-            shift = starts[at] - (np.cumsum(each) - each)
-            out.append(values[np.arange(each.sum()) + np.repeat(shift, each)])
-            total += len(out[-1])
-            ends.append(total)
-        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-        made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-        return texts.select(own).append_column("ids", made)
-
-    schema = common.with_fields(docs.schema, ids="array<int>")
-    return dealt.groupBy(chunk).cogroup(encoded.groupBy("chunk")).applyInArrow(look_up, schema)
+        lengths = pc.list_value_length(table["ids"]).to_numpy().astype(np.int64)
+        values, starts = pc.list_flatten(table["ids"]).to_numpy(), np.cumsum(lengths) - lengths
+        done = []
+        for rows in packed["rows"].to_pylist():
+            texts = common.unpack(rows)
+            out, ends = [np.zeros(0, np.int32)], [0]
+            for text in texts["text"].to_pylist():
+                words = split(text or "")
+                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                each = lengths[at]
+                shift = starts[at] - (np.cumsum(each) - each)
+                out.append(values[np.arange(each.sum()) + np.repeat(shift, each)])
+                ends.append(ends[-1] + len(out[-1]))
+            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
+            done.append(texts.select(own).append_column("ids", made))
+        return pa.concat_tables(done)
+
+    return run
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -55,3 +56,26 @@ def id_remainder(c: Column, mod: int) -> Column:
 def with_fields(schema: StructType, **types: str) -> StructType:
     """``schema`` with further fields, given as name=DDL type."""
     return StructType([*schema.fields, *(StructField(k, DataType.fromDDL(v)) for k, v in types.items())])
+
+
+def even_labels(spark: SparkSession, n: int) -> list[int]:
+    """``n`` int labels, of which hash partitioning into ``n`` puts one into each partition."""
+    found: dict[int, int] = {}
+    size = 64 * n
+    while len(found) < n:  # n rows reach the driver
+        at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("at")
+        found = {r["at"]: r["label"] for r in spark.range(size, numPartitions=1).select(at, F.col("id").cast("int").alias("label")).groupBy("at").agg(F.min("label").alias("label")).collect()}
+        size *= 2
+    return [found[i] for i in range(n)]
+
+
+def pack(batch: pa.RecordBatch | pa.Table) -> bytes:
+    """Rows as one compressed Arrow stream: what is to be shuffled takes less disk."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as w:
+        w.write(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
