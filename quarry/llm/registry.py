@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, chat_format, line_dedup, mixing, quality_rules, simhash
+from . import bpe_codec, chat_format, line_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {
     "op2_bpe": bpe_codec.op2_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_quality": quality_classifier.op7_quality,
     "op8_mix": mixing.op8_mix,
     "op9_chat": chat_format.op9_chat,
     "op10_simhash": simhash.op10_simhash,
