@@ -76,16 +76,18 @@ def _unused(columns: list[str], name: str) -> str:
     return name
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``docs`` with ``ids`` (array of int); a null or empty text has no ids.
+def encode(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` (array of int); a null or empty text has no ids. With
+    ``decoded``, ``decode`` follows in the same tasks.
 
     Every row is kept, repeated ones too, with all its columns; a column named ids is
     replaced. An empty table gives an empty table.
     """
     spark, n = docs.sparkSession, common.partitions(docs.sparkSession)
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", *(["decoded"] if decoded else []))
     own, added, content = docs.columns, vocabulary.added, spark.sparkContext.broadcast(vocabulary.text)
-    schema = common.with_fields(docs.schema, ids="array<int>")
+    schema = common.with_fields(docs.schema, ids="array<int>", **({"decoded": "string"} if decoded else {}))
+    pieces = spark.sparkContext.broadcast(vocabulary.pieces) if decoded else None
     chunk = _unused(own, "__chunk")
     labels = common.even_labels(spark, n)
     key = F.pmod(F.xxhash64(*[F.col(c) for c in ("doc_id", "text") if c in own]), F.lit(n)).cast("int")
@@ -93,7 +95,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     words = packed.mapInArrow(distinct_words(added, labels), "chunk int, bucket int, rows binary").repartition(n, "bucket")
     encoded = words.mapInArrow(encode_words(content), "chunk int, words binary")
-    return packed.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(look_up(own, added), schema)
+    return packed.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(look_up(own, added, pieces), schema)
 
 
 def pack_rows(chunk: str, own: list[str]):
@@ -152,8 +154,9 @@ def encode_words(content):
     return run
 
 
-def look_up(own: list[str], added: list[str]):
-    """Join a chunk's documents, word by word in order, with the ids of its words."""
+def look_up(own: list[str], added: list[str], pieces=None):
+    """Join a chunk's documents, word by word in order, with the ids of its words, and the ids
+    with their pieces if those are given."""
 
     def run(packed: pa.Table, encoded: pa.Table) -> pa.Table:
         split = splitter(added)
@@ -174,34 +177,45 @@ def look_up(own: list[str], added: list[str]):
                 ends.append(ends[-1] + len(out[-1]))
             made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
             done.append(texts.select(own).append_column("ids", made))
+            if pieces is not None:
+                done[-1] = done[-1].append_column("decoded", join_pieces(made, piece_table(pieces.value)))
         return pa.concat_tables(done)
 
     return run
 
 
+def piece_table(pieces: list[bytes | None]) -> pa.Array:
+    """Pieces by id; one more, empty, for ids outside the vocabulary."""
+    return pa.array([p or b"" for p in pieces] + [b""], pa.binary())
+
+
+def join_pieces(lists: pa.Array, table: pa.Array) -> pa.Array:
+    """Texts of lists of ids: every id is joined with its piece, a list's pieces put together."""
+    lists = lists.fill_null([]) if lists.null_count else lists
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    flat = np.where((flat >= 0) & (flat < len(table) - 1), flat, len(table) - 1).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), table.take(pa.array(flat))), b"")
+    try:
+        return joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
+
+
 def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``rows`` with ``decoded``, the text of ``ids``; null ids give an empty text.
 
-    The ids of a batch are joined with the vocabulary's pieces and the pieces of a row
-    put together; bytes that are not UTF-8 become U+FFFD, ids outside the vocabulary
-    nothing. A column named decoded is replaced.
+    The ids of a batch are joined with the vocabulary's pieces, sent to the executors;
+    bytes that are not UTF-8 become U+FFFD, ids outside the vocabulary nothing. A
+    column named decoded is replaced.
     """
     rows = rows.drop("decoded")
     own, pieces = rows.columns, rows.sparkSession.sparkContext.broadcast(vocabulary.pieces)
 
     def run(batches):
-        table = pa.array([p or b"" for p in pieces.value] + [b""], pa.binary())
+        table = piece_table(pieces.value)
         for b in batches:
-            lists = b["ids"].fill_null([]) if b["ids"].null_count else b["ids"]
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            flat = np.where((flat >= 0) & (flat < len(table) - 1), flat, len(table) - 1).astype(np.int32)
-            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), table.take(pa.array(flat))), b"")
-            try:
-                texts = joined.cast(pa.string())
-            except pa.ArrowInvalid:
-                texts = pa.array([x.decode("utf-8", "replace") for x in joined.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in own), texts], [*own, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in own), join_pieces(b["ids"], table)], [*own, "decoded"])
 
     return rows.mapInArrow(run, common.with_fields(rows.schema, decoded="string"))
 
@@ -209,7 +223,7 @@ def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text."""
     vocabulary = Vocabulary(path or public_tokenizers.path(VOCABULARY))
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    both = encode(docs.select("doc_id", "text"), vocabulary, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
