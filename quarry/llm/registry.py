@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, chat_format, line_dedup, mixing, quality_classifier, quality_rules, simhash, toxicity
+from . import bpe_codec, chat_format, fingerprints, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm_scoring.op1_lm_score,
     "op2_bpe": bpe_codec.op2_bpe,
+    "op3_fingerprint": fingerprints.op3_fingerprint,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_toxicity": toxicity.op6_toxicity,

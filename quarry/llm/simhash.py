@@ -113,3 +113,12 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns kept, that are the first of their class by id.
+
+    Rows with equal ids are one document; rows without an id stay.
+    """
+    later = classes(docs).where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)

@@ -40,6 +40,7 @@ LEXICON = {
 }
 KINDS = ("plain", "targeted", "negated", "reported")
 FEATURES = (*(f"insult_{k}" for k in KINDS), *(f"threat_{k}" for k in KINDS), "strongest", "matches")
+COLUMNS = tuple(f"__{f}" for f in FEATURES)
 _EDGE = ".,;:!?\"'()[]{}«»¿¡…|*#$%&"
 _CLAUSE_END = (".", "!", "?", ";", ":")
 
@@ -197,10 +198,10 @@ def features(docs: DataFrame, patterns: list[tuple[str, float]], extra: list[str
         matcher = Matcher(sent.value)
         for b in batches:
             rows = np.array([matcher.features(t or "") for t in b["text"].to_pylist()], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in extra), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], [*extra, *FEATURES])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in extra), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], [*extra, *COLUMNS])
 
-    docs = docs.select(*extra, "text")
-    return docs.mapInArrow(run, common.with_fields(docs.select(*extra).schema, **dict.fromkeys(FEATURES, "double")))
+    read = docs.select(*dict.fromkeys([*extra, "text"]))
+    return read.mapInArrow(run, common.with_fields(docs.select(*extra).schema, **dict.fromkeys(COLUMNS, "double")))
 
 
 def train(docs: DataFrame, labels: DataFrame, training) -> tuple[list[tuple[str, float]], list[float]]:
@@ -220,11 +221,20 @@ def train(docs: DataFrame, labels: DataFrame, training) -> tuple[list[tuple[str,
 def score(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
     """doc_id, score and predicted for every row; null and empty texts match nothing and
     get the score of that. Repeated rows get equal scores; other columns are left out."""
+    found, p = _scored(docs, labels, training, ["doc_id"])
+    return found.select("doc_id", p.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def reject(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
+    """The rows of ``docs``, all columns kept, that are not predicted toxic."""
+    found, p = _scored(docs, labels, training, docs.columns)
+    return found.where(p < THRESHOLD).select(*docs.columns)
+
+
+def _scored(docs: DataFrame, labels: DataFrame, training, columns: list[str]):
     patterns, weights = train(docs, labels, training)
-    found = features(docs.select("doc_id", "text"), patterns, ["doc_id"])
-    z = sum((F.col(f) * F.lit(w) for f, w in zip(FEATURES, weights, strict=False)), F.lit(weights[-1]))
-    out = found.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    z = sum((F.col(c) * F.lit(w) for c, w in zip(COLUMNS, weights, strict=False)), F.lit(weights[-1]))
+    return features(docs, patterns, columns), 1 / (1 + F.exp(-z))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
