@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
 def emit(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: each document as many times as it was taken, with its own columns."""
     out = mix(docs, **kw)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"), F.lit(1)))).select(*docs.columns) if not set(docs.columns) & set(OWN) else _emit_clashing(docs, **kw)
+    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns) if not set(docs.columns) & set(OWN) else _emit_clashing(docs, **kw)
 
 
 def _emit_clashing(docs: DataFrame, **kw) -> DataFrame:
