@@ -2,5 +2,252 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import exprs
+from ..operators import enrich, graph, refresh, search
+from ..sources import catalogue
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+PARTS = """parts AS (SELECT p_partkey, p_brand || '-' || lpad(p_partkey::VARCHAR, 8, '0') AS mpn, regexp_replace(upper(p_brand || '-' || lpad(p_partkey::VARCHAR, 8, '0')), '[^A-Z0-9]', '', 'g') AS mpn_norm,
+  regexp_replace(upper(p_brand || '-' || lpad(p_partkey::VARCHAR, 8, '0')), '[^A-Z0-9]', '', 'g') || '|' || regexp_replace(upper(p_brand), '[^A-Z0-9]', '', 'g') AS xid, p_name || ' ' || lower(p_type) AS description,
+  p_brand AS manufacturer, p_type AS category, p_size::VARCHAR AS package, p_retailprice AS price_usd, stock, p_size % 3 = 0 AS is_basic, p_size::DOUBLE AS resistance
+  FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity)::BIGINT AS stock FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)"""
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _t(spark, d, name):
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _number_queries(parts):
+    """Every fiftieth part is asked for by number, in small letters and with a gap."""
+    return parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.lower(F.concat(F.substring("mpn", 1, 6), F.lit(" "), F.expr("substring(mpn, 7)"))).alias("raw_query"))
+
+
+def _text_queries(parts):
+    return parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "mpn", F.split_part("description", F.lit(" "), F.lit(1))).alias("raw_query"))
+
+
+@query(f"WITH {PARTS} SELECT p_partkey, mpn_norm, xid FROM parts")
+def normalize_identity(spark, d):
+    return catalogue.parts(spark, d).select("p_partkey", "mpn_norm", "xid")
+
+
+@query("SELECT l_partkey, max({'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'q': l_quantity, 'p': l_extendedprice}).o AS l_orderkey, max({'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'q': l_quantity, 'p': l_extendedprice}).p AS l_extendedprice FROM lineitem GROUP BY 1")
+def dedupe_last_wins(spark, d):
+    rows = _t(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice")
+    return enrich.last_wins(rows, "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey").select("l_partkey", "l_orderkey", "l_extendedprice")
+
+
+MAG = "p_size * CASE p_partkey % 5 WHEN 0 THEN 1e3 WHEN 1 THEN 1e6 WHEN 2 THEN 1e-3 WHEN 3 THEN 1e-6 ELSE 1e-9 END::DOUBLE"
+
+
+@query(f"""SELECT p_partkey, 0 AS pos, 0 AS sub_pos, 'Resistance' AS name, {MAG} AS value_num FROM part
+UNION ALL SELECT p_partkey, 1, 0, 'Output Current (max)', NULL FROM part UNION ALL SELECT p_partkey, 1, 1, 'Output Current (max) (min)', p_size * 1e-3::DOUBLE FROM part
+UNION ALL SELECT p_partkey, 1, 2, 'Output Current (max) (max)', (p_size + 5)::DOUBLE FROM part UNION ALL SELECT p_partkey, 2, 0, 'Supply Voltage', p_size::DOUBLE FROM part""")
+def attr_enrich(spark, d):
+    return enrich.enrich(catalogue.attributes(spark, d)).drop("value_text")
+
+
+@query(f"SELECT p_partkey, NULL::DOUBLE AS voltage_min, NULL::DOUBLE AS voltage_max, p_size * 1e-3::DOUBLE AS current_max, {MAG} AS resistance, NULL::DOUBLE AS capacitance, NULL::DOUBLE AS inductance, NULL::DOUBLE AS frequency_max, NULL::DOUBLE AS power, NULL::DOUBLE AS tolerance_pct FROM part")
+def promote_params(spark, d):
+    return enrich.promote(enrich.enrich(catalogue.attributes(spark, d)), "p_partkey")
+
+
+LEXICON = {"RING": "ring", "WIDGET": "widget", "SMALL": "small", "RED": "red"}
+
+
+@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN regexp_matches(p_name, '(^|[^a-z])ring($|[^a-z])') THEN 'RING' END, CASE WHEN regexp_matches(p_name, '(^|[^a-z])widget($|[^a-z])') THEN 'WIDGET' END, CASE WHEN regexp_matches(p_name, '(^|[^a-z])small($|[^a-z])') THEN 'SMALL' END, CASE WHEN regexp_matches(p_name, '(^|[^a-z])red($|[^a-z])') THEN 'RED' END], lambda x: x IS NOT NULL), ',') AS tags FROM part")
+def protocol_tags(spark, d):
+    return _t(spark, d, "part").select("p_partkey", F.array_join(exprs.tags(F.col("p_name"), LEXICON), ",").alias("tags"))
+
+
+@query("SELECT count(*)::BIGINT AS n, count(*) FILTER (props <> '' AND NOT coalesce(json_valid(props) AND json_type(props) = 'OBJECT', false))::BIGINT AS corrupt, sum((props ->> '$.k')::BIGINT)::BIGINT AS k_sum FROM events")
+def extra_decode_counts(spark, d):
+    e = _t(spark, d, "events")
+    corrupt = (F.col("props") != "") & F.json_object_keys("props").isNull()
+    return e.agg(F.count("*").alias("n"), F.count_if(corrupt).alias("corrupt"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_sum"))
+
+
+@query(f"WITH {PARTS} SELECT q.p_partkey AS query_id, p.xid FROM parts q JOIN parts p ON p.mpn_norm = q.mpn_norm WHERE q.p_partkey % 50 = 0")
+def search_exact(spark, d):
+    parts = catalogue.parts(spark, d)
+    return search.exact(_number_queries(parts), parts)
+
+
+@query(f"WITH {PARTS} SELECT q.p_partkey AS query_id, p.xid FROM parts q JOIN parts p ON contains(p.mpn_norm, right(q.mpn_norm, 6)) WHERE q.p_partkey % 50 = 0")
+def search_substring(spark, d):
+    parts = catalogue.parts(spark, d)
+    q = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.expr("right(mpn_norm, 6)").alias("raw_query"))
+    return search.substring(q, parts)
+
+
+WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH {PARTS}, q AS (SELECT p_partkey AS query_id, unnest({WORDS.format("split_part(description, ' ', 1)")}) AS word FROM parts WHERE p_partkey % 50 = 0),
+p AS (SELECT xid, unnest({WORDS.format("description")}) AS word FROM parts), h AS (SELECT DISTINCT query_id, xid FROM q JOIN p USING (word)) SELECT query_id, count(*)::BIGINT AS hits, min(xid) AS first_xid FROM h GROUP BY 1""")
+def search_fulltext(spark, d):
+    parts = catalogue.parts(spark, d)
+    q = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.split_part("description", F.lit(" "), F.lit(1)).alias("raw_query"))
+    return search.full_text(q, parts).groupBy("query_id").agg(F.count("*").alias("hits"), F.min("xid").alias("first_xid"))
+
+
+HITS = f"""{PARTS}, q AS (SELECT p_partkey AS query_id, mpn_norm AS m, mpn || ' ' || split_part(description, ' ', 1) AS raw FROM parts WHERE p_partkey % 50 = 0),
+w AS (SELECT query_id, unnest({WORDS.format("raw")}) AS word FROM q), p AS (SELECT xid, unnest({WORDS.format("description")}) AS word FROM parts),
+hits AS (SELECT query_id, xid, 4 AS s FROM q JOIN parts ON mpn_norm = m UNION ALL SELECT query_id, xid, 2 FROM (SELECT DISTINCT query_id, xid FROM w JOIN p USING (word))),
+b AS (SELECT query_id, xid, max(s) AS tier_score FROM hits GROUP BY 1, 2),
+r AS (SELECT b.*, mpn_norm, stock, is_basic, price_usd, row_number() OVER (PARTITION BY query_id, tier_score ORDER BY coalesce(stock, 0) > 0 DESC, is_basic DESC, mpn_norm, b.xid) AS n FROM b JOIN parts USING (xid))"""
+
+
+def _ranked(spark, d, sort):
+    parts = catalogue.parts(spark, d)
+    by_number = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("mpn").alias("raw_query"))
+    hits = search.exact(by_number, parts).withColumn("tier", F.lit("exact")).unionByName(search.full_text(_text_queries(parts), parts).withColumn("tier", F.lit("fts")))
+    return search.ranked(hits, parts, sort, 20).select("query_id", "rank", "xid", "tier_score", "stock", "price_usd")
+
+
+def _oracle_ranked(order):
+    return f"WITH {HITS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {order})::INT AS rank, xid, tier_score, stock, price_usd FROM r WHERE n <= 20"
+
+
+@query(_oracle_ranked("tier_score DESC, coalesce(stock, 0) > 0 DESC, is_basic DESC, mpn_norm, xid"))
+def search_ranked(spark, d):
+    return _ranked(spark, d, "relevance")
+
+
+@query(_oracle_ranked("greatest(coalesce(stock, 0), 0) DESC, mpn_norm, xid"))
+def search_sort_stock(spark, d):
+    return _ranked(spark, d, "stock")
+
+
+@query(_oracle_ranked("price_usd NULLS LAST, mpn_norm, xid"))
+def search_sort_price(spark, d):
+    return _ranked(spark, d, "price")
+
+
+@query("SELECT q.p_partkey AS query_id, p.p_partkey::VARCHAR AS xid FROM part q JOIN part p ON p.p_retailprice BETWEEN q.p_retailprice * (1 - 0.01::DOUBLE) AND q.p_retailprice * (1 + 0.01::DOUBLE) AND p.p_size BETWEEN q.p_size * (1 - 0.05::DOUBLE) AND q.p_size * (1 + 0.05::DOUBLE) WHERE q.p_partkey % 50 = 0 AND q.p_size > 0")
+def search_parametric_range_join(spark, d):
+    part = _t(spark, d, "part")
+    pair = lambda v: F.explode(F.array(F.struct(F.lit("resistance").alias("parameter"), F.col("p_retailprice").alias(v)), F.struct(F.lit("capacitance").alias("parameter"), F.col("p_size").cast("double").alias(v)))).alias("x")
+    values = part.select(F.col("p_partkey").cast("string").alias("xid"), pair("value")).select("xid", "x.*")
+    targets = part.where("p_partkey % 50 = 0 AND p_size > 0").select(F.col("p_partkey").alias("query_id"), pair("target")).select("query_id", "x.*")
+    return search.parametric(targets, values)
+
+
+@query(f"WITH {PARTS} SELECT xid, stock, price_usd FROM parts WHERE package = '11' AND stock >= 1 AND NOT is_basic AND price_usd <= 1500")
+def search_filters(spark, d):
+    return catalogue.parts(spark, d).where("package = '11' AND stock >= 1 AND NOT is_basic AND price_usd <= 1500").select("xid", "stock", "price_usd")
+
+
+SIM = "SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"
+
+
+@query(f"SELECT query_id, vec_id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM ({SIM})) WHERE rank <= 10")
+def semantic_topk(spark, d):
+    e = _t(spark, d, "embeddings")
+    return search.neighbours(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e, 10).select("query_id", "vec_id", "rank")
+
+
+@query(f"SELECT avg((query_id = vec_id)::INT)::DOUBLE AS recall, count(*)::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS rank FROM ({SIM})) WHERE rank = 1")
+def recall_canary(spark, d):
+    e = _t(spark, d, "embeddings")
+    top = search.neighbours(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e, 1)
+    return top.agg(F.avg((F.col("query_id") == F.col("vec_id")).cast("int")).alias("recall"), F.count("*").alias("n"))
+
+
+@query("SELECT 'C' || p_partkey AS lcsc_id, CASE WHEN s BETWEEN 0 AND 1e9 THEN s ELSE p_size END::DOUBLE AS stock, CASE WHEN p BETWEEN 0 AND 1e6 THEN p ELSE p_retailprice END AS price_usd, l_partkey IS NOT NULL AS matched FROM part LEFT JOIN (SELECT l_partkey, max(l_quantity) AS s, max(l_extendedprice) AS p FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_partkey = p_partkey")
+def stock_refresh_merge(spark, d):
+    parts = _t(spark, d, "part").select(F.concat(F.lit("C"), "p_partkey").alias("lcsc_id"), F.col("p_size").cast("double").alias("stock"), F.col("p_retailprice").alias("price_usd"))
+    source = _t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.max("l_quantity").alias("stock"), F.max("l_extendedprice").alias("price_usd"))
+    return refresh.stock_merge(parts, source.select(F.concat(F.lit("C"), "l_partkey").alias("lcsc_id"), "stock", "price_usd"))
+
+
+@query("SELECT page_id, regexp_matches(lower(regexp_extract(url, '^(?i)https?://([^/?#:@]+)', 1)), '^[a-z0-9_-]+(\\.[a-z0-9_-]+)*\\.[a-z]{2,}$') AS ok FROM pages")
+def link_policy(spark, d):
+    return _t(spark, d, "pages").select("page_id", exprs.checkable(F.col("url")).alias("ok"))
+
+
+FAILS = "SELECT e.user_id AS url_id, count(*) FILTER (event_type = 'error' AND (g.good IS NULL OR (e.ts, e.event_id) > g.good))::BIGINT AS fail_count FROM events e LEFT JOIN (SELECT user_id, max((ts, event_id)) AS good FROM events WHERE event_type <> 'error' GROUP BY 1) g USING (user_id) GROUP BY 1"
+
+
+def _checks(spark, d):
+    return _t(spark, d, "events").select(F.col("user_id").alias("url_id"), F.struct("ts", "event_id").alias("seq"), (F.col("event_type") != "error").alias("alive"))
+
+
+@query(FAILS)
+def link_fail_counts(spark, d):
+    return refresh.fail_counts(_checks(spark, d))
+
+
+@query(f"SELECT page_id FROM pages WHERE page_id NOT IN (SELECT url_id FROM ({FAILS}) WHERE fail_count >= 2)")
+def link_purge(spark, d):
+    dead = refresh.fail_counts(_checks(spark, d)).where("fail_count >= 2").select(F.col("url_id").alias("page_id"))
+    return _t(spark, d, "pages").select("page_id").join(dead, "page_id", "left_anti")
+
+
+@query("SELECT event_id FROM events WHERE ts IS NULL OR ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY")
+def stale_selection(spark, d):
+    return _t(spark, d, "events").where(refresh.stale(F.col("ts"), F.lit("2024-01-20 00:00:00").cast("timestamp"), 7)).select("event_id")
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS embed_text_hash FROM documents")
+def embed_text_hash(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("embed_text_hash"))
+
+
+@query("SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'none' WHEN doc_id % 4 = 0 THEN 'embed' WHEN doc_id % 4 = 1 THEN 'backfill' WHEN doc_id % 4 = 2 THEN 'skip' ELSE 'reembed' END AS action FROM documents")
+def embed_reconcile(spark, d):
+    docs = _t(spark, d, "documents")
+    stored = F.when(F.col("doc_id") % 4 == 2, F.sha2("text", 256)).when(F.col("doc_id") % 4 == 3, F.lit("old"))
+    return docs.select("doc_id", refresh.embed_action(F.col("text"), stored, F.col("doc_id") % 4 != 0).alias("action"))
+
+
+@query("SELECT coalesce(n.k, o.k) AS k, coalesce(n.price, o.price) AS price, coalesce(n.brand, o.brand) AS brand FROM (SELECT p_partkey AS k, p_retailprice AS price, p_brand AS brand FROM part) o FULL JOIN (SELECT l_partkey + 1000 AS k, max(l_extendedprice) AS price, NULL AS brand FROM lineitem GROUP BY 1) n ON o.k = n.k")
+def catalogue_upsert(spark, d):
+    old = _t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("price"), F.col("p_brand").alias("brand"))
+    new = _t(spark, d, "lineitem").groupBy((F.col("l_partkey") + 1000).alias("k")).agg(F.max("l_extendedprice").alias("price")).withColumn("brand", F.lit(None).cast("string"))
+    return enrich.upsert(old, new, "k")
+
+
+@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
+def edge_union(spark, d):
+    rows = _t(spark, d, "lineitem")
+    half = F.col("l_returnflag") == "R"
+    return rows.where(half).select("l_partkey", "l_suppkey").union(rows.where(~half).select("l_partkey", "l_suppkey")).distinct()
+
+
+@query("SELECT 'part' AS type, count(*)::BIGINT AS n FROM part UNION ALL SELECT 'manufacturer', count(DISTINCT p_brand)::BIGINT FROM part UNION ALL SELECT 'datasheet', count(*)::BIGINT FROM pages UNION ALL SELECT 'category', count(DISTINCT p_type)::BIGINT FROM part")
+def node_counts(spark, d):
+    part, pages = _t(spark, d, "part"), _t(spark, d, "pages")
+    count = lambda df, name, what: df.agg(what.alias("n")).select(F.lit(name).alias("type"), "n")
+    return count(part, "part", F.count("*")).union(count(part, "manufacturer", F.countDistinct("p_brand"))).union(count(pages, "datasheet", F.count("*"))).union(count(part, "category", F.countDistinct("p_type")))
+
+
+@query("SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS mid, 'S' || s_suppkey AS dst FROM nation JOIN supplier ON s_nationkey = n_nationkey")
+def two_hop_expand(spark, d):
+    return graph.two_hop(_edges(spark, d))
+
+
+def _edges(spark, d):
+    n, s = _t(spark, d, "nation"), _t(spark, d, "supplier")
+    up = n.select(F.concat(F.lit("R"), "n_regionkey").alias("src"), F.concat(F.lit("N"), "n_nationkey").alias("dst"))
+    return up.union(s.select(F.concat(F.lit("N"), "s_nationkey").alias("src"), F.concat(F.lit("S"), "s_suppkey").alias("dst")))
+
+
+@query("SELECT 'R0' AS node, 0 AS hops UNION ALL SELECT 'N' || n_nationkey, 1 FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'S' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0 UNION ALL SELECT DISTINCT 'P' || l_partkey, 3 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0")
+def shortest_path(spark, d):
+    made = _t(spark, d, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).distinct()
+    return graph.distances(_edges(spark, d).union(made), spark.createDataFrame([("R0",)], "node string"), 4)
