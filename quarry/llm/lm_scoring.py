@@ -33,7 +33,8 @@ from . import common
 
 HEAD, PER_CLASS, BINS, HIDDEN = 512, 32, 24, 16
 KNOWN = 20_000
-LANES, WINDOW, RATE, CLIP = 256, 16, 0.08, 5.0
+#: Lanes at most; fewer where a lane would hold under LANE_TOKENS, for the sake of more updates.
+LANES, LANE_TOKENS, WINDOW, RATE, CLIP = 256, 1500, 16, 0.08, 5.0
 #: Tokens that are laid out at once.
 GROUP_TOKENS = 400_000
 #: Hash shares of the training documents in each round of averaging.
@@ -64,7 +65,8 @@ def lanes(sequences: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """Lay documents end to end in lanes of like length: inputs, targets, document starts and
     document numbers, by step and lane, and how many lanes are alive at each step."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    heap = [(0, k) for k in range(min(LANES, len(sequences)))]
+    wide = min(LANES, max(8, sum(map(len, sequences)) // LANE_TOKENS))
+    heap = [(0, k) for k in range(min(wide, len(sequences)))]
     held: list[list[int]] = [[] for _ in heap]
     for i in order:
         n, k = heapq.heappop(heap)
