@@ -33,13 +33,18 @@ from . import common
 
 HEAD, PER_CLASS, BINS, HIDDEN = 512, 32, 24, 16
 KNOWN = 20_000
-#: Lanes at most; fewer where a lane would hold under LANE_TOKENS, for the sake of more updates.
-LANES, LANE_TOKENS, WINDOW, RATE, CLIP = 256, 1500, 16, 0.08, 5.0
-#: Tokens that are laid out at once.
-GROUP_TOKENS = 400_000
+#: Lanes at most in training; fewer where a lane would hold under LANE_TOKENS, for the sake of more updates.
+LANES, LANE_TOKENS, WINDOW, RATE, CLIP = 512, 1500, 16, 0.08, 5.0
+#: Lanes at most in scoring, which makes no updates.
+SCORE_LANES = 1024
+#: Tokens that are laid out at once, in training and in scoring: many beside the longest
+#: document, so that the last steps of it alone weigh little.
+GROUP_TOKENS, SCORE_GROUP_TOKENS = 3_000_000, 4_000_000
 #: Hash shares of the training documents in each round of averaging.
 ROUNDS = ((0, 1), (1, 8))
 CLASSES = HEAD // PER_CLASS + BINS + 1
+#: Logits further below the highest are raised to this.
+SPREAD = 80.0
 END = HEAD + BINS
 
 
@@ -52,20 +57,26 @@ def tail_bin(word: bytes) -> int:
 
 
 class Ids(dict):
-    """word -> input id: its rank among the head words, else HEAD + its bin."""
+    """word -> its place among ``words``, else ``base`` + its bin."""
+
+    def __init__(self, words: list[bytes], base: int):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.base = base
 
     def __missing__(self, word: bytes) -> int:
-        code = HEAD + tail_bin(word)
+        code = self.base + tail_bin(word)
         if len(self) < 500_000:
             self[word] = code
         return code
 
 
-def lanes(sequences: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+def lanes(sequences: list[np.ndarray], most: int) -> tuple[np.ndarray, ...]:
     """Lay documents end to end in lanes of like length: inputs, targets, document starts and
-    document numbers, by step and lane, and how many lanes are alive at each step."""
+    document numbers, by step and lane, and how many lanes are alive at each step. As the longest
+    document sets the number of steps, there are no more lanes than fill them."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    wide = min(LANES, max(8, sum(map(len, sequences)) // LANE_TOKENS))
+    longest = max(LANE_TOKENS, len(sequences[order[0]])) if order else LANE_TOKENS
+    wide = min(most, max(8, sum(map(len, sequences)) // longest))
     heap = [(0, k) for k in range(min(wide, len(sequences)))]
     held: list[list[int]] = [[] for _ in heap]
     for i in order:
@@ -88,8 +99,29 @@ def lanes(sequences: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return x, y, start, doc, (sizes[None, :] > np.arange(steps)[:, None]).sum(1)
 
 
-def _sigmoid(a: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * a) + 0.5
+def _sigmoid(a: np.ndarray) -> None:
+    """In place."""
+    a *= 0.5
+    np.tanh(a, out=a)
+    a *= 0.5
+    a += 0.5
+
+
+def _log_softmax(h: np.ndarray, w: np.ndarray, bias: np.ndarray, target: np.ndarray, learn: bool):
+    """Log probability of each row's target and, with ``learn``, the gradient of the logits. Logits
+    lie within ``SPREAD`` of the highest of all rows, so that no row's sum vanishes."""
+    e = h @ w
+    e += bias
+    e -= e.max()
+    np.maximum(e, -SPREAD, out=e)
+    at = np.arange(len(e)) * e.shape[1] + target
+    picked = e.ravel().take(at)
+    np.exp(e, out=e)
+    total = e @ np.ones(e.shape[1], np.float32)
+    if learn:
+        e *= (1 / total)[:, None]
+        e.reshape(-1)[at] -= 1
+    return picked - np.log(total), e
 
 
 class Gru:
@@ -121,79 +153,81 @@ class Gru:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.SHAPES])
 
-    def run(self, x: np.ndarray, start: np.ndarray, alive: np.ndarray, h: np.ndarray) -> tuple:
-        """Hidden states after each step of a window, and what backpropagation needs."""
-        p, H, kept = self.p, HIDDEN, []
+    def run(self, x: np.ndarray, start: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """All that a window's steps make, by kind, step and lane: states before, both gates, candidates,
+        states after. Lanes that end within the window run on; nothing reads their later states."""
+        p, H = self.p, HIDDEN
+        gates, going = p["x"].take(x, axis=0), ~start[..., None]
+        kept = np.empty((5, *x.shape, H), np.float32)
+        zr = np.empty((x.shape[1], 2 * H), np.float32)
         for t in range(len(x)):
-            n = alive[t]
-            before = h[:n] * ~start[t, :n, None]
-            gates = p["x"][x[t, :n]]
-            zr = _sigmoid(gates[:, : 2 * H] + before @ p["u"])
-            z, r = zr[:, :H], zr[:, H:]
-            c = np.tanh(gates[:, 2 * H :] + (r * before) @ p["uc"])
-            h = before + z * (c - before)
-            kept.append((before, z, r, c, h))
-        return kept, h
+            before, z, r, c, after = kept[:, t]
+            np.multiply(h, going[t], out=before)
+            np.matmul(before, p["u"], out=zr)
+            zr += gates[t, :, : 2 * H]
+            _sigmoid(zr)
+            z[:], r[:] = zr[:, :H], zr[:, H:]
+            np.matmul(r * before, p["uc"], out=c)
+            c += gates[t, :, 2 * H :]
+            np.tanh(c, out=c)
+            np.subtract(c, before, out=after)
+            after *= z
+            after += before
+            h = after
+        return kept
 
     def outputs(self, h: np.ndarray, y: np.ndarray, learn: bool):
         """Log probabilities (base e) of targets; with ``learn`` also gradients and that of h."""
         p = self.p
         cls = np.where(y < HEAD, y // PER_CLASS, y - HEAD + HEAD // PER_CLASS)
-        e = h @ p["wc"] + p["bc"]
-        e -= e.max(1, keepdims=True)
-        picked = e[np.arange(len(y)), cls]
-        np.exp(e, out=e)
-        total = e.sum(1)
-        logp = picked - np.log(total)
+        logp, e = _log_softmax(h, p["wc"], p["bc"], cls, learn)
         g, dh = {}, None
         if learn:
-            e /= total[:, None]
-            e[np.arange(len(y)), cls] -= 1
             g["wc"], g["bc"], dh = h.T @ e, e.sum(0), e @ p["wc"].T
             g["ww"], g["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(HEAD // PER_CLASS + 1))
+        order = order[: cuts[-1]]
+        hs, words, inner = h.take(order, axis=0), (y % PER_CLASS).take(order), np.empty(len(order), np.float32)
+        dhs = np.empty_like(hs)
         for k in range(HEAD // PER_CLASS):
-            at = order[cuts[k] : cuts[k + 1]]
-            if not len(at):
+            at = slice(cuts[k], cuts[k + 1])
+            if cuts[k] == cuts[k + 1]:
                 continue
-            hk, word = h[at], y[at] % PER_CLASS
-            e = hk @ p["ww"][k] + p["bw"][k]
-            e -= e.max(1, keepdims=True)
-            rows = np.arange(len(at))
-            picked = e[rows, word]
-            np.exp(e, out=e)
-            total = e.sum(1)
-            logp[at] += picked - np.log(total)
+            inner[at], e = _log_softmax(hs[at], p["ww"][k], p["bw"][k], words[at], learn)
             if learn:
-                e /= total[:, None]
-                e[rows, word] -= 1
-                g["ww"][k], g["bw"][k] = hk.T @ e, e.sum(0)
-                dh[at] += e @ p["ww"][k].T
+                g["ww"][k], g["bw"][k] = hs[at].T @ e, e.sum(0)
+                np.matmul(e, p["ww"][k].T, out=dhs[at])
+        logp[order] += inner
+        if learn:
+            dh[order] += dhs
         return logp, g, dh
 
-    def back(self, x, start, alive, kept, dhs, g) -> None:
-        """Gradients through a window, truncated at its start."""
+    def back(self, x: np.ndarray, start: np.ndarray, kept: np.ndarray, dhs: np.ndarray, g: dict) -> None:
+        """Gradients through a window, truncated at its start; ``dhs`` is zero where a lane has ended."""
         p, H = self.p, HIDDEN
-        g["u"], g["uc"] = np.zeros_like(p["u"]), np.zeros_like(p["uc"])
-        after, ids, gates = np.zeros((alive[0], H), np.float32), [], []
+        before, z, r, c, _ = kept
+        keep, of_z, of_r, of_c = 1 - z, (c - before) * z * (1 - z), before * r * (1 - r), z * (1 - c * c)
+        going, ut, uct = ~start[..., None], p["u"].T.copy(), p["uc"].T.copy()
+        d, gates = np.zeros(x.shape + (H,), np.float32)[0], np.empty((*x.shape, 3 * H), np.float32)
         for t in range(len(x) - 1, -1, -1):
-            n = alive[t]
-            before, z, r, c, _ = kept[t]
-            d = after[:n] + dhs[t]
-            dc = d * z * (1 - c * c)
-            drb = dc @ p["uc"].T
-            dzr = np.hstack([d * (c - before) * z * (1 - z), drb * before * r * (1 - r)])
-            g["uc"] += (r * before).T @ dc
-            g["u"] += before.T @ dzr
-            ids.append(x[t, :n])
-            gates.append(np.hstack([dzr, dc]))
-            after = after.copy()
-            after[:n] = (d * (1 - z) + drb * r + dzr @ p["u"].T) * ~start[t, :n, None]
-        ids, gates = np.concatenate(ids), np.concatenate(gates)
+            d += dhs[t]
+            dc = d * of_c[t]
+            drb = dc @ uct
+            gates[t, :, 2 * H :] = dc
+            np.multiply(d, of_z[t], out=gates[t, :, :H])
+            np.multiply(drb, of_r[t], out=gates[t, :, H : 2 * H])
+            d *= keep[t]
+            drb *= r[t]
+            d += drb
+            d += gates[t, :, : 2 * H] @ ut
+            d *= going[t]
+        flat, ids = gates.reshape(-1, 3 * H), x.ravel()
+        g["uc"] = (r * before).reshape(-1, H).T @ flat[:, 2 * H :]
+        g["u"] = before.reshape(-1, H).T @ flat[:, : 2 * H]
         order = np.argsort(ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        g["x"] = (ids[order][first], np.add.reduceat(gates[order], first, axis=0))
+        g["x"] = (ids[order][first], np.add.reduceat(flat[order], first, axis=0))
 
     def update(self, g: dict, n: int) -> None:
         scale = 1 / math.sqrt(n)
@@ -207,33 +241,36 @@ class Gru:
 
     def walk(self, sequences: list[np.ndarray], learn: bool) -> np.ndarray:
         """Log10 likelihood of each document, its end included; with ``learn``, trains on the way."""
-        x, y, start, doc, alive = lanes(sequences)
+        x, y, start, doc, alive = lanes(sequences, LANES if learn else SCORE_LANES)
         out, h = np.zeros(len(sequences)), np.zeros((x.shape[1], HIDDEN), np.float32)
         for t in range(0, len(x), WINDOW):
-            w = slice(t, t + WINDOW)
-            kept, h = self.run(x[w], start[w], alive[w], h)
-            counts = alive[w].tolist()
-            flat = np.concatenate([k[4] for k in kept])
-            target = np.concatenate([y[t + i, :n] for i, n in enumerate(counts)])
+            n = alive[t]
+            w = np.s_[t : t + WINDOW, :n]
+            kept = self.run(x[w], start[w], h[:n])
+            h = kept[4, -1]
+            live = np.arange(n) < alive[t : t + WINDOW, None]
+            whole = bool(live.all())
+            flat, target = (kept[4].reshape(-1, HIDDEN), y[w].ravel()) if whole else (kept[4][live], y[w][live])
             logp, g, dh = self.outputs(flat, target, learn)
             if learn:
-                ends = np.cumsum(counts)
-                self.back(x[w], start[w], counts, kept, [dh[e - n : e] for e, n in zip(ends, counts, strict=True)], g)
+                dhs = dh.reshape(kept.shape[1:]) if whole else np.zeros(kept.shape[1:], np.float32)
+                if not whole:
+                    dhs[live] = dh
+                self.back(x[w], start[w], kept, dhs, g)
                 self.update(g, len(flat))
             else:
-                which = np.concatenate([doc[t + i, :n] for i, n in enumerate(counts)])
-                out += np.bincount(which, logp.astype(float), len(out))
+                out += np.bincount(doc[w][live], logp.astype(float), len(out))
         return out / math.log(10)
 
 
-def grouped(texts: list, ids: Ids):
-    """(first row, sequences) of some documents at a time."""
+def grouped(texts: list, ids: Ids, size: int):
+    """(first row, sequences of ids) of some documents at a time, ``size`` tokens or a little more."""
     group, held, first = [], 0, 0
     for i, text in enumerate(texts):
         words = tokens(text)
         group.append(np.fromiter(map(ids.__getitem__, words), np.int32, len(words)))
         held += len(words) + 1
-        if held >= GROUP_TOKENS:
+        if held >= size:
             yield first, group
             group, held, first = [], 0, i + 1
     if group:
@@ -288,9 +325,9 @@ def averaged(training: DataFrame, model: Gru, head: list[bytes]) -> Gru:
     def run(batches):
         flat, words = sent.value
         own, seen = Gru(flat), 0
-        ids = Ids({w: i for i, w in enumerate(words)})
+        ids = Ids(words, HEAD)
         for b in batches:
-            for _, group in grouped(b["text"].to_pylist(), ids):
+            for _, group in grouped(b["text"].to_pylist(), ids, GROUP_TOKENS):
                 own.walk(group, True)
                 seen += sum(map(len, group)) + len(group)
         if seen:
@@ -329,21 +366,20 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     def local(batches):
         """What a task can tell on its own: all but the counts of words outside the known."""
         flat, head, known, mass = sent.value
-        own, ids = Gru(flat), Ids({w: i for i, w in enumerate(head)})
-        in_model = set(head)
-        logs = {w: math.log10(n + 0.5) for w, n in known.items()}
-        of_bin = np.concatenate([np.zeros(HEAD), -np.log10(mass), [0.0]])
+        own, words = Gru(flat), list(known)
+        ids, rare = Ids(words, len(words)), np.arange(BINS)
+        bins = np.concatenate([np.array([tail_bin(w) for w in words], np.int64), rare])
+        in_model = np.arange(len(bins)) < len(head)
+        to_model = np.where(in_model, np.arange(len(bins)), HEAD + bins).astype(np.int32)
+        logs = np.concatenate([np.log10(np.array(list(known.values()), float) + 0.5), np.zeros(BINS)])
+        in_bin = np.where(in_model, 0.0, logs - np.log10(mass)[bins])
         for b in batches:
-            texts, out = b["text"].to_pylist(), np.zeros((4, b.num_rows))
-            for first, group in grouped(texts, ids):
-                s = slice(first, first + len(group))
-                out[3, s] = own.walk(group, False) + [of_bin[g].sum() for g in group]
-            for i, text in enumerate(texts):
-                words = tokens(text)
-                hits = [w for w in words if w in known]
-                total = sum(map(logs.__getitem__, hits))
-                out[:3, i] = len(words) + 1, len(hits), total - len(words) * math.log10(bottom) + end
-                out[3, i] += sum(logs[w] for w in hits if w not in in_model)
+            out = np.zeros((4, b.num_rows))
+            for first, group in grouped(b["text"].to_pylist(), ids, SCORE_GROUP_TOKENS):
+                out[3, first : first + len(group)] = own.walk([to_model[g] for g in group], False)
+                for i, g in enumerate(group, first):
+                    out[:3, i] = len(g) + 1, (g < len(words)).sum(), logs[g].sum() - len(g) * math.log10(bottom) + end
+                    out[3, i] += in_bin[g].sum()
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], *(pa.array(out[k].astype(np.int64)) for k in (0, 1)), *(pa.array(out[k]) for k in (2, 3))], ["doc_id", "key", "n_tokens", "n_known", "base_score", "score"])
 
     def rare(batches):

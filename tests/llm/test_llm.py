@@ -203,16 +203,18 @@ def test_lm(spark, empty):
 def test_gru_gradient():
     rng = np.random.default_rng(0)
     model = lm_scoring.Gru(rng.normal(0, 0.3, lm_scoring.Gru.SIZE))
-    x, y, start, _, alive = lm_scoring.lanes([rng.integers(0, lm_scoring.END, n).astype(np.int32) for n in (5, 3, 4)])
+    x, y, start, _, alive = lm_scoring.lanes([rng.integers(0, lm_scoring.END, n).astype(np.int32) for n in (5, 3, 4)], 256)
+
+    live = np.arange(x.shape[1]) < alive[:, None]
 
     def loss():
-        kept, _ = model.run(x, start, alive, np.zeros((x.shape[1], lm_scoring.HIDDEN), np.float32))
-        target = np.concatenate([y[t, :n] for t, n in enumerate(alive)])
-        return kept, model.outputs(np.concatenate([k[4] for k in kept]), target, True)
+        kept = model.run(x, start, np.zeros((x.shape[1], lm_scoring.HIDDEN), np.float32))
+        return kept, model.outputs(kept[4][live], y[live], True)
 
     kept, (logp, g, dh) = loss()
-    ends = np.cumsum(alive)
-    model.back(x, start, alive, kept, [dh[e - n : e] for e, n in zip(ends, alive, strict=True)], g)
+    dhs = np.zeros(kept.shape[1:], np.float32)
+    dhs[live] = dh
+    model.back(x, start, kept, dhs, g)
     for k in ("u", "uc", "wc"):
         at = (3, 2)
         old = model.p[k][at]
