@@ -80,3 +80,83 @@ def checkable(url: Column) -> Column:
 def sane(new: Column, old: Column, most: float) -> Column:
     """``new`` if it is a finite number in [0, most], else ``old``."""
     return F.when(new.isNotNull() & ~F.isnan(new.cast("double")) & new.between(0, most), new).otherwise(old)
+
+
+NUMERIC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
+def number(c: Column) -> Column:
+    """The double that a plain decimal text stands for, else null."""
+    text = F.trim(c)
+    return F.when(text.rlike(NUMERIC), text.try_cast("double"))
+
+
+def tier_price(raw: Column) -> Column:
+    """Unit price of a price field: a number, or the first number (or numeric text) under ``price``,
+    ``Price`` or ``usd`` of the tiers of a JSON array; booleans and other texts are none."""
+    tiers = F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>")
+
+    def of(tier: Column) -> Column:
+        def one(key: str) -> Column:
+            v = F.try_variant_get(tier, f"$.{key}", "variant")
+            return F.when(F.schema_of_variant(v) != "BOOLEAN", number(F.try_variant_get(v, "$", "string")))
+
+        return F.coalesce(*map(one, ("price", "Price", "usd")))
+
+    found = F.filter(F.transform(tiers, of), lambda p: p.isNotNull())
+    return F.coalesce(number(raw), F.try_element_at(found, F.lit(1)))
+
+
+# Unit symbol -> parameter, and letters that a package's name starts with.
+SYMBOLS = {"Ω": "resistance", "ohm": "resistance", "F": "capacitance", "H": "inductance", "A": "current_max", "W": "power", "Hz": "frequency_max", "%": "tolerance_pct", "V": "voltage_max"}
+PACKAGES = ("SOIC", "SOT", "SOD", "SON", "QFN", "DFN", "TQFP", "LQFP", "QFP", "TSSOP", "MSOP", "SSOP", "TSOP", "PDIP", "DIP", "SIP", "BGA", "LGA", "DPAK", "TO")
+QUERY_CHARS, QUERY_TOKENS = 500, 10
+
+
+def quantity(token: Column) -> Column:
+    """struct(parameter, value) of a token such as ``10k``, ``100nF`` or ``1%``, else null. A prefix
+    alone means ohms; a bare number, a range or a condition is no quantity."""
+    shape = r"^[+-]?[0-9]+(?:\.[0-9]+)?(?:([pnuµμmkKMGT])|[pnuµμmkKMGT]?(Hz|ohm|Ω|F|H|A|W|%|V))$"
+    table = F.create_map(*[F.lit(x) for kv in SYMBOLS.items() for x in kv])
+    parameter = F.when(F.regexp_extract(token, shape, 1) != "", F.lit("resistance")).otherwise(F.try_element_at(table, F.regexp_extract(token, shape, 2)))
+    return F.when(token.rlike(shape), F.struct(parameter.alias("parameter"), magnitude(token).alias("value")))
+
+
+def package_code(token: Column) -> Column:
+    """The upper-cased token if it names a package, else null."""
+    upper = F.upper(token)
+    return F.when(upper.rlike(r"^[0-9]{4}\z") | (upper.rlike(f"^({'|'.join(PACKAGES)})") & upper.rlike(r"^[A-Z0-9][A-Z0-9-]{0,19}\z")), upper)
+
+
+def parse_query(raw: Column) -> Column:
+    """struct(quantities, package, words) of a search text.
+
+    Of the first ``QUERY_CHARS`` characters, each token is a quantity, the first package code, a
+    word if it has a letter or digit, or nothing; reading stops after ``QUERY_TOKENS`` that are
+    something. Null and blank texts give empty lists.
+    """
+    tokens = F.filter(F.split(F.substring(F.coalesce(raw, F.lit("")), 1, QUERY_CHARS), r"(?U)\s+"), lambda t: t != "")
+    is_package = lambda t: quantity(t).isNull() & package_code(t).isNotNull()
+    first = F.array_position(F.transform(tokens, is_package), True)
+    kind = lambda t, i: F.when(quantity(t).isNotNull(), "quantity").when(i + 1 == first, "package").when(t.rlike("[A-Za-z0-9]"), "word")
+    read = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), kind(t, i).alias("kind"))), lambda s: s["kind"].isNotNull())
+    read = F.slice(read, 1, QUERY_TOKENS)
+    of = lambda k, f: F.transform(F.filter(read, lambda s: s["kind"] == k), lambda s: f(s["t"]))
+    return F.struct(of("quantity", quantity).alias("quantities"), F.try_element_at(of("package", package_code), F.lit(1)).alias("package"), of("word", lambda t: t).alias("words"))
+
+
+def family(mpn_norm: Column) -> Column:
+    """Leading letters of a part number if two or more, else its first three characters."""
+    letters = F.regexp_extract(mpn_norm, "^[A-Z]{2,}", 0)
+    return F.when(letters != "", letters).otherwise(F.substring(mpn_norm, 1, 3))
+
+
+def embed_text(description: Column, category: Column, package: Column, tags: Column) -> Column:
+    """The text that stands for a part; empty if it has tags alone."""
+    base = F.filter(F.transform(F.array(description, category, package), lambda c: F.trim(c)), lambda c: c != "")
+    named = F.array_sort(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != ""))
+    return F.when(F.size(base) == 0, "").otherwise(F.concat_ws(" ", base, named))
+
+
+def host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^(?i)https?://([^/?#:@]+)", 1))

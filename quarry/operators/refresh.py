@@ -40,3 +40,15 @@ def embed_action(text: Column, stored_hash: Column, has_vector: Column) -> Colum
     """What to do with a part's vector: none, embed, backfill, skip or reembed."""
     fresh = F.sha2(text, 256)
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", "none").when(~has_vector, "embed").when(stored_hash.isNull(), "backfill").when(stored_hash == fresh, "skip").otherwise("reembed")
+
+
+def schedule(urls: DataFrame, spacing: float, shares: int = 64) -> DataFrame:
+    """(url_id, host, start): seconds after which each link (url_id, url) may be checked, so that a
+    host is asked once every ``spacing`` seconds. Numbers are dealt within hash shares of a
+    host, which follow one another, so a host with most of the links is no single task."""
+    u = urls.select("url_id", exprs.host(F.col("url")).alias("host"), F.pmod(F.xxhash64("url_id"), F.lit(shares)).alias("share"))
+    sizes = u.groupBy("host", "share").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("host").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("host", "share", before.alias("before"))
+    own = u.withColumn("i", F.row_number().over(Window.partitionBy("host", "share").orderBy("url_id")) - 1)
+    return own.join(offsets, ["host", "share"]).select("url_id", "host", ((F.col("before") + F.col("i")) * spacing).alias("start"))

@@ -119,3 +119,55 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096
         return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, cosine double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.round("cosine", 9).desc(), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def all_terms(name: Column, wanted: Column) -> Column:
+    """Every word of ``wanted`` is a word of ``name``; false where there is none to find."""
+    return (F.size(words(wanted)) > 0) & (F.size(F.array_except(words(wanted), words(name))) == 0)
+
+
+def related(parts: DataFrame, k: int = 10) -> DataFrame:
+    """(xid, related, rank): for each part the first ``k`` others whose number contains its family.
+
+    The distinct families are answered, not the parts: of each, the first ``k + 1`` parts by
+    number are kept, so that one is left over where a part itself is among them.
+    """
+    own = parts.where("mpn_norm != ''").select("xid", exprs.family(F.col("mpn_norm")).alias("family"))
+    n = F.col("mpn_norm")
+    gram = lambda size: F.transform(F.sequence(F.lit(1), F.length(n) - (size - 1)), lambda i: F.substring(n, i, F.lit(size)))
+    grams = F.array_distinct(F.concat(*[F.when(F.length(n) >= size, gram(size)).otherwise(F.array().cast("array<string>")) for size in range(1, GRAM + 1)]))
+    index = parts.select(F.col("xid").alias("related"), "mpn_norm", F.explode(grams).alias("gram"))
+    families = own.select("family", F.substring("family", 1, GRAM).alias("gram")).distinct()
+    found = index.join(families, "gram").where(F.contains("mpn_norm", "family")).select("family", "mpn_norm", "related").distinct()
+    top = found.withColumn("n", F.row_number().over(Window.partitionBy("family").orderBy("mpn_norm", "related"))).where(F.col("n") <= k + 1)
+    top = top.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("n", "related"))).alias("top"))
+    others = F.slice(F.filter(F.transform("top", lambda s: s["related"]), lambda r: r != F.col("xid")), 1, k)
+    return own.join(top, "family").select("xid", F.posexplode(others).alias("rank", "related")).select("xid", "related", (F.col("rank") + 1).alias("rank"))
+
+
+def nearest(targets: DataFrame, relaxed: DataFrame, hard: DataFrame, values: DataFrame, k: int = 50) -> DataFrame:
+    """(query_id, xid, distance, rank) for queries that have quantities and no hard hit.
+
+    ``relaxed`` (query_id, xid) are hits of the query without its quantities. Distance is the
+    sum of |value - target| over the quantities (query_id, parameter, target); a part without
+    a value adds nothing for it. Order: distance, then part.
+    """
+    open_ = targets.join(hard.select("query_id").distinct(), "query_id", "left_anti")
+    pairs = relaxed.join(hard, ["query_id", "xid"], "left_anti").join(open_, "query_id")
+    met = pairs.join(values, ["xid", "parameter"], "left").groupBy("query_id", "xid").agg(F.sum(F.coalesce(F.abs(F.col("value") - F.col("target")), F.lit(0.0))).alias("distance"))
+    w = Window.partitionBy("query_id").orderBy("distance", "xid")
+    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def hybrid(queries: DataFrame, vectors: DataFrame, allowed: DataFrame, limit: int = 50) -> DataFrame:
+    """(query_id, vec_id, rank): semantic candidates, of which those in ``allowed`` (query_id, vec_id)
+    stay, in order of cosine."""
+    near = neighbours(queries, vectors, min(max(20 * limit, 200), 1500)).join(allowed, ["query_id", "vec_id"], "left_semi")
+    w = Window.partitionBy("query_id").orderBy(F.round("cosine", 9).desc(), "vec_id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(limit, 200)).select("query_id", "vec_id", "rank")
+
+
+def result_json(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(query_id, json): each query's ranked rows as one document; nulls are left out."""
+    each = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("r"))
+    return each.select("query_id", F.to_json(F.struct(F.lit(1).alias("version"), F.size("r").alias("count"), F.transform("r", lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias("results"))).alias("json"))

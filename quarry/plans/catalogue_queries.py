@@ -251,3 +251,77 @@ def _edges(spark, d):
 def shortest_path(spark, d):
     made = _t(spark, d, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).distinct()
     return graph.distances(_edges(spark, d).union(made), spark.createDataFrame([("R0",)], "node string"), 4)
+
+
+PRICE_TEXT = "CASE p_partkey % 4 WHEN 0 THEN '[{\"price\": ' || p_size || '}, {\"price\": 1}]' WHEN 1 THEN CAST(p_size AS STRING) WHEN 2 THEN '[{\"qFrom\": 1}, {\"price\": true, \"usd\": \"' || p_size || '\"}]' ELSE 'n/a' END"
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 < 3 THEN p_size::DOUBLE END AS price_usd FROM part")
+def price_first_tier(spark, d):
+    return _t(spark, d, "part").select("p_partkey", exprs.tier_price(F.expr(PRICE_TEXT)).alias("price_usd"))
+
+
+@query("SELECT p_partkey, 2 AS quantities, 'resistance' AS parameter, p_size * 1000::DOUBLE AS value, '0402' AS package, p_brand || ' SOT-23' AS words FROM part")
+def query_parse(spark, d):
+    raw = F.concat(F.col("p_size").cast("string"), F.lit("k  0402 "), "p_brand", F.lit(" ; 1% SOT-23"))
+    q = _t(spark, d, "part").select("p_partkey", exprs.parse_query(raw).alias("q"))
+    return q.select("p_partkey", F.size("q.quantities").alias("quantities"), F.expr("q.quantities[0].parameter").alias("parameter"), F.expr("q.quantities[0].value").alias("value"), "q.package", F.array_join("q.words", " ").alias("words"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' AND p_type = 'ECONOMY'")
+def search_maker_category(spark, d):
+    return _t(spark, d, "part").where(search.all_terms(F.col("p_brand"), F.lit("13 BRAND")) & search.all_terms(F.col("p_type"), F.lit("economy"))).select("p_partkey")
+
+
+@query("""WITH r AS (SELECT q.p_partkey AS query_id, p.p_partkey::VARCHAR AS xid, abs(p.p_size - (q.p_size + 0.5::DOUBLE)) AS distance, p.p_size BETWEEN (q.p_size + 0.5::DOUBLE) * (1 - 0.01::DOUBLE) AND (q.p_size + 0.5::DOUBLE) * (1 + 0.01::DOUBLE) AS hit
+  FROM part q JOIN part p ON p.p_type = q.p_type WHERE q.p_partkey % 50 = 0),
+o AS (SELECT * FROM r WHERE query_id NOT IN (SELECT query_id FROM r WHERE hit)),
+n AS (SELECT query_id, xid, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, xid)::INT AS rank FROM o) SELECT * FROM n WHERE rank <= 5""")
+def search_nearest(spark, d):
+    part = _t(spark, d, "part")
+    asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), "p_type", (F.col("p_size") + 0.5).alias("target"))
+    relaxed = asked.join(part, "p_type").select("query_id", F.col("p_partkey").cast("string").alias("xid"))
+    values = part.select(F.col("p_partkey").cast("string").alias("xid"), F.lit("resistance").alias("parameter"), F.col("p_size").cast("double").alias("value"))
+    targets = asked.select("query_id", F.lit("resistance").alias("parameter"), "target")
+    hard = search.parametric(targets, values).join(relaxed, ["query_id", "xid"], "left_semi")
+    return search.nearest(targets, relaxed, hard, values, 5)
+
+
+@query(f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS n FROM ({SIM})) s JOIN embeddings q ON q.vec_id = s.query_id JOIN embeddings v ON v.vec_id = s.vec_id WHERE n <= 200 AND q.label = v.label QUALIFY rank <= 10".replace("SELECT query_id, vec_id, row", "SELECT query_id, s.vec_id, row", 1).replace("DESC, vec_id)::INT", "DESC, s.vec_id)::INT", 1))
+def semantic_hybrid(spark, d):
+    e = _t(spark, d, "embeddings")
+    asked = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    allowed = asked.select("query_id", "label").join(e.select("vec_id", "label"), "label").select("query_id", "vec_id")
+    return search.hybrid(asked, e, allowed, 10)
+
+
+@query(f"WITH {PARTS}, t AS (SELECT xid, row_number() OVER (ORDER BY mpn_norm, xid) AS n FROM parts), top AS (SELECT * FROM t WHERE n <= 11) SELECT xid, related, rank FROM (SELECT p.xid, top.xid AS related, row_number() OVER (PARTITION BY p.xid ORDER BY top.n)::INT AS rank FROM parts p JOIN top ON top.xid <> p.xid) WHERE rank <= 10")
+def related_parts(spark, d):
+    """All numbers of these tables are of one family."""
+    return search.related(catalogue.parts(spark, d))
+
+
+@query(f"WITH {PARTS} SELECT p.xid, p.manufacturer, p.category, p.package, p.stock, count(DISTINCT l_suppkey)::BIGINT AS suppliers FROM parts p LEFT JOIN lineitem ON l_partkey = p.p_partkey WHERE p.p_partkey % 50 = 0 GROUP BY ALL")
+def part_detail(spark, d):
+    parts = catalogue.parts(spark, d)
+    makers = _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("suppliers"))
+    asked = _number_queries(parts)
+    found = search.exact(asked, parts).select("xid").distinct().join(parts, "xid")
+    return found.join(makers, F.col("p_partkey") == F.col("l_partkey"), "left").select("xid", "manufacturer", "category", "package", "stock", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+
+
+@query()
+def search_result_json(spark, d):
+    return search.result_json(search_ranked(spark, d), ["xid", "stock", "price_usd"])
+
+
+@query("SELECT regexp_extract(lower(url), '^https?://([^/?#:@]+)', 1) AS host, count(*)::BIGINT AS n, count(*)::BIGINT AS starts, (count(*) - 1) * 0.5::DOUBLE AS last FROM pages GROUP BY 1")
+def link_schedule(spark, d):
+    plan = refresh.schedule(_t(spark, d, "pages").select(F.col("page_id").alias("url_id"), "url"), 0.5)
+    return plan.groupBy("host").agg(F.count("*").alias("n"), F.countDistinct("start").alias("starts"), F.max("start").cast("double").alias("last"))
+
+
+@query("SELECT p_partkey, concat_ws(' ', trim(p_name), p_type, p_size::VARCHAR, p_brand, 'x') AS text FROM part")
+def embed_text(spark, d):
+    part = _t(spark, d, "part")
+    return part.select("p_partkey", exprs.embed_text(F.col("p_name"), F.col("p_type"), F.col("p_size").cast("string"), F.array(F.lit("x"), "p_brand", F.lit(" "))).alias("text"))
