@@ -13,6 +13,7 @@ from quarry.operators import enrich, refresh, search
 from quarry.plans import catalogue_queries
 from quarry.sources import catalogue, ledger
 from quarry.streaming.ingest import ingest
+from quarry.streaming.links import CHECKS, COUNTS, carried, count_failures
 
 SF = "/root/testdata/sf0.001"
 UNITS = [("5V", 5.0), ("3.3V", 3.3), ("12VDC", 12.0), ("100nF", 1e-7), ("10uF", 1e-5), ("4.7µF", 4.7e-6), ("10kΩ", 1e4), ("10k", 1e4), ("2.2M", 2.2e6), ("500mA", 0.5), ("2.5A", 2.5), ("1MHz", 1e6), ("50Hz", 50.0), ("100ns", 1e-7), ("10µH", 1e-5), ("0.25W", 0.25), ("1%", 1.0), ("±1%", 1.0), ("±100ppm/℃", 100.0), ("1V~5V", None), ("2V@1mA", 2.0), ("abc", None), ("", None), (None, None)]
@@ -80,6 +81,26 @@ def test_stream_adds_nothing_twice(spark, tmp_path):
     assert {r["k"]: r["v"] for r in spark.read.parquet(f"{state}/snapshot-1").collect()} == {1: "new", 2: "x"}
 
 
+def test_failures_are_carried(spark, tmp_path):
+    src, state = tmp_path / "in", str(tmp_path / "state")
+    src.mkdir()
+    runs = [
+        [(1, 1, False), (1, 2, False), (2, 1, False), (2, 2, True), (2, 3, False), (4, 1, True), (None, 1, False), (5, 1, None)],
+        [(1, 3, False), (1, 3, False), (2, 3, False), (2, 2, True), (3, 1, False), (4, 2, False)],
+        [(1, 4, True), (1, 5, False), (3, 2, False), (3, 3, True)],
+    ]
+    want = [{1: 2, 2: 1, 4: 0}, {1: 3, 2: 1, 3: 1, 4: 1}, {1: 1, 2: 1, 3: 0, 4: 1}]
+    for i, checks in enumerate(runs):
+        (src / f"{i}.json").write_text("".join(json.dumps(dict(zip(("url_id", "seq", "alive"), c, strict=True))) + "\n" for c in checks))
+        for _ in range(2):
+            count_failures(spark, str(src), state)
+        assert {r["url_id"]: r["fail_count"] for r in spark.read.parquet(f"{state}/snapshot-{i}").collect()} == want[i]
+    assert not os.path.exists(f"{state}/snapshot-3")
+    every = refresh.fail_counts(spark.createDataFrame([c for r in runs for c in r if None not in c], CHECKS).distinct())
+    assert {r["url_id"]: r["fail_count"] for r in every.collect()} == want[-1]
+    assert carried(spark.createDataFrame([], COUNTS), spark.createDataFrame([], CHECKS)).count() == 0
+
+
 def test_prices(spark):
     prices = {"0.5": 0.5, "[]": None, '[{"price": 0.1}]': 0.1, '[{"usd": "0.2"}]': 0.2, '[{"price": true}, {"Price": 3}]': 3.0, '[{"price": "x", "Price": 2}]': 2.0, "{}": None, "garbage": None, "": None, "[1, 2]": None, None: None}
     rows = spark.createDataFrame([(p,) for p in prices], "p string").select("p", exprs.tier_price(F.col("p")).alias("v")).collect()
