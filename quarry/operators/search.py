@@ -83,37 +83,43 @@ def parametric(targets: DataFrame, values: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "xid").agg(F.count("*").alias("got")).join(wanted, "query_id").where("got = wanted").select("query_id", "xid")
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def neighbours(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, on: str | None = None) -> DataFrame:
     """(query_id, vec_id, cosine, rank): the ``k`` nearest vectors of each query vector, exactly.
 
     Every block of queries is held against every vector; a task keeps its best ``k`` for
-    each query before anything is shuffled. Blocks are dealt by a hash of the query.
+    each query before anything is shuffled. Blocks are dealt by a hash of the query. With
+    ``on``, a column of both, only vectors that equal the query in it are among the ``k``.
     """
     import numpy as np
     import pyarrow as pa
 
+    wanted = F.col(on).cast("string") if on else F.lit("")
+    if on:
+        queries, vectors = queries.where(F.col(on).isNotNull()), vectors.where(F.col(on).isNotNull())
     blocks = max(1, -(-queries.count() // block))
     out = None
     for i in range(blocks):  # a stated query set, in blocks of bounded size
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "embedding").orderBy("query_id").collect()
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "embedding", wanted.alias("wanted")).orderBy("query_id").collect()
         if not rows:
             continue
         ids, q = [r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        sent = queries.sparkSession.sparkContext.broadcast((ids, q))
+        sent = queries.sparkSession.sparkContext.broadcast((ids, q, np.array([r["wanted"] for r in rows], object)))
 
         def run(batches, sent=sent):
-            ids, q = sent.value
+            ids, q, wanted = sent.value
             for b in batches:
-                got = [(v, e) for v, e in zip(b["vec_id"].to_pylist(), b["embedding"].to_pylist(), strict=True) if e is not None and len(e) == q.shape[1]]
+                got = [(v, e, x) for v, e, x in zip(*(b[c].to_pylist() for c in ("vec_id", "embedding", "wanted")), strict=True) if e is not None and len(e) == q.shape[1]]
                 if not got:
                     continue
-                names, m = np.array([v for v, _ in got]), np.array([e for _, e in got], float)
+                names, m = np.array([v for v, _, _ in got]), np.array([e for _, e, _ in got], float)
+                fits = wanted[:, None] == np.array([x for _, _, x in got], object)
                 c = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
-                order = np.lexsort((np.broadcast_to(names, c.shape), -np.round(c, 9)))[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])), pa.array(names[order].ravel()), pa.array(np.take_along_axis(c, order, 1).ravel())], ["query_id", "vec_id", "cosine"])
+                order = np.lexsort((np.broadcast_to(names, c.shape), -np.round(c, 9), ~fits))[:, :k]
+                keep = np.take_along_axis(fits, order, 1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(names[order].ravel()[keep]), pa.array(np.take_along_axis(c, order, 1).ravel()[keep])], ["query_id", "vec_id", "cosine"])
 
-        part = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, cosine double")
+        part = vectors.select("vec_id", "embedding", wanted.alias("wanted")).mapInArrow(run, "query_id long, vec_id long, cosine double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, cosine double, rank int")
@@ -159,12 +165,10 @@ def nearest(targets: DataFrame, relaxed: DataFrame, hard: DataFrame, values: Dat
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hybrid(queries: DataFrame, vectors: DataFrame, allowed: DataFrame, limit: int = 50) -> DataFrame:
-    """(query_id, vec_id, rank): semantic candidates, of which those in ``allowed`` (query_id, vec_id)
-    stay, in order of cosine."""
-    near = neighbours(queries, vectors, min(max(20 * limit, 200), 1500)).join(allowed, ["query_id", "vec_id"], "left_semi")
-    w = Window.partitionBy("query_id").orderBy(F.round("cosine", 9).desc(), "vec_id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(limit, 200)).select("query_id", "vec_id", "rank")
+def hybrid(queries: DataFrame, vectors: DataFrame, on: str, limit: int = 50) -> DataFrame:
+    """(query_id, vec_id, rank): the nearest of the vectors that equal the query in ``on``, in
+    order of cosine. The filter comes first, so none that fits is lost to nearer ones that do not."""
+    return neighbours(queries, vectors, min(limit, 200), on=on).select("query_id", "vec_id", "rank")
 
 
 def result_json(rows: DataFrame, fields: list[str]) -> DataFrame:

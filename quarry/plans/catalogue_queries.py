@@ -291,8 +291,7 @@ def search_nearest(spark, d):
 def semantic_hybrid(spark, d):
     e = _t(spark, d, "embeddings")
     asked = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    allowed = asked.select("query_id", "label").join(e.select("vec_id", "label"), "label").select("query_id", "vec_id")
-    return search.hybrid(asked, e, allowed, 10)
+    return search.hybrid(asked, e, "label", 10)
 
 
 @query(f"WITH {PARTS}, t AS (SELECT xid, row_number() OVER (ORDER BY mpn_norm, xid) AS n FROM parts), top AS (SELECT * FROM t WHERE n <= 11) SELECT xid, related, rank FROM (SELECT p.xid, top.xid AS related, row_number() OVER (PARTITION BY p.xid ORDER BY top.n)::INT AS rank FROM parts p JOIN top ON top.xid <> p.xid) WHERE rank <= 10")
