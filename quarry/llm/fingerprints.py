@@ -5,6 +5,8 @@ fraction of the hash range, plus its least hash, so that no sketch of a text wit
 is empty. Since the threshold is the same for all, the sketch of a union is the union
 of sketches (less the least hashes above the threshold), and the share of the smaller
 sketch found in the other estimates containment however unequal the documents are.
+Where the smaller text has no hash below the threshold, its least hash is looked up among
+all hashes of the other, whose sketch need not hold it; the texts are at hand for that.
 """
 
 from __future__ import annotations
@@ -20,20 +22,43 @@ SCALE = 3
 LIMIT = 1 << (63 - SCALE)
 
 
-def sketched(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the sorted sketch of column ``text``, as an array of longs.
-
-    Words are runs of anything but ASCII white space, A-Z lower-cased. A text of fewer
-    than five words is one shingle; a null or blank text has an empty sketch.
-    """
+def hashed(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with ``__w``, the words of ``text``, and ``__h``, the hashes of its shingles."""
     w = F.col("__w")
     hashes = F.transform(
         F.sequence(F.lit(1), F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))),
         lambda i: F.xxhash64(*[F.try_element_at(w, i + k) for k in range(SHINGLE)]).bitwiseAND(F.lit((1 << 63) - 1)),
     )
-    df = df.withColumn("__w", common.word_array(common.ascii_lower(F.col(text)))).withColumn("__h", hashes)
+    return df.withColumn("__w", common.word_array(common.ascii_lower(text))).withColumn("__h", hashes)
+
+
+def sketched(df: DataFrame, text: str, out: str, sought: Column | None = None) -> DataFrame:
+    """``df`` with ``out``: the sorted sketch of column ``text``, as an array of longs, with
+    ``out``_n, the number of its shingles, and ``out``_has, whether ``sought`` is one's hash.
+
+    Words are runs of anything but ASCII white space, A-Z lower-cased. A text of fewer
+    than five words is one shingle; a null or blank text has an empty sketch.
+    """
+    some = F.size("__w") > 0
+    df = hashed(df, F.col(text))
     kept = F.array_union(F.filter("__h", lambda h: h < LIMIT), F.array(F.array_min("__h")))
-    return df.withColumn(out, F.when(F.size(w) > 0, F.sort_array(kept)).otherwise(F.array().cast("array<bigint>"))).drop("__w", "__h")
+    df = df.withColumn(out, F.when(some, F.sort_array(kept)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(f"{out}_n", F.when(some, F.size(F.array_distinct("__h"))).otherwise(0))
+    if sought is not None:
+        df = df.withColumn(f"{out}_has", F.coalesce(some & F.array_contains("__h", sought), F.lit(False)))
+    return df.drop("__w", "__h")
+
+
+def holds(df: DataFrame, text: str, sought: Column, out: str) -> DataFrame:
+    """``df`` with ``out``: whether hash ``sought`` is of a shingle of ``text``; only asked where not null."""
+    df = hashed(df, F.when(sought.isNotNull(), F.col(text)))
+    return df.withColumn(out, F.coalesce((F.size("__w") > 0) & F.array_contains("__h", sought), F.lit(False))).drop("__w", "__h")
+
+
+def lone(sketch: Column) -> Column:
+    """The least hash of a text that has none below the threshold, else null."""
+    first = F.try_element_at(sketch, F.lit(1))
+    return F.when(first >= LIMIT, first)
 
 
 def written(sketch: Column) -> Column:
@@ -41,10 +66,15 @@ def written(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.hex(h))), ",")
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller text's shingles in the other; 1 for two empty texts."""
+def containment(a: Column, b: Column, n: Column, m: Column, a_in_b: Column, b_in_a: Column) -> Column:
+    """Estimated share of the smaller text's shingles in the other; 1 for two empty texts.
+
+    ``n`` and ``m`` count their shingles; ``a_in_b`` tells whether the lone hash of the first
+    is among all of the second, ``b_in_a`` the reverse.
+    """
     least = F.least(F.size(a), F.size(b))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
+    one = F.when((n <= m) & lone(a).isNotNull(), a_in_b.cast("double")).when((m <= n) & lone(b).isNotNull(), b_in_a.cast("double"))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(least == 0, 0.0).otherwise(F.coalesce(one, F.size(F.array_intersect(a, b)) / least))
 
 
 def followers(docs: DataFrame) -> DataFrame:
@@ -72,13 +102,18 @@ def compare(docs: DataFrame) -> DataFrame:
     order = common.stage_table(followers(docs), "followers")
     base = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
     quarter = F.floor(F.char_length("text") / 4).cast("int")
-    before = base.join(order, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before_id"), quarter.alias("take"))
     sk = sketched(base, "text", "sketch")
-    heads = sk.join(before, "doc_id").select(F.col("before_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"))
-    both = sk.join(heads, "doc_id")
+    before = sk.join(order, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before_id"), quarter.alias("take"), lone(F.col("sketch")).alias("sought"))
+    heads = holds(sk.join(before, "doc_id"), "text", F.col("sought"), "in_next")
+    heads = heads.select(F.col("before_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"), F.col("sketch_n").alias("next_n"), "in_next")
+    both = holds(sk.join(heads, "doc_id"), "text", lone(F.col("next_sketch")), "next_in")
     chars = F.char_length("text")
-    both = both.withColumn("n_chars", chars.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), (chars - F.floor(chars / 4)).cast("int")), F.col("head"))).drop("text", "head")
-    return sketched(both, "edited", "edited_sketch")
+    both = both.withColumn("n_chars", chars.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), (chars - F.floor(chars / 4)).cast("int")), F.col("head"))).drop("head")
+    out = sketched(both, "edited", "edited_sketch", lone(F.col("sketch")))
+    out = holds(out, "text", lone(F.col("edited_sketch")), "edited_in").drop("text")
+    c = F.col
+    out = out.withColumn("near_edited", containment(c("sketch"), c("edited_sketch"), c("sketch_n"), c("edited_sketch_n"), c("edited_sketch_has"), c("edited_in")))
+    return out.withColumn("near_next", containment(c("sketch"), c("next_sketch"), c("sketch_n"), c("next_n"), c("in_next"), c("next_in")))
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +124,6 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("edited", 256).alias("edited_sha256"),
         written(F.col("sketch")).alias("fingerprint"),
         written(F.col("edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )
