@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -13,7 +14,10 @@ from pyspark.sql.types import DataType, StructField, StructType
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of text that a task hands to Python objects at once.
+SLICE = 1 << 20
 
+_ROOTS: set[str] = set()
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -22,9 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
-    return f"{base.rstrip('/')}/quarry-{uuid.uuid4().hex}/{name}"
+    """A new path in the cluster's shared folder: that of spark.checkpoint.dir, else the warehouse.
+    All of an application's paths lie in one folder, which Spark removes when it ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    app = spark.sparkContext.applicationId
+    root = f"{base.rstrip('/')}/quarry-{app}"
+    if root not in _ROOTS:
+        _ROOTS.add(root)
+        at = spark._jvm.org.apache.hadoop.fs.Path(root)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{root}/{uuid.uuid4().hex}-{name}"
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -79,3 +92,15 @@ def pack(batch: pa.RecordBatch | pa.Table) -> bytes:
 
 def unpack(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
+
+
+def sliced(batches, column: str, size: int = SLICE):
+    """Batches cut where about ``size`` bytes of ``column`` (text) are reached, so that what Python
+    holds at once is bounded, but for a single longer text."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b[column].cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+        cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            yield b.slice(i, j - i)

@@ -1,18 +1,26 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon automaton reads the letters of a word and says what it is: an insult with a
-weight, a threat, a target, a negation, a verb of speech. Insults beyond a small seed
-list are learned: whole words and word beginnings that occur in significantly more
-toxic than clean training documents, weighted by their log odds. Transducers for
-negation, reported speech and targets are composed into one, which walks the words of a
-clause and marks each insult or threat by its context. What counts is thus matched
-clauses: a document's features are the weights of its matches by kind of context, and a
-logistic regression over them gives the score.
+Three kinds of machine are composed. The lexicon reads the letters of a word, arc by arc,
+and writes a symbol with a weight: an insult, a verb of harm, an intent, a target, a
+negation, a verb of speech. Clause transducers then read a clause's symbols: the threat
+transducer joins an intent and a verb of harm into a threat; target, negation and
+reported-speech transducers mark each insult and threat by its context and multiply its
+weight, up for a target, down for a negation or a report. Cues before a match are read
+left to right, cues after it right to left.
+
+What is scored is the matched clause: its weight is that of its heaviest path. A document's features are made of its clause weights alone, and a logistic
+regression over them, with weights that are never negative, gives the score; so a
+negation or a report can only lower it.
+
+Insults beyond a small seed list are learned: whole words and word beginnings that occur
+in more toxic than clean training documents, by evidence that holds against the number of
+patterns tried, weighted by their log odds.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,30 +32,35 @@ from .labelled import training_rows
 
 #: At most about so many labelled documents of each class are learned from.
 MAX_LABELLED = 20_000
-MAX_PATTERNS = 4_000
 THRESHOLD = 0.7
 PREFIXES = range(4, 8)
-#: A pattern's chance of being as toxic by luck must be under exp(-EVIDENCE).
-EVIDENCE = 10.0
+#: Of all patterns tried, so many at most are expected to look as toxic by luck.
+LUCKY = 7
+#: Words whose reading a task remembers, and the longest of them.
+REMEMBERED, REMEMBERED_CHARS = 60_000, 40
 
 SEED_WEIGHT = 2.0
 LEXICON = {
-    "insult": "idiot idiots moron morons scum trash loser losers pathetic worthless disgusting stupid imbecile connard salaud abruti idiota imbécil estúpido basura dumm dummkopf abschaum idioten",
-    "threat": "kill killing murder destroy hurt tuer töten umbringen matar",
-    "target": "you your yours he she they them tu vous toi te ils elles du ihr sie euch tú vosotros ellos ellas ustedes",
-    "negation": "not no never isn't aren't don't wasn't pas jamais nicht kein keine nie nunca",
-    "report": "said says say reported claimed wrote quoted dit disait sagte schrieb dijo escribió",
+    "insult": "idiot idiots moron morons scum trash loser losers pathetic worthless disgusting stupid imbecile clown vermin filth connard connasse salaud salope abruti ordure crétin idiota imbécil estúpido estúpida basura escoria inútil dumm dummkopf abschaum idioten trottel vollidiot",
+    "harm": "kill killing murder destroy hurt beat stab shoot strangle tuer frapper détruire töten umbringen schlagen vernichten matar golpear destruir",
+    "intent": "will shall gonna going must should i'll we'll vais allons va werde werden soll sollte voy vamos debe",
+    "target": "you your yours you're he she they them him her tu vous toi te ils elles lui du ihr sie dich euch dir tú vosotros ellos ellas ustedes él",
+    "negation": "not no never isn't aren't don't wasn't won't cannot can't pas jamais nicht kein keine nie nunca jamás",
+    "report": "said says say saying reported claimed wrote quoted called according dit disait écrit selon sagte sagt schrieb laut dijo dice escribió según",
 }
-KINDS = ("plain", "targeted", "negated", "reported")
-FEATURES = (*(f"insult_{k}" for k in KINDS), *(f"threat_{k}" for k in KINDS), "strongest", "matches")
-COLUMNS = tuple(f"__{f}" for f in FEATURES)
-_EDGE = ".,;:!?\"'()[]{}«»¿¡…|*#$%&"
+#: Weight of a harm verb without an intent, and factors of the contexts.
+BARE_HARM, TARGETED, NEGATED, REPORTED = 0.3, 1.5, 0.2, 0.25
+#: Words of its clause that a cue reaches.
+REACH = {"intent": 3, "target": 5, "negation": 3, "report": 12}
+MATCHES = ("insult", "threat")
+FEATURES = ("total", "heaviest", "clauses")
+_EDGE = ".,;:!?\"'()[]{}«»¿¡…|*#$%&“”„"
 _CLAUSE_END = (".", "!", "?", ";", ":")
 
 
 class Lexicon:
-    """Weighted automaton over letters: a trie whose states may accept a whole word, a word
-    beginning, or both."""
+    """Letter transducer: a trie whose states may accept a whole word, a word beginning, or both,
+    each with a symbol and a weight."""
 
     def __init__(self, patterns: list[tuple[str, float]]):
         self.root: dict = {}
@@ -66,91 +79,132 @@ class Lexicon:
 
     def read(self, word: str) -> tuple[str, float] | None:
         """(symbol, weight) of a word, the heaviest accepted reading; None if there is none."""
-        if word not in self.seen:
-            if len(self.seen) > 300_000:
-                self.seen.clear()
-            best, state = None, self.root
-            letters = word.strip(_EDGE)
-            for i, c in enumerate(letters):
-                state = state.get(c.join("__"))
-                if state is None:
-                    break
-                for accepted in (state.get("^"), state.get("=") if i == len(letters) - 1 else None):
-                    if accepted and (best is None or accepted[1] > best[1]):
-                        best = accepted
+        try:
+            return self.seen[word]
+        except KeyError:
+            pass
+        best, state = None, self.root
+        letters = word.strip(_EDGE)
+        for i, c in enumerate(letters):
+            state = state.get(c.join("__"))
+            if state is None:
+                break
+            for accepted in (state.get("^"), state.get("=") if i == len(letters) - 1 else None):
+                if accepted and (best is None or accepted[1] > best[1]):
+                    best = accepted
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        if len(word) <= REMEMBERED_CHARS:
             self.seen[word] = best
-        return self.seen[word]
+        return best
 
 
 class Transducer:
-    """Deterministic transducer over symbols; arcs not given keep the state and copy the symbol."""
+    """Deterministic weighted transducer over symbols: (state, symbol) -> (state, symbol, factor).
+    Arcs not given keep the state and copy the symbol at factor 1."""
 
     def __init__(self, arcs: dict):
         self.start, self.arcs = 0, arcs
 
     def step(self, state, symbol: str):
-        return self.arcs.get((state, symbol), (state, symbol))
+        return self.arcs.get((state, symbol)) or (state, symbol, 1.0)
+
+    def run(self, symbols: list[str]) -> tuple[list[str], list[float]]:
+        state, out, factors = self.start, [], []
+        for s in symbols:
+            state, s, f = self.step(state, s)
+            out.append(s)
+            factors.append(f)
+        return out, factors
 
 
 class Composed(Transducer):
-    """What ``first`` writes, ``second`` reads."""
+    """What ``first`` writes, ``second`` reads; factors multiply. Arcs are kept once walked."""
 
     def __init__(self, first: Transducer, second: Transducer):
+        super().__init__({})
         self.first, self.second, self.start = first, second, (first.start, second.start)
 
     def step(self, state, symbol: str):
-        a, middle = self.first.step(state[0], symbol)
-        b, out = self.second.step(state[1], middle)
-        return (a, b), out
+        arc = self.arcs.get((state, symbol))
+        if arc is None:
+            a, middle, f = self.first.step(state[0], symbol)
+            b, out, g = self.second.step(state[1], middle)
+            arc = self.arcs[state, symbol] = ((a, b), out, f * g)
+        return arc
+
 
+SYMBOLS = ("other", *LEXICON, *MATCHES[1:], *(f"{m}_{k}" for m in MATCHES for k in ("targeted", "negated", "reported")))
 
-def _marker(cue: str, mark: str, reach: int) -> Transducer:
-    """Marks insults and threats that follow ``cue`` within ``reach`` words of its clause."""
-    arcs = {}
+
+def _marker(cue: str, marks: dict[str, tuple[str, float]]) -> Transducer:
+    """Rewrites the symbols of ``marks`` within ``cue``'s reach; every other word uses it up."""
+    arcs, reach = {}, REACH[cue]
     for s in range(reach + 1):
-        arcs[s, cue] = (reach, cue)
-        arcs[s, "end"] = (0, "end")
-        if s:
-            for x in ("other", "target", "negation", "report"):
-                if x != cue:
-                    arcs[s, x] = (s - 1, x)
-            for x in ("insult", "threat"):
-                arcs[s, x] = (s - 1, f"{x}_{mark}")
+        for x in SYMBOLS:
+            arcs[s, x] = (reach if x == cue else max(0, s - 1), *(marks.get(x) or (x, 1.0) if s else (x, 1.0)))
     return Transducer(arcs)
 
 
-def grammar() -> Transducer:
-    """Reported speech marks first, then negation, then targets; what is left is plain."""
-    return Composed(_marker("report", "reported", 12), Composed(_marker("negation", "negated", 3), _marker("target", "targeted", 5)))
+def _threats() -> Transducer:
+    """A verb of harm within reach of an intent is a threat; without one it is a weak threat."""
+    out = _marker("intent", {"harm": ("threat", 1.0)})
+    out.arcs[0, "harm"] = (0, "threat", BARE_HARM)
+    return out
+
+
+def _contexts(cue: str, mark: str, factor: float, undo: bool = False) -> Transducer:
+    """Marks plain matches; with ``undo`` also those marked targeted, whose factor is taken back."""
+    marks = {m: (f"{m}_{mark}", factor) for m in MATCHES}
+    if undo:
+        marks |= {f"{m}_targeted": (f"{m}_{mark}", factor / TARGETED) for m in MATCHES}
+    return _marker(cue, marks)
+
+
+def forward() -> list[Transducer]:
+    """Left to right: threats, then reports, negations and targets before a match."""
+    return [_threats(), _contexts("report", "reported", REPORTED), _contexts("negation", "negated", NEGATED), _contexts("target", "targeted", TARGETED)]
+
+
+def backward() -> list[Transducer]:
+    """Right to left: reports and targets after a match."""
+    return [_contexts("report", "reported", REPORTED, undo=True), _contexts("target", "targeted", TARGETED)]
 
 
 class Matcher:
     def __init__(self, patterns: list[tuple[str, float]]):
-        self.lexicon, self.grammar = Lexicon(patterns), grammar()
-
-    def features(self, text: str) -> list[float]:
-        """Log of the summed weights of each kind of match, the heaviest match, log of matches."""
+        self.lexicon = Lexicon(patterns)
+        self.forward, self.backward = reduce(Composed, forward()), reduce(Composed, backward())
+
+    def clause(self, words: list[str]) -> float:
+        """Weight of a clause: that of its heaviest match in its context."""
+        read = [self.lexicon.read(w) or ("other", 0.0) for w in words]
+        symbols, ahead = self.forward.run([s for s, _ in read])
+        symbols, behind = self.backward.run(symbols[::-1])
+        return max(w * f * g for (s, w), f, g in zip(read, ahead, behind[::-1], strict=True) if s in ("insult", "harm"))
+
+    def features(self, text: str) -> tuple[float, float, float]:
+        """Log of the summed clause weights, the heaviest, log of the clauses that weigh 1 or more."""
         words = text.lower().split()
         read = self.lexicon.read
-        sums, heaviest, matches = dict.fromkeys(FEATURES[:-2], 0.0), 0.0, 0
-        if any((r := read(w)) and r[0] in ("insult", "threat") for w in set(words)):
-            state = self.grammar.start
-            for w in words:
-                symbol, weight = read(w) or ("other", 0.0)
-                state, out = self.grammar.step(state, symbol)
-                if symbol in ("insult", "threat"):
-                    sums[out if "_" in out else f"{out}_plain"] += weight
-                    heaviest, matches = max(heaviest, weight), matches + 1
-                if w.endswith(_CLAUSE_END):
-                    state, _ = self.grammar.step(state, "end")
-        return [*map(math.log1p, sums.values()), heaviest, math.log1p(matches)]
+        hits = {w for w in set(words) if (r := read(w)) and r[0] in ("insult", "harm")}
+        if not hits:
+            return 0.0, 0.0, 0.0
+        weights, begin, hit = [], 0, False
+        for i, w in enumerate(words, 1):
+            hit = hit or w in hits
+            if i == len(words) or w.endswith(_CLAUSE_END):
+                if hit:
+                    weights.append(self.clause(words[begin:i]))
+                begin, hit = i, False
+        return math.log1p(sum(weights)), max(weights), math.log1p(sum(x >= 1 for x in weights))
 
 
 def pattern_counts(training: DataFrame) -> DataFrame:
-    """(pattern, toxic, clean): documents that hold each word (=) and word beginning (^)."""
+    """(pattern, toxic, clean): distinct texts that hold each word (=) and word beginning (^)."""
 
     def run(batches):
-        for b in batches:
+        for b in common.sliced(batches, "text"):
             counts: dict[str, list[int]] = {}
             for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
                 found = set()
@@ -162,12 +216,17 @@ def pattern_counts(training: DataFrame) -> DataFrame:
                     counts.setdefault(p, [0, 0])[label] += 1
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["pattern", "toxic", "clean"])
 
-    per_batch = training.select("text", "label").mapInArrow(run, "pattern string, toxic long, clean long")
+    per_batch = training.select("text", "label").distinct().mapInArrow(run, "pattern string, toxic long, clean long")
     return per_batch.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_patterns(training: DataFrame) -> list[tuple[str, float]]:
-    """Patterns that are toxic beyond chance, with their log odds; at most MAX_PATTERNS."""
+    """Patterns that are toxic beyond chance, with their log odds.
+
+    A word is read by its heaviest pattern, so a pattern that begins with one of at least
+    its weight decides nothing and is left out. What remains is as many as the bounded
+    sample bears out.
+    """
     totals = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
@@ -177,34 +236,59 @@ def learn_patterns(training: DataFrame) -> list[tuple[str, float]]:
     against = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - base))).otherwise(0.0)
     evidence = n * (q * F.log(q / base) + against)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    found = pattern_counts(training).where("toxic > 1").select("pattern", odds.alias("weight"), evidence.alias("evidence")).where((F.col("evidence") > EVIDENCE) & (F.col("weight") > 1.5))
-    return [(r["pattern"], r["weight"]) for r in found.orderBy(F.desc("evidence"), "pattern").limit(MAX_PATTERNS).collect()]
+    counts = common.stage_table(pattern_counts(training), "pattern_counts")
+    least = math.log(max(1, counts.count()) / LUCKY)
+    found = counts.where("toxic > 1").select("pattern", odds.alias("weight"), evidence.alias("evidence")).where((F.col("evidence") > least) & (F.col("weight") > 1.5))
+    found = common.stage_table(found.select("pattern", "weight"), "patterns")
+    shorter = F.array(*[F.concat(F.lit("^"), F.substring("pattern", 2, k)) for k in PREFIXES])
+    heads = found.select(F.col("pattern").alias("head"), F.col("weight").alias("head_weight"))
+    implied = found.select("pattern", "weight", F.explode(F.array_distinct(shorter)).alias("head")).join(heads, "head").where("head != pattern AND head_weight >= weight").select("pattern")
+    return [(r["pattern"], r["weight"]) for r in found.join(implied, "pattern", "left_anti").collect()]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights of a logistic regression, the intercept last, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, keep = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w + np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + keep, x.T @ (y - p) - keep @ w)
-    return w
+    """Weights of a logistic regression, the intercept last, by Newton's method. A feature whose
+    weight would be negative is left out, the most negative first."""
+    used = list(range(x.shape[1]))
+    while True:
+        a = np.hstack([x[:, used], np.ones((len(x), 1))])
+        w, keep = np.zeros(a.shape[1]), ridge * np.eye(a.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            w = w + np.linalg.solve((a.T * (p * (1 - p) + 1e-9)) @ a + keep, a.T @ (y - p) - keep @ w)
+        if not used or w[:-1].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[*used, -1]] = w
+            return out
+        used.pop(int(w[:-1].argmin()))
+
+
+class Model:
+    """Learned patterns and the regression's weights, the intercept last."""
+
+    def __init__(self, patterns: list[tuple[str, float]], weights: list[float]):
+        self.patterns, self.weights = patterns, weights
 
 
-def features(docs: DataFrame, patterns: list[tuple[str, float]], extra: list[str]) -> DataFrame:
+def _batch_features(matcher: Matcher, texts: list[str | None]) -> np.ndarray:
+    return np.array([matcher.features(t or "") for t in texts], float).reshape(-1, len(FEATURES))
+
+
+def features(docs: DataFrame, patterns: list[tuple[str, float]], extra: str) -> DataFrame:
+    """``extra`` and the features of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches):
         matcher = Matcher(sent.value)
-        for b in batches:
-            rows = np.array([matcher.features(t or "") for t in b["text"].to_pylist()], float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in extra), *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], [*extra, *COLUMNS])
+        for b in common.sliced(batches, "text"):
+            rows = _batch_features(matcher, b["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([b[extra], *(pa.array(rows[:, i]) for i in range(len(FEATURES)))], [extra, *FEATURES])
 
-    read = docs.select(*dict.fromkeys([*extra, "text"]))
-    return read.mapInArrow(run, common.with_fields(docs.select(*extra).schema, **dict.fromkeys(COLUMNS, "double")))
+    read = docs.select(extra, "text")
+    return read.mapInArrow(run, common.with_fields(read.select(extra).schema, **dict.fromkeys(FEATURES, "double")))
 
 
-def train(docs: DataFrame, labels: DataFrame, training) -> tuple[list[tuple[str, float]], list[float]]:
+def train(docs: DataFrame, labels: DataFrame, training) -> Model:
     """Patterns and regression weights from bounded samples of labelled documents.
 
     ``training`` is a condition on the labels' doc_id. Without documents of both
@@ -212,32 +296,60 @@ def train(docs: DataFrame, labels: DataFrame, training) -> tuple[list[tuple[str,
     """
     sample = common.stage_table(training_rows(docs, labels, "toxic", training, MAX_LABELLED), "labelled")
     patterns = learn_patterns(sample)
-    rows = np.array([list(r) for r in features(sample, patterns, ["label"]).collect()], float)  # at most 2 * MAX_LABELLED rows of 11 numbers
+    rows = np.array([list(r) for r in features(sample, patterns, "label").collect()], float)  # at most 2 * MAX_LABELLED rows of 4 numbers
     if not len(rows) or len(set(rows[:, 0])) < 2:
-        return patterns, [*[0.5] * (len(FEATURES) - 1), 1.0, -3.0]
-    return patterns, fit(rows[:, 1:], rows[:, 0]).tolist()
+        return Model(patterns, [1.0, 1.5, 0.0, -3.0])
+    return Model(patterns, fit(rows[:, 1:], rows[:, 0]).tolist())
+
+
+def _scorer(model: Model):
+    matcher, weights = Matcher(model.patterns), np.array(model.weights)
+
+    def scores(texts: list[str | None]) -> np.ndarray:
+        z = _batch_features(matcher, texts) @ weights[:-1] + weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+    return scores
 
 
 def score(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
     """doc_id, score and predicted for every row; null and empty texts match nothing and
-    get the score of that. Repeated rows get equal scores; other columns are left out."""
-    found, p = _scored(docs, labels, training, ["doc_id"])
-    return found.select("doc_id", p.alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    get the score of that. Repeated rows get equal scores; other columns are left out. An
+    empty table gives an empty result."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, training))
+
+    def run(batches):
+        scores = _scorer(sent.value)
+        for b in common.sliced(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(scores(b["text"].to_pylist()))], ["doc_id", "score"])
+
+    read = docs.select("doc_id", "text")
+    found = read.mapInArrow(run, common.with_fields(read.select("doc_id").schema, score="double"))
+    return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def reject(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
-    """The rows of ``docs``, all columns kept, that are not predicted toxic."""
-    found, p = _scored(docs, labels, training, docs.columns)
-    return found.where(p < THRESHOLD).select(*docs.columns)
+    """The rows of ``docs``, all columns kept, that are not predicted toxic.
 
+    No column is added on the way, so none can clash. Null and empty texts match nothing
+    and stay; of repeated rows all stay or none; an empty table gives an empty result.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, training))
 
-def _scored(docs: DataFrame, labels: DataFrame, training, columns: list[str]):
-    patterns, weights = train(docs, labels, training)
-    z = sum((F.col(c) * F.lit(w) for c, w in zip(COLUMNS, weights, strict=False)), F.lit(weights[-1]))
-    return features(docs, patterns, columns), 1 / (1 + F.exp(-z))
+    def run(batches):
+        scores = _scorer(sent.value)
+        for b in common.sliced(batches, "text"):
+            yield b.filter(pa.array(scores(b["text"].to_pylist()) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``documents``, by ``score``.
+
+    Labels of rows whose crc32 of the id is 1 modulo 3 are held out. A null id counts as
+    an empty string there. Everything else is as ``score`` says.
+    """
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
     held_out = common.id_remainder(F.col("doc_id"), 3) == 1
     return score(docs, labels, ~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")
