@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Words that are given to the tokenizer at once.
+ENCODED = 1_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,9 +78,9 @@ def _unused(columns: list[str], name: str) -> str:
     return name
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False, text: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (array of int); a null or empty text has no ids. With
-    ``decoded``, ``decode`` follows in the same tasks.
+    ``decoded``, ``decode`` follows in the same tasks; without ``text`` that column is left out.
 
     Every row is kept, repeated ones too, with all its columns; a column named ids is
     replaced. An empty table gives an empty table.
@@ -86,7 +88,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> Da
     spark, n = docs.sparkSession, common.partitions(docs.sparkSession)
     docs = docs.drop("ids", *(["decoded"] if decoded else []))
     own, added, content = docs.columns, vocabulary.added, spark.sparkContext.broadcast(vocabulary.text)
-    schema = common.with_fields(docs.schema, ids="array<int>", **({"decoded": "string"} if decoded else {}))
+    out = own if text else [c for c in own if c != "text"]
+    schema = common.with_fields(docs.select(*out).schema, ids="array<int>", **({"decoded": "string"} if decoded else {}))
     pieces = spark.sparkContext.broadcast(vocabulary.pieces) if decoded else None
     chunk = _unused(own, "__chunk")
     labels = common.even_labels(spark, n)
@@ -95,7 +98,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> Da
 
     words = packed.mapInArrow(distinct_words(added, labels), "chunk int, bucket int, rows binary").repartition(n, "bucket")
     encoded = words.mapInArrow(encode_words(content), "chunk int, words binary")
-    return packed.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(look_up(own, added, pieces), schema)
+    return packed.groupBy("chunk").cogroup(encoded.groupBy("chunk")).applyInArrow(look_up(out, added, pieces), schema)
 
 
 def pack_rows(chunk: str, own: list[str]):
@@ -119,8 +122,9 @@ def distinct_words(added: list[str], labels: list[int]):
         for b in batches:
             for c, rows in zip(b["chunk"].to_pylist(), b["rows"].to_pylist(), strict=True):
                 words = found.setdefault(c, set())
-                for text in common.unpack(rows)["text"].to_pylist():
-                    words.update(split(text or ""))
+                for part in common.sliced(common.unpack(rows).to_batches(), "text"):
+                    for text in part["text"].to_pylist():
+                        words.update(split(text or ""))
         for c, words in found.items():
             lists: dict[int, list] = {}
             for w in words:
@@ -141,13 +145,17 @@ def encode_words(content):
         tokenizer = Tokenizer.from_str(content.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
         for b in batches:
             for c, rows in zip(b["chunk"].to_pylist(), b["rows"].to_pylist(), strict=True):
                 words = common.unpack(rows)["word"].to_pylist()
                 new = [w for w in words if w not in known]
-                known.update(zip(new, (e.ids for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-                ids = pa.array([known[w] for w in words], pa.list_(pa.int32()))
+                for i in range(0, len(new), ENCODED):
+                    some = new[i : i + ENCODED]
+                    known.update(zip(some, (np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
+                found = [known[w] for w in words]
+                ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
                 blob = common.pack(pa.table({"word": words, "ids": ids}))
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "words"])
 
@@ -157,6 +165,7 @@ def encode_words(content):
 def look_up(own: list[str], added: list[str], pieces=None):
     """Join a chunk's documents, word by word in order, with the ids of its words, and the ids
     with their pieces if those are given."""
+    held: list[pa.Array] = []  # the piece table, made once a task
 
     def run(packed: pa.Table, encoded: pa.Table) -> pa.Table:
         split = splitter(added)
@@ -178,7 +187,9 @@ def look_up(own: list[str], added: list[str], pieces=None):
             made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
             done.append(texts.select(own).append_column("ids", made))
             if pieces is not None:
-                done[-1] = done[-1].append_column("decoded", join_pieces(made, piece_table(pieces.value)))
+                if not held:
+                    held.append(piece_table(pieces.value))
+                done[-1] = done[-1].append_column("decoded", join_pieces(made, held[0]))
         return pa.concat_tables(done)
 
     return run
@@ -221,9 +232,10 @@ def decode(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text."""
+    """doc_id, n_tokens and the digests of ids and decoded text, for every row, repeated ones too.
+    A null or empty text has no tokens; other columns are left out."""
     vocabulary = Vocabulary(path or public_tokenizers.path(VOCABULARY))
-    both = encode(docs.select("doc_id", "text"), vocabulary, decoded=True)
+    both = encode(docs.select("doc_id", "text"), vocabulary, decoded=True, text=False)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -100,7 +100,7 @@ def sliced(batches, column: str, size: int = SLICE):
     for b in batches:
         if not b.num_rows:
             continue
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b[column].cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:], strict=False):
             yield b.slice(i, j - i)

@@ -26,24 +26,28 @@ SHAPES, WORDS, COUNTS = 512, 1024, 4
 TERMS = SHAPES + WORDS + COUNTS
 RANK, NEIGHBOURS, BLOCK = 48, 25, 256
 SHARPNESS = 4
+#: Words whose slots a task remembers, and the longest of them.
+REMEMBERED, REMEMBERED_CHARS = 60_000, 40
 THRESHOLD = 0.7
 _RUNS = re.compile(r"(.)\1+")
 
 
 def shape(word: str) -> str:
     """Capitals as A, other letters as a, digits as 0; runs shortened to two at most."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUNS.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, kinds)
 
 
 class Terms(dict):
-    """word -> shape slot * WORDS + word slot, worked out once for each word."""
+    """word -> shape slot * WORDS + word slot; words of up to ``REMEMBERED_CHARS`` are remembered."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) >= REMEMBERED:
             self.clear()
-        slots = zlib.crc32(shape(word).encode()) % SHAPES, zlib.crc32(word.lower().encode()) % WORDS
-        self[word] = code = slots[0] * WORDS + slots[1]
+        slots = zlib.crc32(shape(word).encode("utf-8", "replace")) % SHAPES, zlib.crc32(word.lower().encode("utf-8", "replace")) % WORDS
+        code = slots[0] * WORDS + slots[1]
+        if len(word) <= REMEMBERED_CHARS:
+            self[word] = code
         return code
 
 
@@ -90,9 +94,17 @@ class Space:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def vote(self, vectors: np.ndarray) -> np.ndarray:
-        cosines = self.project(vectors) @ self.vectors.T
-        k = min(NEIGHBOURS, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        """Scores of up to ``BLOCK`` vectors. Blocks are filled up to that, so a vector's products do
+        not depend on what stands beside it. Neighbours equally near to six digits are taken in
+        the order of the labelled sample: by id, then by vector."""
+        block = np.zeros((BLOCK, vectors.shape[1]), np.float32)
+        block[: len(vectors)] = vectors
+        cosines = (self.project(block) @ self.vectors.T)[: len(vectors)]
+        n = cosines.shape[1]
+        k = min(NEIGHBOURS, n)
+        order = np.rint(cosines * -1e6).astype(np.int64) * n + np.arange(n)  # no two are equal
+        near = np.argpartition(order, k - 1, axis=1)[:, :k]
+        near.sort(axis=1)
         weight = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6) ** SHARPNESS
         return (weight * self.labels[near]).sum(1) / weight.sum(1)
 
@@ -103,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, training) -> Space | None:
 
     def run(batches):
         terms = Terms()
-        for b in batches:
+        for b in common.sliced(batches, "text"):
             vectors = [term_vector(t or "", terms).tobytes() for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["label"], pa.array(vectors, pa.binary())], ["doc_id", "label", "vector"])
 
@@ -117,12 +129,12 @@ def train(docs: DataFrame, labels: DataFrame, training) -> Space | None:
 def score(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
     """doc_id, score and predicted for every row. A null or empty text is the zero vector and
     gets its neighbours' vote; without any labelled document every score is 0.5. Repeated
-    rows get equal scores; other columns are left out."""
+    rows get equal scores, ties are broken as ``Space.vote`` says; other columns are left out."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, training))
 
     def run(batches):
         terms, space = Terms(), sent.value
-        for b in batches:
+        for b in common.sliced(batches, "text"):
             texts = b["text"].to_pylist()
             scores = [np.full(0, 0.5)]
             for i in range(0, len(texts), BLOCK):
@@ -136,6 +148,11 @@ def score(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row of ``documents``, by ``score``.
+
+    Labels of rows whose crc32 of the id is 2 modulo 4 are held out. A null id counts as
+    an empty string there.
+    """
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
     held_out = common.id_remainder(F.col("doc_id"), 4) == 2
     return score(docs, labels, ~held_out).select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -90,7 +90,7 @@ def measures(docs: DataFrame) -> DataFrame:
     """Counts and votes of every document; a null text has no words, and rules abstain on it."""
 
     def run(batches):
-        for b in batches:
+        for b in common.sliced(batches, "text"):
             rows = [measure(t or "") for t in b["text"].to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             arrays = [b["doc_id"].cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.string())]
@@ -134,5 +134,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``judge`` of every row of ``documents``, repeated rows and null ids included; nulls, empty
+    texts and empty tables as it says there."""
     out = judge(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes")
