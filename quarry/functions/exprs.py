@@ -26,16 +26,26 @@ def attr_name(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)", " "), r"\s+", " ")))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of ``value``, which is worked out once however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def magnitude(text: Column) -> Column:
     """SI magnitude of a value such as ``100nF`` or ``2V@1mA``; null for ranges and prose."""
-    value = F.ltrim(F.split_part(F.trim(text), F.lit("@"), F.lit(1)), F.lit(QUALIFIERS))
-    number = F.regexp_extract(value, NUMBER, 0)
-    rest = F.ltrim(F.substring(value, F.length(number) + 1, F.length(value)))
-    prefix, after = F.substring(rest, 1, 1), F.substring(rest, 2, 1)
     table = F.create_map(*[F.lit(x) for kv in SI_PREFIXES.items() for x in kv])
-    scaled = (F.length(rest) == 1) | ((after != "") & F.contains(F.lit(UNIT_SYMBOLS), after))
-    factor = F.when(scaled, F.coalesce(F.try_element_at(table, prefix), F.lit(1.0))).otherwise(1.0)
-    return F.when(F.contains(text, F.lit("~")) | (number == ""), None).otherwise(number.cast("double") * factor)
+    value = F.ltrim(F.split_part(F.trim(text), F.lit("@"), F.lit(1)), F.lit(QUALIFIERS))
+
+    def scaled(s: Column) -> Column:
+        prefix, after = F.substring(s["rest"], 1, 1), F.substring(s["rest"], 2, 1)
+        has_prefix = (F.length(s["rest"]) == 1) | ((after != "") & F.contains(F.lit(UNIT_SYMBOLS), after))
+        return s["number"].cast("double") * F.when(has_prefix, F.coalesce(F.try_element_at(table, prefix), F.lit(1.0))).otherwise(1.0)
+
+    def read(v: Column) -> Column:
+        rest = lambda n: F.struct(n.alias("number"), F.ltrim(F.substring(v, F.length(n) + 1, F.length(v))).alias("rest"))
+        return let(let(F.regexp_extract(v, NUMBER, 0), rest), lambda s: F.when(s["number"] != "", scaled(s)))
+
+    return F.when(~F.contains(text, F.lit("~")), let(value, read))
 
 
 def value_range(text: Column) -> tuple[Column, Column]:
@@ -45,12 +55,76 @@ def value_range(text: Column) -> tuple[Column, Column]:
     return F.when(both, low), F.when(both, high)
 
 
-def tags(text: Column, lexicon: dict[str, str]) -> Column:
-    """Names of the patterns of ``lexicon`` found in a text, in its order."""
-    found = [F.when(F.coalesce(text, F.lit("")).rlike(rf"(?iU)\b{p}\b"), F.lit(name)) for name, p in lexicon.items()]
+# Protocol tags and the patterns they are known by.
+PROTOCOLS = {
+    "RS-232": r"RS[\s-]?232", "RS-485": r"RS[\s-]?485", "I2C": "I2C", "SPI": "SPI", "UART": "UART", "USB": "USB",
+    "CAN": "CAN", "LIN": "LIN", "Ethernet": "Ethernet", "HDMI": "HDMI", "LVDS": "LVDS", "PCIe": "PCIe",
+}
+
+
+def tags(text: Column, lexicon: dict[str, str] | None = None) -> Column:
+    """Names of the patterns of ``lexicon`` (protocols by default) found in a text, in its order."""
+    found = [F.when(F.coalesce(text, F.lit("")).rlike(rf"(?iU)\b{p}\b"), F.lit(name)) for name, p in (lexicon or PROTOCOLS).items()]
     return F.array_compact(F.array(*found))
 
 
+# Attribute name -> physical dimension -> SI symbol.
+DIMENSION_SYMBOLS = {"resistance": "Ω", "capacitance": "F", "inductance": "H", "voltage": "V", "current": "A", "power": "W", "frequency": "Hz", "tolerance": "%"}
+DIMENSIONS = {
+    "resistance": ["resistance"], "capacitance": ["capacitance"], "inductance": ["inductance"], "power": ["power", "power dissipation"],
+    "tolerance": ["tolerance"], "frequency": ["frequency", "clock frequency"], "current": ["current", "output current", "supply current", "standby current"],
+    "voltage": ["voltage", "supply voltage", "output voltage", "input voltage", "operating voltage", "overload voltage", "maximum input voltage", "minimum input voltage", "max voltage", "min voltage"],
+}
+
+
+def unit(name: Column) -> Column:
+    """SI symbol of what an attribute's name measures, null for names of no known dimension."""
+    table = F.create_map(*[F.lit(x) for d, names in DIMENSIONS.items() for n in names for x in (n, DIMENSION_SYMBOLS[d])])
+    return F.try_element_at(table, attr_name(name))
+
+
+def stamp(at: Column) -> Column:
+    """RFC 3339 text of a time, in seconds; the session's time zone must be UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def link_status(url: Column, status: Column) -> Column:
+    """struct(alive, http_status) of a check: 200 to 399 is alive; an address that may not be asked is
+    dead with status 0, and so is one that did not answer."""
+    code = F.when(checkable(url), F.coalesce(status, F.lit(0))).otherwise(0).cast("int")
+    return F.struct(code.between(200, 399).alias("alive"), code.alias("http_status"))
+
+
+def sparse(columns: list[str]) -> Column:
+    """The named numeric columns as a map without nulls."""
+    return F.map_filter(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.col(c).cast("double") for c in columns])), lambda k, v: v.isNotNull())
+
+
+EXTRA = "struct<mpn:string,attributes:map<string,variant>>"
+
+
+def extra(raw: Column) -> Column:
+    """struct(mpn, attributes) of an ``extra`` field; null if it is empty, no JSON or no object."""
+    return F.when(F.json_object_keys(raw).isNotNull(), F.from_json(raw, EXTRA))
+
+
+def corrupt(raw: Column) -> Column:
+    """Whether an ``extra`` field says something that is no JSON object."""
+    return F.coalesce((raw != "") & F.json_object_keys(raw).isNull(), F.lit(False))
+
+
+def attribute_records(attributes: Column) -> Column:
+    """array<struct(name, value_text)> of a map<string,variant>, in its order: a text is itself, an
+    object stands for its ``primary``; payloads of other kinds are left out."""
+
+    def record(e: Column) -> Column:
+        kind = F.schema_of_variant(e["value"])
+        text = F.when(kind == "STRING", F.try_variant_get(e["value"], "$", "string")).otherwise(F.try_variant_get(e["value"], "$.primary", "string"))
+        return F.when((kind == "STRING") | kind.startswith("OBJECT"), F.struct(e["key"].alias("name"), text.alias("value_text")))
+
+    return F.coalesce(F.array_compact(F.transform(F.map_entries(attributes), record)), F.array().cast("array<struct<name:string,value_text:string>>"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; 0 for a zero vector, null for different lengths or nulls."""
     def dot(x, y):
@@ -60,21 +134,33 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), None).when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
 
 
-def checkable(url: Column) -> Column:
-    """http(s) addresses whose host is a dotted name with an alphabetic top level or a public
-    IPv4 literal."""
-    host = F.lower(F.regexp_extract(url, r"^(?i)https?://([^/?#:@]+)", 1))
-    octet = [F.split_part(host, F.lit("."), F.lit(i)).cast("int") for i in (1, 2, 3, 4)]
-    ip = host.rlike(r"^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}$")
-    a, b, c, d = octet
+def host(url: Column) -> Column:
+    """Lower-cased host of an http(s) address, without brackets; empty for others."""
+    named, literal = F.regexp_extract(url, r"^(?i)https?://([^/?#:@\[\]]+)", 1), F.regexp_extract(url, r"^(?i)https?://\[([0-9a-f:.]+)\](?:[:/?#]|$)", 1)
+    return F.lower(F.when(literal != "", literal).otherwise(named))
+
+
+def _public_ipv4(name: Column) -> Column:
+    """Whether a dotted address is public; null for what is none."""
+    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    a, b, c, d = (F.split_part(name, F.lit("."), F.lit(i)).try_cast("int") for i in (1, 2, 3, 4))
     # Ranges that are not public.
     private = (
         a.isin(0, 10, 127) | (a >= 224) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
         | ((a == 192) & (b == 0) & (c == 0) & (d != 9)) | ((a == 192) & (b == 0) & (c == 2)) | ((a == 198) & b.isin(18, 19))
         | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
     )
-    name = host.rlike(r"^[a-z0-9_-]+(\.[a-z0-9_-]+)*\.[a-z]{2,}$")
-    return F.coalesce(F.when(ip, ~private).otherwise(name), F.lit(False))
+    return F.when(name.rlike(rf"^{octet}(\.{octet}){{3}}$"), ~private)
+
+
+def checkable(url: Column) -> Column:
+    """http(s) addresses whose host is a dotted name with an alphabetic top level or a public
+    address: a dotted one, or an IPv6 one in 2000::/3 that is not for documentation and neither
+    maps nor tunnels a dotted one."""
+    named = host(url)
+    name = named.rlike(r"^[a-z0-9_-]+(\.[a-z0-9_-]+)*\.[a-z]{2,}$")
+    v6 = named.rlike(r"^[23][0-9a-f]{3}:[0-9a-f:]+$") & ~named.rlike(r"^(2001:0?db8|2001:0{0,3}:|2001::|2002|3fff):?")
+    return F.coalesce(F.when(F.contains(named, F.lit(":")), v6).otherwise(F.coalesce(_public_ipv4(named), name)), F.lit(False))
 
 
 def sane(new: Column, old: Column, most: float) -> Column:
@@ -156,7 +242,3 @@ def embed_text(description: Column, category: Column, package: Column, tags: Col
     base = F.filter(F.transform(F.array(description, category, package), lambda c: F.trim(c)), lambda c: c != "")
     named = F.array_sort(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != ""))
     return F.when(F.size(base) == 0, "").otherwise(F.concat_ws(" ", base, named))
-
-
-def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^(?i)https?://([^/?#:@]+)", 1))

@@ -14,32 +14,63 @@ PROMOTIONS = {
     "supply current": "current_max", "standby current": "current_max", "current": "current_max", "overload voltage": "voltage_max",
     "maximum input voltage": "voltage_max", "max voltage": "voltage_max", "minimum input voltage": "voltage_min", "min voltage": "voltage_min",
 }
+# The typed parameters.
 PARAMETERS = ("voltage_min", "voltage_max", "current_max", "resistance", "capacitance", "inductance", "frequency_max", "power", "tolerance_pct")
 
 
-def enrich(attributes: DataFrame) -> DataFrame:
-    """``attributes`` (pos, name, value_text, ...) with ``sub_pos`` and ``value_num``.
+def enriched(name: Column, text: Column) -> Column:
+    """array<struct(name, value_text, value_num, unit)> of one attribute.
 
-    A range keeps its row, without a number, and gains a (min) and a (max) row; a list
-    of several readable values gains a row for each; any other value is read in place.
+    A range keeps its row, without a number, and gains a (min) and a (max) row if both ends
+    can be read; a list of several readable values gains a row for each; any other value is
+    read in place. Only rows with a number have a unit. Each text is read once.
     """
-    low, high = exprs.value_range(F.col("value_text"))
-    items = F.filter(F.transform(F.split("value_text", ";"), lambda t: F.struct(t.alias("t"), exprs.magnitude(t).alias("v"))), lambda s: s["v"].isNotNull())
-    row = lambda name, num: F.struct(name.alias("name"), num.alias("value_num"))
-    name, none = F.col("name"), F.lit(None).cast("double")
-    made = (
-        F.when(low.isNotNull(), F.array(row(name, none), row(F.concat(name, F.lit(" (min)")), low), row(F.concat(name, F.lit(" (max)")), high)))
-        .when(F.contains(F.col("value_text"), F.lit(";")) & (F.size(items) > 1), F.concat(F.array(row(name, none)), F.transform(items, lambda s: row(name, s["v"]))))
-        .otherwise(F.array(row(name, exprs.magnitude(F.col("value_text")))))
-    )
+    ranged, many = F.contains(text, F.lit("~")), F.contains(text, F.lit(";"))
+    pieces = F.when(ranged, F.array(F.substring_index(text, "~", 1), F.substring(text, F.instr(text, "~") + 1, F.length(text)))).when(many, F.concat(F.transform(F.split(text, ";"), F.trim), F.array(text))).otherwise(F.array(text))
+    symbol = exprs.unit(name)
+
+    def row(n: Column, t: Column, v: Column) -> Column:
+        return F.struct(n.alias("name"), t.alias("value_text"), v.alias("value_num"), F.when(v.isNotNull(), symbol).alias("unit"))
+
+    def made(read: Column) -> Column:
+        whole = F.try_element_at(read, F.lit(-1))
+        low, high = F.try_element_at(read, F.lit(1))["v"], F.try_element_at(read, F.lit(2))["v"]
+        bare = F.array(row(name, text, F.lit(None).cast("double")))
+        listed = F.filter(F.slice(read, 1, F.greatest(F.size(read) - 1, F.lit(0))), lambda s: s["v"].isNotNull())
+        ends = F.array(row(F.concat(name, F.lit(" (min)")), text, low), row(F.concat(name, F.lit(" (max)")), text, high))
+        return (
+            F.when(ranged, F.when(low.isNotNull() & high.isNotNull(), F.concat(bare, ends)).otherwise(bare))
+            .when(many & (F.size(listed) > 1), F.concat(bare, F.transform(listed, lambda s: row(name, s["t"], s["v"]))))
+            .otherwise(F.array(row(name, text, whole["v"])))
+        )
+
+    return exprs.let(F.transform(pieces, lambda t: F.struct(t.alias("t"), exprs.magnitude(t).alias("v"))), made)
+
+
+def enrich(attributes: DataFrame) -> DataFrame:
+    """``attributes`` (pos, name, value_text, ...) with ``sub_pos``, ``value_num`` and ``unit``, as
+    ``enriched`` makes of each; other columns are kept."""
     keep = [c for c in attributes.columns if c not in ("name", "value_text")]
-    return attributes.select(*keep, "value_text", F.posexplode(made).alias("sub_pos", "m")).select(*keep, "sub_pos", "m.name", "value_text", "m.value_num")
+    rows = attributes.select(*keep, F.posexplode(enriched(F.col("name"), F.col("value_text"))).alias("sub_pos", "m"))
+    return rows.select(*keep, "sub_pos", "m.*")
+
+
+def promoted(records: Column) -> Column:
+    """map<parameter, value> of enriched records in their order: of each parameter the first value."""
+    table = F.create_map(*[F.lit(x) for kv in PROMOTIONS.items() for x in kv])
+    read = F.filter(F.transform(records, lambda r: F.struct(F.try_element_at(table, exprs.attr_name(r["name"])).alias("key"), r["value_num"].alias("value"))), lambda r: r["key"].isNotNull() & r["value"].isNotNull())
+
+    def firsts(found: Column) -> Column:
+        names = F.array_distinct(F.transform(found, lambda r: r["key"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(found, lambda r: r["key"] == n), 1)["value"]))
+
+    return exprs.let(read, firsts)
 
 
-def promote(enriched: DataFrame, key: str) -> DataFrame:
+def promote(rows: DataFrame, key: str) -> DataFrame:
     """One row per ``key`` with the typed parameters: of each, the first readable value."""
     table = F.create_map(*[F.lit(x) for kv in PROMOTIONS.items() for x in kv])
-    named = enriched.withColumn("parameter", F.try_element_at(table, exprs.attr_name(F.col("name")))).where("value_num IS NOT NULL AND parameter IS NOT NULL")
+    named = rows.withColumn("parameter", F.try_element_at(table, exprs.attr_name(F.col("name")))).where("value_num IS NOT NULL AND parameter IS NOT NULL")
     order = F.struct("pos", "sub_pos")
     return named.groupBy(key).agg(*[F.min_by(F.when(F.col("parameter") == p, F.col("value_num")), F.when(F.col("parameter") == p, order)).alias(p) for p in PARAMETERS])
 

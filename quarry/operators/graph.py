@@ -1,10 +1,12 @@
-"""Edge tables: expansion and shortest paths."""
+"""Edge tables: expansion, shortest paths and hierarchies."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage_table
+
 
 def two_hop(edges: DataFrame) -> DataFrame:
     """(src, mid, dst) over edges (src, dst)."""
@@ -12,12 +14,31 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("a.dst").alias("mid"), F.col("b.dst").alias("dst"))
 
 
-def distances(edges: DataFrame, source: DataFrame, hops: int) -> DataFrame:
-    """(node, hops) for all nodes within ``hops`` edges of ``source`` (node), breadth first."""
-    reached = source.select("node", F.lit(0).alias("hops"))
-    frontier = reached
+def paths(edges: DataFrame, source: DataFrame, hops: int) -> DataFrame:
+    """(node, hops, path) for all nodes within ``hops`` edges of ``source`` (node), breadth first.
+
+    ``path`` is the least, by its nodes in order, of a node's shortest paths. What a round
+    reaches is written down, so no plan holds more than one round.
+    """
+    frontier = stage_table(source.select("node", F.lit(0).alias("hops"), F.array("node").alias("path")).distinct(), "hop_0")
+    reached = frontier
     for i in range(1, hops + 1):
-        step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(reached, "node", "left_anti").withColumn("hops", F.lit(i))
+        step = edges.join(frontier, edges["src"] == frontier["node"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        step = step.groupBy("node").agg(F.min("path").alias("path")).join(reached.select("node"), "node", "left_anti")
+        frontier = stage_table(step.select("node", F.lit(i).alias("hops"), "path"), f"hop_{i}")
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
+
+
+def distances(edges: DataFrame, source: DataFrame, hops: int) -> DataFrame:
+    """(node, hops) as of ``paths``."""
+    return paths(edges, source, hops).select("node", "hops")
+
+
+def hierarchy(categories: DataFrame) -> DataFrame:
+    """(category, subcategory): every second-level row (parent_name, name) under its first-level row,
+    whose parent is null; first-level rows without any have a null subcategory."""
+    top, below = categories.where("parent_name IS NULL").alias("t"), categories.where("parent_name IS NOT NULL").alias("b")
+    return top.join(below, F.col("t.name") == F.col("b.parent_name"), "left").select(F.col("t.name").alias("category"), F.col("b.name").alias("subcategory"))

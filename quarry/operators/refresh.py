@@ -21,6 +21,73 @@ def stock_merge(parts: DataFrame, source: DataFrame) -> DataFrame:
     return joined.select("p.lcsc_id", exprs.sane(F.col("s.stock"), F.col("p.stock"), MOST_STOCK).alias("stock"), exprs.sane(F.col("s.price_usd"), F.col("p.price_usd"), MOST_PRICE).alias("price_usd"), F.col("s.lcsc_id").isNotNull().alias("matched"))
 
 
+def stock_index(source: DataFrame) -> DataFrame:
+    """(lcsc_id, stock, price_usd, is_basic): of each part's rows the one that is last by ``pos``, ties
+    broken by its values; rows without an id are left out."""
+    row = F.struct("stock", "price_usd", "is_basic")
+    return source.where("lcsc_id IS NOT NULL").groupBy("lcsc_id").agg(F.max_by(row, F.struct("pos", "stock", "price_usd", "is_basic")).alias("r")).select("lcsc_id", "r.*")
+
+
+def stock_write_back(parts: DataFrame, source: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """Parts after a refresh of those that have an id and were not checked for ``days``.
+
+    A part that the source knows takes its sane values and its ``is_basic``, null being false,
+    and the stamp; one that it does not know takes the stamp alone. All columns are kept, and
+    ``outcome`` tells what happened: matched, absent or fresh.
+    """
+    due = F.col("lcsc_id").isNotNull() & stale(F.col("stock_checked_at"), now, days)
+    s = stock_index(source).select("lcsc_id", *[F.col(c).alias(f"__{c}") for c in ("stock", "price_usd", "is_basic")], F.lit(True).alias("__known"))
+    rows = parts.withColumn("__due", due).join(s, "lcsc_id", "left")
+    hit = F.col("__due") & F.coalesce("__known", F.lit(False))
+    new = {
+        "stock": F.when(hit, exprs.sane(F.col("__stock"), F.col("stock"), MOST_STOCK)).otherwise(F.col("stock")),
+        "price_usd": F.when(hit, exprs.sane(F.col("__price_usd"), F.col("price_usd"), MOST_PRICE)).otherwise(F.col("price_usd")),
+        "is_basic": F.when(hit, F.coalesce("__is_basic", F.lit(False))).otherwise(F.col("is_basic")),
+        "stock_checked_at": F.when(F.col("__due"), now).otherwise(F.col("stock_checked_at")),
+    }
+    outcome = F.when(hit, "matched").when(F.col("__due"), "absent").otherwise("fresh")
+    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in parts.columns], outcome.alias("outcome"))
+
+
+def stock_summary(written: DataFrame) -> DataFrame:
+    """One row: parts checked, matched and absent of a ``stock_write_back``."""
+    of = lambda k: F.count_if(F.col("outcome") == k).alias(k)
+    return written.agg(F.count_if(F.col("outcome") != "fresh").alias("checked"), of("matched"), of("absent"))
+
+
+def link_write_back(sheets: DataFrame, edges: DataFrame, checks: DataFrame, now: Column, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Datasheets (url, verified_at, http_status, fail_count, ...) and edges (xid, url) after ``checks``
+    (url, status), and what was purged.
+
+    A checked link takes the stamp, its status and its counter: 0 if alive, else one more. After
+    that a dead link whose counter has reached ``most`` goes, with its edges; ``purged`` is
+    (url, fail_count, parts_unlinked). Several checks of a link count as one, the best.
+    """
+    seen = checks.groupBy("url").agg(F.min_by("status", F.struct(~exprs.link_status(F.col("url"), F.col("status"))["alive"], "status")).alias("status"))
+    seen = seen.select("url", exprs.link_status(F.col("url"), F.col("status")).alias("c"))
+    rows = sheets.join(seen, "url", "left")
+    checked = F.col("c").isNotNull()
+    count = F.when(F.col("c.alive"), 0).otherwise(F.coalesce("fail_count", F.lit(0)) + 1)
+    new = {"verified_at": now, "http_status": F.col("c.http_status"), "fail_count": count}
+    written = rows.select(*[(F.when(checked, new[k]).otherwise(F.col(k)).cast(sheets.schema[k].dataType).alias(k) if k in new else F.col(k)) for k in sheets.columns], (checked & ~F.col("c.alive")).alias("__dead"))
+    gone = written.where(F.coalesce("__dead", F.lit(False)) & (F.col("fail_count") >= most)).select("url", "fail_count")
+    purged = gone.join(edges, "url", "left").groupBy("url", "fail_count").agg(F.countDistinct("xid").alias("parts_unlinked"))
+    left = lambda df: df.join(gone.select("url"), "url", "left_anti")
+    return left(written.drop("__dead")), left(edges), purged
+
+
+def link_summary(sheets: DataFrame, checks: DataFrame, purged: DataFrame) -> DataFrame:
+    """One row: links checked, alive, dead and purged."""
+    seen = sheets.select("url").join(checks.select("url", exprs.link_status(F.col("url"), F.col("status"))["alive"].alias("alive")).groupBy("url").agg(F.bool_or("alive").alias("alive")), "url")
+    counts = seen.agg(F.count("*").alias("checked"), F.count_if("alive").alias("alive"), F.count_if(~F.col("alive")).alias("dead"))
+    return counts.crossJoin(purged.agg(F.count("*").alias("purged")))  # one row each
+
+
+def holders(edges: DataFrame, urls: DataFrame) -> DataFrame:
+    """(url, xid): the parts that link to each of ``urls``."""
+    return edges.join(urls.select("url").distinct(), "url").select("url", "xid")
+
+
 def fail_counts(checks: DataFrame) -> DataFrame:
     """(url_id, fail_count): failed checks of each link since its last good one.
 

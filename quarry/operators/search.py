@@ -8,8 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..staging import stage_table
 
+# Match tiers, strongest first, with their scores, and their names in result documents.
 TIERS = {"exact": 4, "trig": 3, "fts": 2, "semantic": 1, "nearest": 0}
+MATCH_TYPES = {"exact": "exact", "trig": "trigram", "fts": "fulltext", "semantic": "semantic", "nearest": "nearest"}
+SORTS = ("relevance", "stock", "price")
+MOST_RESULTS, TERM_CHARS = 200, 128
+#: Shares that a word's or family's parts are ranked in before the best of all shares are.
+SHARES = 32
+# Words that full-text search passes over.
+STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 # How far a parameter may be from the value asked for.
 BRACKETS = {"resistance": 0.01, "frequency_max": 0.01, "capacitance": 0.05, "inductance": 0.05, "current_max": 0.05, "power": 0.05, "voltage_max": 0.02, "voltage_min": 0.02}
 GRAM = 3
@@ -19,6 +28,19 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
+def terms(c: Column) -> Column:
+    """The words that full-text search looks for. There is no stemming."""
+    return F.array_except(words(c), F.array(*map(F.lit, STOP_WORDS)))
+
+
+def top(rows: DataFrame, keys: list[str], order: list[Column], k: int, salt: str = "xid") -> DataFrame:
+    """The first ``k`` rows of each key with ``n``, their place. The first of every share of a key's
+    rows are found before those of the key, so a key with very many rows is no single task."""
+    share = F.pmod(F.xxhash64(salt), F.lit(SHARES)).alias("__share")
+    some = rows.withColumn("__share", share).withColumn("n", F.row_number().over(Window.partitionBy(*keys, "__share").orderBy(*order))).where(F.col("n") <= k)
+    return some.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= k).drop("__share")
+
+
 def exact(queries: DataFrame, parts: DataFrame) -> DataFrame:
     """(query_id, xid): the normalised query is the part's number."""
     q = queries.select("query_id", exprs.normalize(F.col("raw_query")).alias("mpn_norm")).where("mpn_norm != ''")
@@ -39,48 +61,177 @@ def substring(queries: DataFrame, parts: DataFrame) -> DataFrame:
     return rare.join(index, "gram").where(F.contains("mpn_norm", "needle")).select("query_id", "xid").distinct()
 
 
-def full_text(queries: DataFrame, parts: DataFrame) -> DataFrame:
-    """(query_id, xid): any word of the query is in the description."""
-    q = queries.select("query_id", F.explode(words(F.col("raw_query"))).alias("word"))
-    p = parts.select("xid", F.explode(words(F.col("description"))).alias("word"))
+def full_text(queries: DataFrame, parts: DataFrame, best: int | None = None) -> DataFrame:
+    """(query_id, xid): any word of the query is in the description.
+
+    With ``best``, only that many first parts of each word are held against the queries: all
+    that a tier of ``best`` parts can need, as their order does not depend on the query.
+    """
+    q = queries.select("query_id", F.explode(terms(F.col("raw_query"))).alias("word"))
+    columns = ["xid"] if best is None else ["xid", "mpn_norm", "stock", "is_basic"]
+    p = parts.select(*columns, F.explode(terms(F.col("description"))).alias("word"))
+    if best is not None:
+        p = top(p.join(q.select("word").distinct(), "word", "left_semi"), ["word"], relevance(), best)
     return q.join(p, "word").select("query_id", "xid").distinct()
 
 
+def relevance() -> list[Column]:
+    """Order of parts within a tier: in stock, basic, part number, part."""
+    return [(F.coalesce("stock", F.lit(0)) > 0).desc(), F.desc("is_basic"), F.asc("mpn_norm"), F.asc("xid")]
+
+
+def check(sort: str = "relevance", terms_: tuple[str | None, ...] = (), min_stock: int | None = None, max_price: float | None = None) -> None:
+    """Raises ValueError for arguments that no search takes."""
+    if sort not in SORTS:
+        raise ValueError(f"sort must be one of {sorted(SORTS)}")
+    for t in terms_:
+        if t is not None and not (t.strip() and len(t) <= TERM_CHARS):
+            raise ValueError(f"a filter must be a text of 1 to {TERM_CHARS} characters")
+    if min_stock is not None and (isinstance(min_stock, bool) or not isinstance(min_stock, int) or min_stock < 0):
+        raise ValueError("the least stock must be a whole number, 0 or more")
+    if max_price is not None and not (math.isfinite(max_price) and max_price >= 0):
+        raise ValueError("the highest price must be a finite number, 0 or more")
+
+
+def clamp(limit: int) -> int:
+    return max(1, min(limit, MOST_RESULTS))
+
+
+def filtered(parts: DataFrame, *, package: str | None = None, manufacturer: str | None = None, category: str | None = None, min_stock: int | None = None, is_basic: bool | None = None, max_price: float | None = None, datasheets: DataFrame | None = None, has: tuple[str, ...] = (), lacks: tuple[str, ...] = ()) -> DataFrame:
+    """Parts that pass every filter given: equal package, all terms of maker and category, stock and
+    price bounds that nulls fail, basic or not, an edge (xid, url) to a datasheet, and columns
+    that must or must not be null."""
+    check("relevance", (package, manufacturer, category), min_stock, max_price)
+    tests = [
+        package is not None and F.col("package") == package,
+        manufacturer is not None and all_terms(F.col("manufacturer"), F.lit(manufacturer)),
+        category is not None and all_terms(F.col("category"), F.lit(category)),
+        min_stock is not None and F.col("stock") >= min_stock,
+        is_basic is not None and F.col("is_basic") == is_basic,
+        max_price is not None and F.col("price_usd") <= max_price,
+        *[F.col(c).isNotNull() for c in has],
+        *[F.col(c).isNull() for c in lacks],
+    ]
+    for t in tests:
+        if t is not False:
+            parts = parts.where(t)
+    return parts if datasheets is None else parts.join(datasheets.where("url IS NOT NULL").select("xid").distinct(), "xid", "left_semi")
+
+
 def ranked(hits: DataFrame, parts: DataFrame, sort: str = "relevance", limit: int = 50) -> DataFrame:
-    """Hits (query_id, xid, tier) with their strongest tier, each tier cut to ``limit`` in rank
-    order, then placed by ``sort``: relevance, stock or price."""
+    """Hits (query_id, xid, tier): each tier cut to ``limit`` in order of relevance, every part in its
+    strongest tier, then placed by ``sort``: relevance, stock or price."""
+    check(sort)
     score = F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv])
-    best = hits.groupBy("query_id", "xid").agg(F.max(score[F.col("tier")]).alias("tier_score"))
-    rows = best.join(parts.select("xid", "mpn_norm", "stock", "is_basic", "price_usd"), "xid")
+    rows = hits.distinct().join(parts.select("xid", "mpn_norm", "stock", "is_basic", "price_usd"), "xid")
+    rows = top(rows, ["query_id", "tier"], relevance(), clamp(limit)).withColumn("tier_score", score[F.col("tier")])
+    best = F.row_number().over(Window.partitionBy("query_id", "xid").orderBy(F.desc("tier_score")))
+    rows = rows.withColumn("n", best).where("n = 1").drop("n")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order(sort))))
+
+
+def _order(sort: str) -> list[Column]:
     stocked = F.greatest(F.coalesce("stock", F.lit(0)), F.lit(0))
-    orders = {
-        "relevance": [F.desc("tier_score"), (stocked > 0).desc(), F.desc("is_basic"), "mpn_norm", "xid"],
-        "stock": [stocked.desc(), "mpn_norm", "xid"],
-        "price": [F.asc_nulls_last("price_usd"), "mpn_norm", "xid"],
-    }
-    if sort not in orders:
-        raise ValueError(f"sort must be one of {sorted(orders)}")
-    in_tier = F.row_number().over(Window.partitionBy("query_id", "tier_score").orderBy(*orders["relevance"]))
-    rows = rows.withColumn("in_tier", in_tier).where(F.col("in_tier") <= max(1, min(limit, 200))).drop("in_tier")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*orders[sort])))
+    return {"relevance": [F.desc("tier_score"), *relevance()], "stock": [stocked.desc(), F.asc("mpn_norm"), F.asc("xid")], "price": [F.asc_nulls_last("price_usd"), F.asc("mpn_norm"), F.asc("xid")]}[sort]
+
+
+def _tiers(plain: DataFrame, bound: DataFrame | None, parts: DataFrame, limit: int) -> DataFrame:
+    """(query_id, xid, tier) of queries (query_id, words, package), no tier with fewer than its first
+    ``limit``.
+
+    ``bound`` has the queries with quantities, a row for each part (xid) that meets them; text and
+    package are tested on those parts. ``plain`` queries look things up: numbers by equality
+    and 3-grams, words and packages in lists of the best ``limit`` parts of each, which is all
+    that a tier keeps, since the order of parts does not depend on the query.
+    """
+    p = parts.select("xid", "mpn_norm", "package", "stock", "is_basic", terms(F.col("description")).alias("found"))
+    joined, none = F.array_join("words", " "), F.size("words") == 0
+    read = lambda df: df.withColumn("needle", exprs.normalize(joined)).withColumn("asked", terms(joined))
+    q, named = read(plain), F.col("needle") != ""
+    fits = F.col("wanted").isNull() | (F.col("wanted") == F.col("package"))
+    tier = lambda df, name: df.select("query_id", "xid", F.lit(name).alias("tier"))
+
+    texts, wanted = q.where(named).select("query_id", F.col("needle").alias("raw_query")), q.select("query_id", F.col("package").alias("wanted"))
+    packages = p.select("xid", "package")
+    out = None
+    for find, name in ((exact, "exact"), (substring, "trig")):
+        found = tier(find(texts, parts).join(wanted, "query_id").join(packages, "xid").where(fits), name)
+        out = found if out is None else out.unionByName(found)
+
+    key = lambda word, package: F.struct(word.alias("word"), F.coalesce(package, F.lit("")).alias("package"))
+    asked = q.select("query_id", F.when(none, "exact").otherwise("fts").alias("tier"), F.explode(F.when(none, F.array(F.lit(""))).otherwise(F.col("asked"))).alias("word"), "package")
+    asked = asked.select("query_id", "tier", key(F.col("word"), F.col("package")).alias("key"))
+    every = F.array_append("found", "")
+    of_package = F.when(F.col("package") != "", F.transform(every, lambda w: key(w, F.col("package")))).otherwise(F.array().cast("array<struct<word:string,package:string>>"))
+    lists = p.select("xid", "mpn_norm", "stock", "is_basic", F.explode(F.concat(F.transform(every, lambda w: key(w, F.lit(""))), of_package)).alias("key"))
+    lists = top(lists.join(asked.select("key").distinct(), "key", "left_semi"), ["key"], relevance(), limit).select("key", "xid")
+    out = out.unionByName(asked.join(lists, "key").select("query_id", "xid", "tier"))
+    if bound is not None:
+        met = read(bound).withColumnRenamed("package", "wanted").join(p, "xid").where(fits)
+        out = out.unionByName(tier(met.where(none | (named & (F.col("needle") == F.col("mpn_norm")))), "exact"))
+        out = out.unionByName(tier(met.where(named & F.contains("mpn_norm", "needle")), "trig"))
+        out = out.unionByName(tier(met.where(F.arrays_overlap("asked", "found")), "fts"))
+    return out.distinct()
+
+
+def lexical(queries: DataFrame, parts: DataFrame, values: DataFrame, *, sort: str = "relevance", limit: int = 50, **filters) -> DataFrame:
+    """The search verb: texts (query_id, raw_query) answered from ``parts`` and their parameters
+    ``values`` (xid, parameter, value).
+
+    A text is read into quantities, a package and words. Parts that pass ``filters`` (see
+    ``filtered``) and the query's own quantities and package are found by number, part of a
+    number and words; without words there is one tier, exact. Where a query has quantities
+    and finds nothing, it is asked again without them, and what it finds is placed by
+    distance. Blank queries find nothing. Returns query_id, rank, xid, tier, tier_score,
+    nearest_match and distance, beside the columns that order results. Parts that pass, the
+    read queries and the direct hits are written down, as the plan names them many times.
+    """
+    check(sort)
+    limit = clamp(limit)
+    parts = stage_table(filtered(parts, **filters).select("xid", "mpn_norm", "description", "package", "stock", "is_basic", "price_usd"), "eligible_parts")
+    q = queries.select("query_id", exprs.parse_query(F.col("raw_query")).alias("p")).select("query_id", "p.*")
+    q = stage_table(q.where((F.size("quantities") > 0) | F.col("package").isNotNull() | (F.size("words") > 0)), "read_queries")
+    targets = q.select("query_id", F.explode("quantities").alias("t")).select("query_id", "t.parameter", F.col("t.value").alias("target")).distinct()
+    met = parametric(targets, values.join(parts.select("xid"), "xid", "left_semi"))
+    numeric = F.size("quantities") > 0
+    found = stage_table(_tiers(q.where(~numeric), q.where(numeric).join(met, "query_id"), parts, limit), "direct_hits")
+    hard = stage_table(ranked(found, parts, sort, limit), "direct_results")
+
+    again = q.where(numeric).join(hard.select("query_id").distinct(), "query_id", "left_anti")
+    relaxed = ranked(stage_table(_tiers(again, None, parts, limit), "relaxed_hits"), parts, "relevance", limit).select("query_id", "xid")
+    near = nearest(targets.join(again.select("query_id"), "query_id", "left_semi"), relaxed, hard.select("query_id", "xid"), values, 3 * limit, parts)
+    shown = parts.select("xid", "mpn_norm", "stock", "is_basic", "price_usd")
+    near = near.join(shown, "xid").select("query_id", "rank", "xid", F.lit("nearest").alias("tier"), F.lit(0).alias("tier_score"), F.lit(True).alias("nearest_match"), "distance", "mpn_norm", "stock", "is_basic", "price_usd")
+    return hard.select("query_id", "rank", "xid", "tier", "tier_score", F.lit(False).alias("nearest_match"), F.lit(None).cast("double").alias("distance"), "mpn_norm", "stock", "is_basic", "price_usd").unionByName(near)
 
 
 def parametric(targets: DataFrame, values: DataFrame) -> DataFrame:
     """(query_id, xid) where every target (query_id, parameter, target) of a query has a value
-    (xid, parameter, value) within its bracket.
+    (xid, parameter, value) within its bracket; parameters without a bracket must be equal.
 
-    A range join by logarithmic buckets: a value is in one bucket, a bracket spans a few.
+    A range join by logarithmic buckets: a value is in one bucket, a bracket spans a few. The
+    sizes of the buckets tell which target of a query is met least; only that one is joined
+    by bucket, and what it finds is tested for the others.
     """
     table = F.create_map(*[F.lit(x) for kv in BRACKETS.items() for x in kv])
     step = math.log(1 + 2 * min(BRACKETS.values()))
     bucket = lambda c: F.floor(F.log(c) / step)
-    q = targets.withColumn("f", F.coalesce(F.try_element_at(table, "parameter"), F.lit(0.0)))
-    q = q.withColumn("low", F.col("target") * (1 - F.col("f"))).withColumn("high", F.col("target") * (1 + F.col("f"))).where("low > 0")
-    spread = q.withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")) - 1, bucket(F.col("high")) + 1)))
+    q = targets.select("query_id", "parameter", "target", F.coalesce(F.try_element_at(table, "parameter"), F.lit(0.0)).alias("f"))
+    q = q.withColumn("low", F.col("target") * (1 - F.col("f"))).withColumn("high", F.col("target") * (1 + F.col("f")))
+    spread = q.where("low > 0").withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")) - 1, bucket(F.col("high")) + 1)))
     v = values.where("value > 0").withColumn("bucket", bucket(F.col("value")))
-    met = spread.join(v, ["parameter", "bucket"]).where(F.col("value").between(F.col("low"), F.col("high"))).select("query_id", "parameter", "xid").distinct()
-    wanted = targets.groupBy("query_id").agg(F.countDistinct("parameter").alias("wanted"))
-    return met.groupBy("query_id", "xid").agg(F.count("*").alias("got")).join(wanted, "query_id").where("got = wanted").select("query_id", "xid")
+    sizes = v.groupBy("parameter", "bucket").agg(F.count("*").alias("n"))
+    least = spread.join(sizes, ["parameter", "bucket"], "left").groupBy("query_id", "parameter", "target", "low", "high").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy("n", "parameter", "target"))
+    chosen = least.withColumn("place", first).where("place = 1").select("query_id", "parameter", "target")
+    # no bucket holds zero: a query of zeros alone is looked up as it is
+    of_zero = q.where("low = 0 AND high = 0").join(chosen.select("query_id"), "query_id", "left_anti").select("query_id", "parameter").distinct()
+    met = spread.join(chosen, ["query_id", "parameter", "target"], "left_semi").join(v, ["parameter", "bucket"]).where(F.col("value").between(F.col("low"), F.col("high"))).select("query_id", "xid").distinct()
+    met = met.unionByName(of_zero.join(values.where("value = 0"), "parameter").select("query_id", "xid").distinct()).distinct()
+    wanted = q.groupBy("query_id").agg(F.countDistinct("parameter", "target").alias("wanted"))
+    tested = met.join(q, "query_id").join(values, ["xid", "parameter"]).where(F.col("value").between(F.col("low"), F.col("high")))
+    got = tested.groupBy("query_id", "xid").agg(F.countDistinct("parameter", "target").alias("got"))
+    return got.join(wanted, "query_id").where("got = wanted").select("query_id", "xid")
 
 
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, on: str | None = None) -> DataFrame:
@@ -144,34 +295,66 @@ def related(parts: DataFrame, k: int = 10) -> DataFrame:
     grams = F.array_distinct(F.concat(*[F.when(F.length(n) >= size, gram(size)).otherwise(F.array().cast("array<string>")) for size in range(1, GRAM + 1)]))
     index = parts.select(F.col("xid").alias("related"), "mpn_norm", F.explode(grams).alias("gram"))
     families = own.select("family", F.substring("family", 1, GRAM).alias("gram")).distinct()
-    found = index.join(families, "gram").where(F.contains("mpn_norm", "family")).select("family", "mpn_norm", "related").distinct()
-    top = found.withColumn("n", F.row_number().over(Window.partitionBy("family").orderBy("mpn_norm", "related"))).where(F.col("n") <= k + 1)
-    top = top.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("n", "related"))).alias("top"))
+    found = index.join(families, "gram").where(F.contains("mpn_norm", "family")).select("family", "mpn_norm", "related")
+    best = top(found, ["family"], [F.asc("mpn_norm"), F.asc("related")], k + 1, "related")
+    best = best.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("n", "related"))).alias("top"))
     others = F.slice(F.filter(F.transform("top", lambda s: s["related"]), lambda r: r != F.col("xid")), 1, k)
-    return own.join(top, "family").select("xid", F.posexplode(others).alias("rank", "related")).select("xid", "related", (F.col("rank") + 1).alias("rank"))
+    return own.join(best, "family").select("xid", F.posexplode(others).alias("rank", "related")).select("xid", "related", (F.col("rank") + 1).alias("rank"))
 
 
-def nearest(targets: DataFrame, relaxed: DataFrame, hard: DataFrame, values: DataFrame, k: int = 50) -> DataFrame:
+def nearest(targets: DataFrame, relaxed: DataFrame, hard: DataFrame, values: DataFrame, k: int = 50, parts: DataFrame | None = None) -> DataFrame:
     """(query_id, xid, distance, rank) for queries that have quantities and no hard hit.
 
     ``relaxed`` (query_id, xid) are hits of the query without its quantities. Distance is the
     sum of |value - target| over the quantities (query_id, parameter, target); a part without
-    a value adds nothing for it. Order: distance, then part.
+    a value adds nothing for it. Order: distance, the part's number if ``parts`` are given, part.
     """
     open_ = targets.join(hard.select("query_id").distinct(), "query_id", "left_anti")
     pairs = relaxed.join(hard, ["query_id", "xid"], "left_anti").join(open_, "query_id")
     met = pairs.join(values, ["xid", "parameter"], "left").groupBy("query_id", "xid").agg(F.sum(F.coalesce(F.abs(F.col("value") - F.col("target")), F.lit(0.0))).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "xid")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if parts is None:
+        return top(met, ["query_id"], [F.asc("distance"), F.asc("xid")], k).withColumnRenamed("n", "rank")
+    met = met.join(parts.select("xid", "mpn_norm"), "xid")
+    return top(met, ["query_id"], [F.asc("distance"), F.asc("mpn_norm"), F.asc("xid")], k).withColumnRenamed("n", "rank").drop("mpn_norm")
 
 
 def hybrid(queries: DataFrame, vectors: DataFrame, on: str, limit: int = 50) -> DataFrame:
-    """(query_id, vec_id, rank): the nearest of the vectors that equal the query in ``on``, in
+    """(query_id, vec_id, rank, cosine): the nearest of the vectors that equal the query in ``on``, in
     order of cosine. The filter comes first, so none that fits is lost to nearer ones that do not."""
-    return neighbours(queries, vectors, min(limit, 200), on=on).select("query_id", "vec_id", "rank")
-
-
-def result_json(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """(query_id, json): each query's ranked rows as one document; nulls are left out."""
-    each = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("r"))
-    return each.select("query_id", F.to_json(F.struct(F.lit(1).alias("version"), F.size("r").alias("count"), F.transform("r", lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias("results"))).alias("json"))
+    return neighbours(queries, vectors, clamp(limit), on=on)
+
+
+def resorted(near: DataFrame, parts: DataFrame, sort: str) -> DataFrame:
+    """Rows (query_id, xid, cosine, rank) that were cut by cosine, placed anew by stock or price;
+    by relevance they stay as they are."""
+    check(sort)
+    if sort == "relevance":
+        return near
+    rows = near.drop("rank").join(parts.select("xid", "mpn_norm", "stock", "price_usd"), "xid")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order(sort)))).select("query_id", "xid", "cosine", "rank")
+
+
+#: The keys of a result, in their order.
+RESULT = ("mpn", "mpn_norm", "manufacturer", "package", "category", "stock", "is_basic", "price_usd", "match_type", "similarity", "datasheets", "params")
+
+
+def shaped(rows: DataFrame, parts: DataFrame, sheets: DataFrame, parameters: list[str]) -> DataFrame:
+    """Ranked rows (query_id, rank, xid, tier, ...) with the ``RESULT`` keys: scalars of the part, its
+    datasheets (edges (xid, url)) in order, and the parameters that it has."""
+    urls = sheets.groupBy("xid").agg(F.array_sort(F.collect_set("url")).alias("datasheets"))
+    names = F.create_map(*[F.lit(x) for kv in MATCH_TYPES.items() for x in kv])
+    found = parts.select("xid", *RESULT[:8], exprs.sparse(parameters).alias("params"))
+    similarity = F.col("similarity") if "similarity" in rows.columns else F.lit(None).cast("double")
+    keep = [c for c in ("query_id", "rank", "nearest_match") if c in rows.columns]
+    rows = rows.select(*keep, "xid", names[F.col("tier")].alias("match_type"), similarity.alias("similarity")).join(found, "xid").join(urls, "xid", "left")
+    return rows.withColumn("datasheets", F.coalesce("datasheets", F.array().cast("array<string>"))).select(*keep, *RESULT)
+
+
+def result_json(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, json): each query's document {version, query, nearest_match, count, results}, of rows
+    as ``shaped`` gives them; one without rows has no results. Absent scalars are null."""
+    each = rows.where(F.col("rank") <= 3 * MOST_RESULTS).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *RESULT)), lambda a, b: a["rank"] - b["rank"]).alias("r"), F.bool_or("nearest_match").alias("nearest_match"))
+    each = queries.select("query_id", F.col("raw_query").alias("query")).join(each, "query_id", "left")
+    results = F.coalesce(F.transform("r", lambda s: F.struct(*[s[f].alias(f) for f in RESULT])), F.array())
+    document = F.struct(F.lit(1).alias("version"), "query", F.coalesce("nearest_match", F.lit(False)).alias("nearest_match"), F.coalesce(F.size("r"), F.lit(0)).alias("count"), results.alias("results"))
+    return each.select("query_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))

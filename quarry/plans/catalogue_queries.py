@@ -42,7 +42,7 @@ def _text_queries(parts):
 
 @query(f"WITH {PARTS} SELECT p_partkey, mpn_norm, xid FROM parts")
 def normalize_identity(spark, d):
-    return catalogue.parts(spark, d).select("p_partkey", "mpn_norm", "xid")
+    return catalogue.bare_parts(spark, d).select("p_partkey", "mpn_norm", "xid")
 
 
 @query("SELECT l_partkey, max({'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'q': l_quantity, 'p': l_extendedprice}).o AS l_orderkey, max({'o': l_orderkey, 'n': l_linenumber, 's': l_suppkey, 'q': l_quantity, 'p': l_extendedprice}).p AS l_extendedprice FROM lineitem GROUP BY 1")
@@ -58,7 +58,7 @@ MAG = "p_size * CASE p_partkey % 5 WHEN 0 THEN 1e3 WHEN 1 THEN 1e6 WHEN 2 THEN 1
 UNION ALL SELECT p_partkey, 1, 0, 'Output Current (max)', NULL FROM part UNION ALL SELECT p_partkey, 1, 1, 'Output Current (max) (min)', p_size * 1e-3::DOUBLE FROM part
 UNION ALL SELECT p_partkey, 1, 2, 'Output Current (max) (max)', (p_size + 5)::DOUBLE FROM part UNION ALL SELECT p_partkey, 2, 0, 'Supply Voltage', p_size::DOUBLE FROM part""")
 def attr_enrich(spark, d):
-    return enrich.enrich(catalogue.attributes(spark, d)).drop("value_text")
+    return enrich.enrich(catalogue.attributes(spark, d)).drop("value_text", "unit")
 
 
 @query(f"SELECT p_partkey, NULL::DOUBLE AS voltage_min, NULL::DOUBLE AS voltage_max, p_size * 1e-3::DOUBLE AS current_max, {MAG} AS resistance, NULL::DOUBLE AS capacitance, NULL::DOUBLE AS inductance, NULL::DOUBLE AS frequency_max, NULL::DOUBLE AS power, NULL::DOUBLE AS tolerance_pct FROM part")
@@ -83,13 +83,13 @@ def extra_decode_counts(spark, d):
 
 @query(f"WITH {PARTS} SELECT q.p_partkey AS query_id, p.xid FROM parts q JOIN parts p ON p.mpn_norm = q.mpn_norm WHERE q.p_partkey % 50 = 0")
 def search_exact(spark, d):
-    parts = catalogue.parts(spark, d)
+    parts = catalogue.bare_parts(spark, d)
     return search.exact(_number_queries(parts), parts)
 
 
 @query(f"WITH {PARTS} SELECT q.p_partkey AS query_id, p.xid FROM parts q JOIN parts p ON contains(p.mpn_norm, right(q.mpn_norm, 6)) WHERE q.p_partkey % 50 = 0")
 def search_substring(spark, d):
-    parts = catalogue.parts(spark, d)
+    parts = catalogue.bare_parts(spark, d)
     q = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.expr("right(mpn_norm, 6)").alias("raw_query"))
     return search.substring(q, parts)
 
@@ -100,27 +100,31 @@ WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{
 @query(f"""WITH {PARTS}, q AS (SELECT p_partkey AS query_id, unnest({WORDS.format("split_part(description, ' ', 1)")}) AS word FROM parts WHERE p_partkey % 50 = 0),
 p AS (SELECT xid, unnest({WORDS.format("description")}) AS word FROM parts), h AS (SELECT DISTINCT query_id, xid FROM q JOIN p USING (word)) SELECT query_id, count(*)::BIGINT AS hits, min(xid) AS first_xid FROM h GROUP BY 1""")
 def search_fulltext(spark, d):
-    parts = catalogue.parts(spark, d)
+    parts = catalogue.bare_parts(spark, d)
     q = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.split_part("description", F.lit(" "), F.lit(1)).alias("raw_query"))
     return search.full_text(q, parts).groupBy("query_id").agg(F.count("*").alias("hits"), F.min("xid").alias("first_xid"))
 
 
-HITS = f"""{PARTS}, q AS (SELECT p_partkey AS query_id, mpn_norm AS m, mpn || ' ' || split_part(description, ' ', 1) AS raw FROM parts WHERE p_partkey % 50 = 0),
+HITS = f"""{PARTS}, q AS (SELECT p_partkey AS query_id, mpn_norm AS m, right(mpn_norm, 6) AS piece, mpn || ' ' || split_part(description, ' ', 1) AS raw FROM parts WHERE p_partkey % 50 = 0),
 w AS (SELECT query_id, unnest({WORDS.format("raw")}) AS word FROM q), p AS (SELECT xid, unnest({WORDS.format("description")}) AS word FROM parts),
-hits AS (SELECT query_id, xid, 4 AS s FROM q JOIN parts ON mpn_norm = m UNION ALL SELECT query_id, xid, 2 FROM (SELECT DISTINCT query_id, xid FROM w JOIN p USING (word))),
-b AS (SELECT query_id, xid, max(s) AS tier_score FROM hits GROUP BY 1, 2),
-r AS (SELECT b.*, mpn_norm, stock, is_basic, price_usd, row_number() OVER (PARTITION BY query_id, tier_score ORDER BY coalesce(stock, 0) > 0 DESC, is_basic DESC, mpn_norm, b.xid) AS n FROM b JOIN parts USING (xid))"""
+hits AS (SELECT query_id, xid, 4 AS s FROM q JOIN parts ON mpn_norm = m UNION ALL SELECT query_id, xid, 3 FROM q JOIN parts ON contains(mpn_norm, piece) UNION ALL SELECT query_id, xid, 2 FROM (SELECT DISTINCT query_id, xid FROM w JOIN p USING (word))),
+c AS (SELECT hits.*, row_number() OVER (PARTITION BY query_id, s ORDER BY coalesce(stock, 0) > 0 DESC, is_basic DESC, mpn_norm, xid) AS n FROM hits JOIN parts USING (xid)),
+b AS (SELECT query_id, xid, max(s) AS tier_score FROM c WHERE n <= 20 GROUP BY 1, 2),
+r AS (SELECT b.*, mpn_norm, stock, is_basic, price_usd FROM b JOIN parts USING (xid))"""
 
 
 def _ranked(spark, d, sort):
+    """Each tier is cut to its first 20 before the tiers meet."""
     parts = catalogue.parts(spark, d)
-    by_number = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("mpn").alias("raw_query"))
-    hits = search.exact(by_number, parts).withColumn("tier", F.lit("exact")).unionByName(search.full_text(_text_queries(parts), parts).withColumn("tier", F.lit("fts")))
+    asked = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("mpn").alias("raw_query"), F.expr("right(mpn_norm, 6)").alias("piece"))
+    hits = search.exact(asked, parts).withColumn("tier", F.lit("exact"))
+    hits = hits.unionByName(search.substring(asked.select("query_id", F.col("piece").alias("raw_query")), parts).withColumn("tier", F.lit("trig")))
+    hits = hits.unionByName(search.full_text(_text_queries(parts), parts, 20).withColumn("tier", F.lit("fts")))
     return search.ranked(hits, parts, sort, 20).select("query_id", "rank", "xid", "tier_score", "stock", "price_usd")
 
 
 def _oracle_ranked(order):
-    return f"WITH {HITS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {order})::INT AS rank, xid, tier_score, stock, price_usd FROM r WHERE n <= 20"
+    return f"WITH {HITS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {order})::INT AS rank, xid, tier_score, stock, price_usd FROM r"
 
 
 @query(_oracle_ranked("tier_score DESC, coalesce(stock, 0) > 0 DESC, is_basic DESC, mpn_norm, xid"))
@@ -149,7 +153,7 @@ def search_parametric_range_join(spark, d):
 
 @query(f"WITH {PARTS} SELECT xid, stock, price_usd FROM parts WHERE package = '11' AND stock >= 1 AND NOT is_basic AND price_usd <= 1500")
 def search_filters(spark, d):
-    return catalogue.parts(spark, d).where("package = '11' AND stock >= 1 AND NOT is_basic AND price_usd <= 1500").select("xid", "stock", "price_usd")
+    return search.filtered(catalogue.parts(spark, d), package="11", min_stock=1, is_basic=False, max_price=1500.0).select("xid", "stock", "price_usd")
 
 
 SIM = "SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"
@@ -270,7 +274,7 @@ def query_parse(spark, d):
 
 @query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' AND p_type = 'ECONOMY'")
 def search_maker_category(spark, d):
-    return _t(spark, d, "part").where(search.all_terms(F.col("p_brand"), F.lit("13 BRAND")) & search.all_terms(F.col("p_type"), F.lit("economy"))).select("p_partkey")
+    return search.filtered(catalogue.bare_parts(spark, d), manufacturer="13 BRAND", category="economy").select("p_partkey")
 
 
 @query("""WITH r AS (SELECT q.p_partkey AS query_id, p.p_partkey::VARCHAR AS xid, abs(p.p_size - (q.p_size + 0.5::DOUBLE)) AS distance, p.p_size BETWEEN (q.p_size + 0.5::DOUBLE) * (1 - 0.01::DOUBLE) AND (q.p_size + 0.5::DOUBLE) * (1 + 0.01::DOUBLE) AS hit
@@ -291,13 +295,13 @@ def search_nearest(spark, d):
 def semantic_hybrid(spark, d):
     e = _t(spark, d, "embeddings")
     asked = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
-    return search.hybrid(asked, e, "label", 10)
+    return search.hybrid(asked, e, "label", 10).select("query_id", "vec_id", "rank")
 
 
 @query(f"WITH {PARTS}, t AS (SELECT xid, row_number() OVER (ORDER BY mpn_norm, xid) AS n FROM parts), top AS (SELECT * FROM t WHERE n <= 11) SELECT xid, related, rank FROM (SELECT p.xid, top.xid AS related, row_number() OVER (PARTITION BY p.xid ORDER BY top.n)::INT AS rank FROM parts p JOIN top ON top.xid <> p.xid) WHERE rank <= 10")
 def related_parts(spark, d):
     """All numbers of these tables are of one family."""
-    return search.related(catalogue.parts(spark, d))
+    return search.related(catalogue.bare_parts(spark, d))
 
 
 @query(f"WITH {PARTS} SELECT p.xid, p.manufacturer, p.category, p.package, p.stock, count(DISTINCT l_suppkey)::BIGINT AS suppliers FROM parts p LEFT JOIN lineitem ON l_partkey = p.p_partkey WHERE p.p_partkey % 50 = 0 GROUP BY ALL")
@@ -309,11 +313,6 @@ def part_detail(spark, d):
     return found.join(makers, F.col("p_partkey") == F.col("l_partkey"), "left").select("xid", "manufacturer", "category", "package", "stock", F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
 
 
-@query()
-def search_result_json(spark, d):
-    return search.result_json(search_ranked(spark, d), ["xid", "stock", "price_usd"])
-
-
 @query("SELECT regexp_extract(lower(url), '^https?://([^/?#:@]+)', 1) AS host, count(*)::BIGINT AS n, count(*)::BIGINT AS starts, (count(*) - 1) * 0.5::DOUBLE AS last FROM pages GROUP BY 1")
 def link_schedule(spark, d):
     plan = refresh.schedule(_t(spark, d, "pages").select(F.col("page_id").alias("url_id"), "url"), 0.5)
