@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,13 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from ..staging import scratch_path, stage_table  # noqa: F401  (used as common.stage_table)
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a task hands to Python objects at once.
 SLICE = 1 << 20
+#: Rows of a few numbers that may be broadcast.
+SMALL = 500_000
 
-_ROOTS: set[str] = set()
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -25,26 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder: that of spark.checkpoint.dir, else the warehouse.
-    All of an application's paths lie in one folder, which Spark removes when it ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    app = spark.sparkContext.applicationId
-    root = f"{base.rstrip('/')}/quarry-{app}"
-    if root not in _ROOTS:
-        _ROOTS.add(root)
-        at = spark._jvm.org.apache.hadoop.fs.Path(root)
-        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.mkdirs(at)
-        fs.deleteOnExit(at)
-    return f"{root}/{uuid.uuid4().hex}-{name}"
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small(staged: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``staged``, a written table of keys, to be sent to every task if it has at most ``rows``; a
+    larger one is joined by a shuffle."""
+    return F.broadcast(staged) if staged.count() <= rows else staged
 
 
 def partitions(spark: SparkSession) -> int:

@@ -120,5 +120,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows with equal ids are one document; rows without an id stay.
     """
-    later = classes(docs).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    later = common.stage_table(classes(docs).where("component_id < doc_id").select("doc_id").distinct(), "later")
+    return docs.join(common.small(later), "doc_id", "left_anti").select(*docs.columns)
