@@ -5,9 +5,13 @@ The distance of two fingerprints is at least the largest difference between thei
 entries, so a pair whose tables differ by more than the limit anywhere is discarded
 without comparing the fingerprints; survivors are verified.
 
-Pairs to be held against the tables come from buckets: fingerprints within 2 bits agree
-in at least two of four 16-bit blocks, so each falls into six buckets, by two of its
-blocks, and no near pair is missed. A bucket of more than ``BUCKET`` fingerprints, such as
+The first references are zero and one for each pair of neighbouring bits, which has just
+these two set: the distances to zero and to such a reference tell how many bits of the
+pair are set, 0, 1 or 2. Fingerprints within 2 bits differ in at most two of these 32
+numbers. Dealt into five groups, at least three groups agree, so each fingerprint falls
+into ten buckets, by three of its groups, no near pair is missed, and the pairs of a
+bucket are held against each other's whole tables, whose other references are spread at
+random. A bucket of more than ``BUCKET`` fingerprints, such as
 a large group of near copies makes, is not paired up. Its members are linked through the
 words one bit away instead: two fingerprints are within 2 bits exactly if they share a
 word that is at most one bit from either, and every member is linked to the least one
@@ -22,23 +26,48 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
 SEED, SHINGLE, BITS = 42, 3, 2
-PIVOTS = 24
+#: References spread at random, beside those of the pairs of bits.
+SPREAD = 24
+#: Numbers of pairs of bits in each group.
+GROUPS = (7, 7, 6, 6, 6)
 BUCKET = 64
+#: Shares that the rows of equal fingerprints are dealt into.
+SHARES = 16
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def pivots(n: int = PIVOTS) -> list[int]:
-    return [_signed(int.from_bytes(hashlib.sha256(b"pivot %d" % i).digest()[:8], "little")) for i in range(n)]
+def pivots() -> list[int]:
+    """Zero, the references of the 32 pairs of bits, and those spread at random."""
+    spread = (int.from_bytes(hashlib.sha256(b"pivot %d" % i).digest()[:8], "little") for i in range(SPREAD))
+    return [0, *(_signed(3 << 2 * i) for i in range(32)), *map(_signed, spread)]
+
+
+def distances(fp: Column) -> Column:
+    """A fingerprint's pivot table."""
+    return F.array(*[F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()])
+
+
+def bucket_keys(table: Column) -> Column:
+    """array<struct(t, bits)> of a pivot table: the numbers of three groups of pairs of bits each."""
+    pairs = F.transform(F.slice(table, 2, 32), lambda d: F.shiftright(table[0] + 2 - d, 1))
+    starts = [1 + sum(GROUPS[:g]) for g in range(len(GROUPS))]
+    codes = F.array(*[F.aggregate(F.slice(pairs, at, n), F.lit(0).cast("long"), lambda acc, x: acc * 3 + x) for at, n in zip(starts, GROUPS, strict=True)])
+
+    def keys(c: Column) -> Column:
+        width = 3 ** max(GROUPS)
+        return F.array(*[F.struct(F.lit(t).alias("t"), ((c[i] * width + c[j]) * width + c[k]).alias("bits")) for t, (i, j, k) in enumerate(combinations(range(len(GROUPS)), 3))])
+
+    return F.element_at(F.transform(F.array(codes), keys), 1)
 
 
 def simhash(text: str, size: int = SHINGLE) -> int:
@@ -70,22 +99,23 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that connect just what lies within 2 bits; ``fps`` holds distinct ``fp``."""
-    masks = [_signed((0xFFFF << 16 * i) | (0xFFFF << 16 * j)) for i, j in combinations(range(4), 2)]
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])
-    rows = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.bits")
+def candidates(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(t, bits, fp, n): the buckets of distinct ``fp`` that hold more than one, and the pairs (a, b,
+    d) of buckets of up to ``BUCKET``, with ``d``, by how much their pivot tables differ at most."""
+    rows = fps.select("fp", F.explode(bucket_keys(distances(F.col("fp")))).alias("k")).select("fp", "k.t", "k.bits")
     counts = rows.groupBy("t", "bits").agg(F.count("*").alias("n")).where("n > 1")
     rows = common.stage_table(rows.join(counts, ["t", "bits"]), "buckets")
-
-    table = F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()])
-    cold = rows.where(F.col("n") <= BUCKET).select("t", "bits", "fp", table.alias("d"))
+    cold = rows.where(F.col("n") <= BUCKET).select("t", "bits", "fp", distances(F.col("fp")).alias("d"))
     a, b = cold.alias("a"), cold.alias("b")
-    apart = F.array_max(F.zip_with(F.col("a.d"), F.col("b.d"), lambda x, y: F.abs(x - y)))
-    verified = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= BITS
     same = (F.col("a.t") == F.col("b.t")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.fp") < F.col("b.fp"))
-    near = a.join(b, same & (apart <= BITS) & verified).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    apart = F.array_max(F.zip_with(F.col("a.d"), F.col("b.d"), lambda x, y: F.abs(x - y)))
+    return rows, a.join(b, same).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"), apart.alias("d"))
 
+
+def links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) that connect just what lies within 2 bits; ``fps`` holds distinct ``fp``."""
+    rows, pairs = candidates(fps)
+    near = pairs.where((F.col("d") <= BITS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)).select("a", "b").distinct()
     hot = rows.where(F.col("n") > BUCKET).select("fp").distinct()
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)])
     around = hot.select("fp", F.explode(around).alias("word"))
@@ -106,11 +136,16 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     joined = components(links(distinct.select("fp")))
     labelled = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    labelled = labelled.join(least, "label").select("fp", "component_id")
-    return found.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    # a group of equal fingerprints may be large: its rows are dealt by share as well
+    shares = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))).alias("share")
+    labelled = labelled.join(least, "label").select("fp", "component_id", shares)
+    found = found.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)))
+    return found.join(labelled, ["fp", "share"]).select("doc_id", "fp", "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``classes`` of every row of ``documents``, fingerprints as 16 hexadecimal digits; nulls, empty
+    texts, repeated rows and empty tables as it says there."""
     out = classes(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -118,7 +153,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns kept, that are the first of their class by id.
 
-    Rows with equal ids are one document; rows without an id stay.
+    Rows with equal ids are one document; rows without an id stay. Nulls, empty texts and
+    empty tables are as ``classes`` says.
     """
     later = common.stage_table(classes(docs).where("component_id < doc_id").select("doc_id").distinct(), "later")
     return docs.join(common.small(later), "doc_id", "left_anti").select(*docs.columns)
