@@ -158,6 +158,8 @@ def encode_words(content):
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
                 blob = common.pack(pa.table({"word": words, "ids": ids}))
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "words"])
+        known.clear()
+        common.trim()
 
     return run
 
@@ -174,6 +176,7 @@ def look_up(own: list[str], added: list[str], pieces=None):
         lengths = pc.list_value_length(table["ids"]).to_numpy().astype(np.int64)
         values, starts = pc.list_flatten(table["ids"]).to_numpy(), np.cumsum(lengths) - lengths
         done = []
+        texts = out = None
         for rows in packed["rows"].to_pylist():
             texts = common.unpack(rows)
             out, ends = [np.zeros(0, np.int32)], [0]
@@ -190,6 +193,8 @@ def look_up(own: list[str], added: list[str], pieces=None):
                 if not held:
                     held.append(piece_table(pieces.value))
                 done[-1] = done[-1].append_column("decoded", join_pieces(made, held[0]))
+        del table, place, values, texts, out
+        common.trim()
         return pa.concat_tables(done)
 
     return run

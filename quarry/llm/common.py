@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,6 +81,14 @@ def unpack(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
+def trim() -> None:
+    """Give memory that a task has freed back to the system, as its Python worker lives on."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def sliced(batches, column: str, size: int = SLICE):
     """Batches cut where about ``size`` bytes of ``column`` (text) are reached, so that what Python
     holds at once is bounded, but for a single longer text."""
@@ -89,3 +99,4 @@ def sliced(batches, column: str, size: int = SLICE):
         cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:], strict=False):
             yield b.slice(i, j - i)
+    trim()

@@ -18,8 +18,10 @@ from . import common
 
 SHINGLE = 5
 #: Keep hashes whose top bits are zero: one in 2 ** SCALE.
-SCALE = 3
+SCALE = 2
 LIMIT = 1 << (63 - SCALE)
+#: Stands for a null id, after all others.
+NO_ID = (1 << 63) - 1
 
 
 def hashed(df: DataFrame, text: Column) -> DataFrame:
@@ -77,46 +79,65 @@ def containment(a: Column, b: Column, n: Column, m: Column, a_in_b: Column, b_in
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(least == 0, 0.0).otherwise(F.coalesce(one, F.size(F.array_intersect(a, b)) / least))
 
 
+KEY = ("id", "tk")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(id, tk, text): a null id is set to NO_ID, after all others; ``tk`` tells texts of one id apart."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text, F.char_length(text)).alias("tk"), text.alias("text"))
+
+
 def followers(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id): the next document by ascending id, the first after the last.
+    """(id, tk, next): the key of the next document by ascending id, the first after the last.
+    Rows without an id follow none and are followed by the first, or by themselves if no row has one.
 
-    Ids are dealt into ranges; the follower of a range's last id is the least id of the
+    Keys are dealt into ranges; the follower of a range's last key is the least key of the
     next range that has one, which a table of one row per range tells.
     """
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    ranged = ids.repartitionByRange(common.partitions(docs.sparkSession), "doc_id").withColumn("block", F.spark_partition_id())
+    key = F.struct(*KEY)
+    keys = _keyed(docs).select(*KEY).distinct()
+    nameless, keys = keys.where(F.col("id") == NO_ID), keys.where(F.col("id") != NO_ID)
+    ranged = keys.repartitionByRange(common.partitions(docs.sparkSession), *KEY).withColumn("block", F.spark_partition_id())
     ranged = common.stage_table(ranged, "ranged_ids")
-    firsts = ranged.groupBy("block").agg(F.min("doc_id").alias("first"))
+    firsts = ranged.groupBy("block").agg(F.min(key).alias("first"))
     firsts = firsts.select("block", F.coalesce(F.lead("first").over(Window.orderBy("block")), F.min("first").over(Window.partitionBy())).alias("after"))
-    ahead = F.lead("doc_id").over(Window.partitionBy("block").orderBy("doc_id"))
-    return ranged.withColumn("ahead", ahead).join(F.broadcast(firsts), "block").select("doc_id", F.coalesce("ahead", "after").alias("next_id"))
+    ahead = F.lead(key).over(Window.partitionBy("block").orderBy(*KEY))
+    named = ranged.withColumn("ahead", ahead).join(F.broadcast(firsts), "block").select(*KEY, F.coalesce("ahead", "after").alias("next"))
+    first = F.broadcast(ranged.agg(F.min(key).alias("first")))  # one row
+    return named.unionByName(nameless.crossJoin(first).select(*KEY, F.coalesce("first", key).alias("next")))
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """Sketches of every text and its edited text, and their likenesses.
+    """Sketches of every text and its edited text, and their likenesses, for every row.
 
-    A null text is empty. Rows without an id are left out, since they have no place in
-    the order of ids; of rows with equal ids the one with the greatest text counts. A
-    single document is its own next one. Other columns are ignored.
+    A null text is empty. Rows without an id are placed as ``followers`` says. Different texts
+    of one id follow one another in the order of their hashes; repeated rows are one document
+    in that order and get equal results. A single document is its own next one. Other
+    columns are ignored; an empty table gives an empty result.
     """
     order = common.stage_table(followers(docs), "followers")
-    base = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    base = _keyed(docs).groupBy(*KEY).agg(F.max("text").alias("text"), F.count("*").alias("copies"))
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     sk = sketched(base, "text", "sketch")
-    before = sk.join(order, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("before_id"), quarter.alias("take"), lone(F.col("sketch")).alias("sought"))
-    heads = holds(sk.join(before, "doc_id"), "text", F.col("sought"), "in_next")
-    heads = heads.select(F.col("before_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"), F.col("sketch_n").alias("next_n"), "in_next")
-    both = holds(sk.join(heads, "doc_id"), "text", lone(F.col("next_sketch")), "next_in")
+    before = sk.join(order, list(KEY)).select(F.col("next.id").alias("id"), F.col("next.tk").alias("tk"), F.col("id").alias("before_id"), F.col("tk").alias("before_tk"), quarter.alias("take"), lone(F.col("sketch")).alias("sought"))
+    heads = holds(sk.join(before, list(KEY)), "text", F.col("sought"), "in_next")
+    heads = heads.select(F.col("before_id").alias("id"), F.col("before_tk").alias("tk"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"), F.col("sketch_n").alias("next_n"), "in_next")
+    both = holds(sk.join(heads, list(KEY)), "text", lone(F.col("next_sketch")), "next_in")
     chars = F.char_length("text")
     both = both.withColumn("n_chars", chars.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), (chars - F.floor(chars / 4)).cast("int")), F.col("head"))).drop("head")
     out = sketched(both, "edited", "edited_sketch", lone(F.col("sketch")))
     out = holds(out, "text", lone(F.col("edited_sketch")), "edited_in").drop("text")
     c = F.col
     out = out.withColumn("near_edited", containment(c("sketch"), c("edited_sketch"), c("sketch_n"), c("edited_sketch_n"), c("edited_sketch_has"), c("edited_in")))
-    return out.withColumn("near_next", containment(c("sketch"), c("next_sketch"), c("sketch_n"), c("next_n"), c("in_next"), c("next_in")))
+    out = out.withColumn("near_next", containment(c("sketch"), c("next_sketch"), c("sketch_n"), c("next_n"), c("in_next"), c("next_in")))
+    out = out.withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id")).cast(docs.schema["doc_id"].dataType))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop(*KEY, "copies", "copy")
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``compare`` of every row of ``documents``, sketches as text; nulls, empty texts, repeated rows and
+    empty tables as it says there."""
     out = compare(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id",

@@ -171,7 +171,9 @@ def test_simhash_rows(docs, empty):
 def test_fingerprints(spark, empty):
     rng = random.Random(3)
     rows = [(i * 3, " ".join(rng.choice("abcdefghij") * rng.randrange(1, 4) + str(rng.randrange(40)) for _ in range(rng.randrange(60, 300)))) for i in range(30)]
-    out = {r["doc_id"]: r for r in fingerprints.compare(spark.createDataFrame([*rows, rows[0], (None, "x"), (400, None)], "doc_id long, text string")).collect()}
+    got = fingerprints.compare(spark.createDataFrame([*rows, rows[0], (None, "x"), (400, None)], "doc_id long, text string")).collect()
+    out = {r["doc_id"]: r for r in got}
+    assert len(got) == 33 and out.pop(None)["edited"] == "x"  # every row has one, those without ids and repeated ones too
     rows.append((400, ""))
     assert len(out) == 31
     for (i, t), (_, u) in zip(rows, rows[1:] + rows[:1], strict=True):
