@@ -64,56 +64,62 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return ranked.select("source", "place", "start", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """Documents with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
-
-    Keeps every input row and column; a column named like one of the five added ones
-    is replaced. A null or blank text has size 0 and takes no words however often it
-    is emitted. Null sources form one source, last in order. Equal (size, doc_id) rows
-    are told apart arbitrarily, but their totals are the same on every run. An empty
-    table gives an empty result.
-    """
+def _placed(docs: DataFrame, columns: list[str], weights, share: float, cap: float) -> DataFrame:
+    """(row, size, source_size, target, copies) of every document; ``row`` holds ``columns``, so none
+    of them can clash with what is added."""
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in OWN]
-    sized = docs.select(*own, F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"))
-    if set(own) == {"doc_id", "source", "text"}:  # the thin query: sizes are all that is carried on
-        own.remove("text")
-        sized = sized.drop("text")
-    sized = common.stage_table(sized, "sizes") if "text" not in own else sized
+    size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
+    sized = docs.select(F.struct(*columns).alias("row"), "source", F.col("doc_id").alias("id"), size.alias("size"))
+    if "text" not in columns:  # sizes are all that is carried on
+        sized = common.stage_table(sized, "sizes")
     plan = common.stage_table(targets(sized.select("source", "size"), weights, share, cap), "targets")
     placed = (
         sized.alias("d")
         .join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-        .select("d.*", F.col("p.place").alias("__place"), F.col("p.start").alias("__start"), "p.source_size", "p.target")
-        .repartitionByRange(common.partitions(spark), "__place", "size", "doc_id")
-        .sortWithinPartitions("__place", "size", "doc_id")
-        .withColumn("__at", F.monotonically_increasing_id())
-        .withColumn("__block", F.shiftright("__at", 33).cast("int"))
+        .select("d.*", "p.place", "p.start", "p.source_size", "p.target")
+        .repartitionByRange(common.partitions(spark), "place", "size", "id")
+        .sortWithinPartitions("place", "size", "id")
+        .withColumn("at", F.monotonically_increasing_id())
+        .withColumn("block", F.shiftright("at", 33).cast("int"))
     )
     placed = common.stage_table(placed, "placed")
-    blocks = placed.groupBy("__block").agg(F.count("*").alias("__n"))
-    blocks = blocks.select("__block", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    rank = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) - F.col("__start")
+    blocks = placed.groupBy("block").agg(F.count("*").alias("n"))
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) - F.col("start")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     u = offset(F.col("source"))
-    out = placed.join(F.broadcast(blocks), "__block")  # one row per range of the shuffle above
-    out = out.withColumn("copies", (F.floor((rank + 1) * each + u) - F.floor(rank * each + u)).cast("long"))
-    return out.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    out = placed.join(F.broadcast(blocks), "block")  # one row per range of the shuffle above
+    copies = (F.floor((rank + 1) * each + u) - F.floor(rank * each + u)).cast("long")
+    return out.select("row", "size", "source_size", "target", copies.alias("copies"))
 
 
-def emit(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: each document as many times as it was taken, with its own columns."""
-    out = mix(docs, **kw)
-    return out.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns) if not set(docs.columns) & set(OWN) else _emit_clashing(docs, **kw)
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """Documents with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``.
+
+    Keeps every input row and column; a column named like one of the five added ones
+    is replaced. A null or blank text has size 0 and takes no words however often it
+    is emitted. Null sources form one source, last in order. Equal (size, doc_id) rows
+    are told apart arbitrarily, but their totals are the same on every run. An empty
+    table gives an empty result.
+    """
+    own = [c for c in docs.columns if c not in OWN]
+    if set(own) == {"doc_id", "source", "text"}:  # the thin query
+        own.remove("text")
+    out = _placed(docs, own, weights, share, cap)
+    return out.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def _emit_clashing(docs: DataFrame, **kw) -> DataFrame:
-    """``emit`` for inputs that already have columns named like the added ones."""
-    names = {c: f"__in_{c}" for c in docs.columns if c in OWN}
-    return emit(docs.withColumnsRenamed(names), **kw).withColumnsRenamed({v: k for k, v in names.items()}).select(*docs.columns)
+def emit(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The mix itself: each document as many times as it was taken, with its own columns, whatever
+    they are called. Nulls, empty texts, repeated rows and empty tables are as ``mix`` says; a text
+    without words is emitted as often as its place on the line tells."""
+    out = _placed(docs, docs.columns, weights, share, cap)
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of every row of ``documents``; nulls, empty texts, repeated rows and empty tables as it
+    says there."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
