@@ -14,8 +14,8 @@ of its whole text.
 Texts are split twice: once to count, and once to be written as ids of the model beside what
 the counts of the ``KNOWN`` most frequent words tell; training and scoring read the ids. The
 corpus's counts are never sent anywhere whole. The known words and the model go to the
-executors, both of fixed size; of other words each batch lists its distinct ones with the
-documents that hold them, and the lists meet the counts in a join.
+executors, both of fixed size; other words, with the documents that hold them, meet the counts
+in a join.
 """
 
 from __future__ import annotations
@@ -309,9 +309,9 @@ class Corpus:
         total, distinct = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         self.tokens = total + self.documents
         self.denominator = self.tokens + 0.5 * (distinct + (self.documents > 0) + 1)
-        top = self.counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-        self.known = {r["word"].encode(): r["n"] for r in top}
-        self.head = [r["word"].encode() for r in top[:HEAD]]
+        top = sorted(((-r["n"], r["word"]) for r in self._frequent().collect()))  # at most KNOWN
+        self.known = {w.encode(): -n for n, w in top}
+        self.head = [w.encode() for _, w in top[:HEAD]]
         mass = np.full(BINS, 0.5)
         for r in self.counts.groupBy("bin").agg(F.sum(F.col("n") + 0.5).alias("m")).collect():  # one row a bin
             mass[r["bin"]] += r["m"]
@@ -319,6 +319,17 @@ class Corpus:
             mass[tail_bin(w)] -= self.known[w] + 0.5
         self.mass = np.maximum(mass, 0.5)
 
+    def _frequent(self) -> DataFrame:
+        """The words of the highest steps of frequency, eight to each doubling, that are ``KNOWN`` at most."""
+        step = F.floor(F.log2("n") * 8)
+        held, least = 0, None
+        for r in self.counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # a few hundred rows
+            held += r["count"]
+            if held > KNOWN:
+                break
+            least = r["step"]
+        return self.counts.where(step >= F.lit(least)).select("word", "n")
+
     def start(self) -> Gru:
         counts = np.zeros(END + 1)
         counts[: len(self.head)] = [self.known[w] for w in self.head]
@@ -330,16 +341,17 @@ def coded(docs: DataFrame, corpus: Corpus) -> DataFrame:
     """Rows of two kinds, staged together so that their keys agree.
 
     One row a document: ``doc_id``, ``learn``, ``share`` and ``key``, a number of its own;
-    ``n_tokens``, ``n_known``, ``base`` and ``in_bin`` as far as the known words tell; and
-    ``ids`` of its words in the model, two bytes each. One row for each other word of some
-    documents: ``word``, the ``keys`` of those that hold it, and how often, ``ns``.
+    ``n_tokens``, ``n_known``, ``base`` and ``in_bin``; and ``ids`` of its words in the model, two
+    bytes each. Words outside the known are taken to occur once in the training documents, if
+    this is one of them, else never. One row for each of them and each document: ``word``,
+    ``key``, how often, ``times``, and ``assumed``, the count that it was taken to have.
     """
     known, mass, heads = corpus.known, corpus.mass, len(corpus.head)
     sent = docs.sparkSession.sparkContext.broadcast((known, mass))
     bottom, end = math.log10(corpus.denominator), math.log10((corpus.documents + 0.5) / corpus.denominator)
     rows = docs.select("doc_id", "text", "learn", F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS[-1][1])).cast("int").alias("share"), F.monotonically_increasing_id().alias("key"))
     of_docs = common.with_fields(rows.drop("text").schema, n_tokens="bigint", n_known="bigint", base="double", in_bin="double", ids="binary")
-    schema = common.with_fields(of_docs, word="string", keys="array<bigint>", ns="array<int>")
+    schema = common.with_fields(of_docs, word="string", times="int", assumed="int")
 
     def run(batches):
         known, mass = sent.value
@@ -351,10 +363,12 @@ def coded(docs: DataFrame, corpus: Corpus) -> DataFrame:
         to_model = np.concatenate([np.where(in_model, np.arange(n), HEAD + bins), HEAD + np.arange(BINS)]).astype(np.int16)
         logs = np.concatenate([np.log10(np.array(list(known.values()), float) + 0.5), np.zeros(BINS)])
         below = np.concatenate([np.where(in_model, 0.0, logs[:n] - np.log10(mass)[bins]), -np.log10(mass)])
+        names = [f.name for f in schema.fields]
         for b in common.sliced(batches, "text", LISTED):
             out, made = np.zeros((4, b.num_rows)), []
+            learn = b["learn"].to_numpy(zero_copy_only=False).astype(np.int32)
             places: dict[bytes, int] = {}
-            word, doc = [], []
+            word, doc = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, text in enumerate(b["text"].to_pylist()):
                 found = tokens(text)
                 g = np.fromiter(map(ids.__getitem__, found), np.int32, len(found))
@@ -362,18 +376,17 @@ def coded(docs: DataFrame, corpus: Corpus) -> DataFrame:
                 if len(other):
                     word.append(np.array([places.setdefault(found[k], len(places)) for k in other.tolist()], np.int64))
                     doc.append(np.full(len(other), i, np.int64))
-                out[:, i] = len(g) + 1, len(g) - len(other), logs[g].sum() - len(g) * bottom + end, below[g].sum()
+                guess = len(other) * math.log10(learn[i] + 0.5)
+                out[:, i] = len(g) + 1, len(g) - (0 if learn[i] else len(other)), logs[g].sum() - len(g) * bottom + end + guess, below[g].sum() + guess
                 made.append(to_model[g].tobytes())
             whole = [*(b[c] for c in ("doc_id", "learn", "share", "key")), *(pa.array(out[k].astype(np.int64)) for k in (0, 1)), *(pa.array(out[k]) for k in (2, 3)), pa.array(made, pa.binary())]
-            listed = [pa.array([], pa.string()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int32()))]
-            if places:
-                pairs, count = np.unique(np.concatenate(word) * b.num_rows + np.concatenate(doc), return_counts=True)
-                ends = pa.array(np.searchsorted(pairs // b.num_rows, np.arange(len(places) + 1)).astype(np.int32))
-                listed = [pa.array([w.decode() for w in places], pa.string()), pa.ListArray.from_arrays(ends, b["key"].take(pa.array(pairs % b.num_rows))), pa.ListArray.from_arrays(ends, pa.array(count.astype(np.int32)))]
-            names = [f.name for f in schema.fields]
+            pairs, times = np.unique(np.concatenate(word) * b.num_rows + np.concatenate(doc), return_counts=True)
+            at = pairs % max(1, b.num_rows)
+            listed = [pa.array([w.decode() for w in places], pa.string()).take(pa.array(pairs // max(1, b.num_rows))), pa.array(times.astype(np.int32)), pa.array(learn[at])]
             yield pa.RecordBatch.from_arrays([*whole, *(pa.nulls(b.num_rows, x.type) for x in listed)], names)
-            if places:
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(places), x.type) for x in whole), *listed], names)
+            if len(pairs):
+                keys = whole[3].take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*(keys if k == 3 else pa.nulls(len(pairs), x.type) for k, x in enumerate(whole)), *listed], names)
 
     nullable = StructType([StructField(f.name, f.dataType, True) for f in schema.fields])
     return common.stage_table(rows.mapInArrow(run, nullable), "coded")
@@ -405,10 +418,16 @@ def train(training: DataFrame, corpus: Corpus) -> Gru:
     """The model after one pass over ``training``, rows of ``coded``."""
     model = corpus.start()
     for low, high in ROUNDS:
-        model = averaged(training.where((F.col("share") >= low) & (F.col("share") < high)), model)
+        some = training.where((F.col("share") >= low) & (F.col("share") < high))
+        model = averaged(_filled(some, corpus.tokens * (high - low) / ROUNDS[-1][1], GROUP_TOKENS), model)
     return model
 
 
+def _filled(rows: DataFrame, n_tokens: float, size: int) -> DataFrame:
+    """``rows`` in no more partitions than groups of ``size`` tokens fill, or as many as there are cores."""
+    return rows.coalesce(max(math.ceil(n_tokens / size), rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def score(docs: DataFrame, training: DataFrame | Column) -> DataFrame:
     """doc_id with n_tokens, n_known, train_tokens, base_score and score, for every row.
 
@@ -437,10 +456,10 @@ def score(docs: DataFrame, training: DataFrame | Column) -> DataFrame:
                 out[first : first + len(group)] += own.walk(group, False)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", "key", "n_tokens", "n_known", "base")), pa.array(out)], ["doc_id", "key", "n_tokens", "n_known", "base", "score"])
 
-    found = rows.mapInArrow(run, common.with_fields(rows.drop("ids", "in_bin").schema, score="double"))
-    met = table.where("word IS NOT NULL").select("word", "keys", "ns").join(corpus.counts.select("word", "n"), "word", "left")
-    each = met.select(F.log10(F.coalesce("n", F.lit(0)) + 0.5).alias("v"), F.col("n").isNotNull().alias("is_known"), F.explode(F.arrays_zip("keys", "ns")).alias("d"))
-    rest = each.groupBy(F.col("d.keys").alias("key")).agg(F.sum(F.col("d.ns") * F.col("v")).alias("v"), F.sum(F.when(F.col("is_known"), F.col("d.ns")).otherwise(0)).alias("k"))
+    found = _filled(rows, corpus.tokens, SCORE_GROUP_TOKENS).mapInArrow(run, common.with_fields(rows.drop("ids", "in_bin").schema, score="double"))
+    # what was taken for granted is put right; most words outside the known occur once
+    met = table.where("word IS NOT NULL").select("word", "key", "times", "assumed").join(corpus.counts.select("word", "n"), "word").where("n != assumed")
+    rest = met.groupBy("key").agg(F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.log10(F.col("assumed") + 0.5))).alias("v"), F.sum(F.col("times") * (1 - F.col("assumed"))).alias("k"))
     out, more = found.join(rest, "key", "left"), F.coalesce("v", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0)) + F.lit(int(corpus.documents > 0))).alias("n_known"), F.lit(corpus.tokens).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
 
