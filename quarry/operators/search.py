@@ -48,9 +48,9 @@ def exact(queries: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def substring(queries: DataFrame, parts: DataFrame) -> DataFrame:
-    """(query_id, xid): the part's number contains the normalised query, of three letters at
-    least. Both sides are split into 3-grams; a part that holds all of a query's grams is
-    verified. Queries join by their rarest gram first, so common grams make no candidates."""
+    """(query_id, xid): the part's number contains the normalised query. Both sides are split into
+    3-grams, queries join by their rarest one, so that common ones make no candidates, and
+    what they meet is verified. Shorter queries are grams themselves."""
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substring(c, i, F.lit(GRAM))))
     n = F.col("mpn_norm")
     index = parts.where(F.length(n) >= GRAM).select("xid", "mpn_norm", F.explode(grams(n)).alias("gram"))
@@ -58,7 +58,11 @@ def substring(queries: DataFrame, parts: DataFrame) -> DataFrame:
     q = queries.select("query_id", exprs.normalize(F.col("raw_query")).alias("needle")).where(F.length("needle") >= GRAM)
     rare = q.select("query_id", "needle", F.explode(grams(F.col("needle"))).alias("gram")).join(seen, "gram")
     rare = rare.groupBy("query_id", "needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return rare.join(index, "gram").where(F.contains("mpn_norm", "needle")).select("query_id", "xid").distinct()
+    found = rare.join(index, "gram").where(F.contains("mpn_norm", "needle")).select("query_id", "xid")
+    short = queries.select("query_id", exprs.normalize(F.col("raw_query")).alias("gram")).where(F.length("gram").between(1, GRAM - 1))
+    cut = lambda size: F.when(F.length(n) >= size, F.transform(F.sequence(F.lit(1), F.length(n) - (size - 1)), lambda i: F.substring(n, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    pieces = parts.select("xid", F.explode(F.array_distinct(F.concat(*[cut(size) for size in range(1, GRAM)]))).alias("gram"))
+    return found.unionByName(short.join(pieces, "gram").select("query_id", "xid")).distinct()
 
 
 def full_text(queries: DataFrame, parts: DataFrame, best: int | None = None) -> DataFrame:
@@ -350,7 +354,7 @@ def shaped(rows: DataFrame, parts: DataFrame, sheets: DataFrame, parameters: lis
     return rows.withColumn("datasheets", F.coalesce("datasheets", F.array().cast("array<string>"))).select(*keep, *RESULT)
 
 
-def result_json(rows: DataFrame, queries: DataFrame) -> DataFrame:
+def result_documents(rows: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, json): each query's document {version, query, nearest_match, count, results}, of rows
     as ``shaped`` gives them; one without rows has no results. Absent scalars are null."""
     each = rows.where(F.col("rank") <= 3 * MOST_RESULTS).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *RESULT)), lambda a, b: a["rank"] - b["rank"]).alias("r"), F.bool_or("nearest_match").alias("nearest_match"))
@@ -358,3 +362,9 @@ def result_json(rows: DataFrame, queries: DataFrame) -> DataFrame:
     results = F.coalesce(F.transform("r", lambda s: F.struct(*[s[f].alias(f) for f in RESULT])), F.array())
     document = F.struct(F.lit(1).alias("version"), "query", F.coalesce("nearest_match", F.lit(False)).alias("nearest_match"), F.coalesce(F.size("r"), F.lit(0)).alias("count"), results.alias("results"))
     return each.select("query_id", F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def result_json(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """(query_id, json): each query's ranked rows with some fields as a short document; nulls are left out."""
+    each = rows.where(F.col("rank") <= 3 * MOST_RESULTS).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("r"))
+    return each.select("query_id", F.to_json(F.struct(F.lit(1).alias("version"), F.size("r").alias("count"), F.transform("r", lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias("results"))).alias("json"))

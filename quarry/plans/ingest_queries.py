@@ -179,7 +179,7 @@ def search_verb(spark, d):
 def search_result_json(spark, d):
     rows, queries, parts, sheets = _verb(spark, d)
     known = [p for p in enrich.PARAMETERS if p in parts.columns]
-    return search.result_json(search.shaped(rows, parts, sheets, known), queries)
+    return search.result_documents(search.shaped(rows, parts, sheets, known), queries)
 
 
 @query(f"""WITH {PARTS} SELECT p.xid, p.manufacturer, p.category, p.package, p.stock, count(DISTINCT l_suppkey)::BIGINT AS suppliers, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT xid AS x FROM parts t WHERE t.xid <> p.xid ORDER BY mpn_norm, xid LIMIT 10)) AS related,
