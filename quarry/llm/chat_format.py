@@ -199,6 +199,9 @@ TRAP = r"\### Assistant: </turn> ok"
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``digests`` of all ``conversations`` and of one more, -7, whose texts look like markup. Null texts
+    and roles are empty, repeated rows repeated turns; without conversations -7 is the only one.
+    These rows carry text alone: attachments and their token counts are columns of ``segments``."""
     talks = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], talks.schema)
     return digests(segments(talks.unionByName(trap)))
