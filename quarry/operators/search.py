@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..staging import stage_table
+from .vectors import Tiles, first
 
 # Match tiers, strongest first, with their scores, and their names in result documents.
 TIERS = {"exact": 4, "trig": 3, "fts": 2, "semantic": 1, "nearest": 0}
@@ -238,48 +239,11 @@ def parametric(targets: DataFrame, values: DataFrame) -> DataFrame:
     return got.join(wanted, "query_id").where("got = wanted").select("query_id", "xid")
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, on: str | None = None) -> DataFrame:
-    """(query_id, vec_id, cosine, rank): the ``k`` nearest vectors of each query vector, exactly.
-
-    Every block of queries is held against every vector; a task keeps its best ``k`` for
-    each query before anything is shuffled. Blocks are dealt by a hash of the query. With
-    ``on``, a column of both, only vectors that equal the query in it are among the ``k``.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    wanted = F.col(on).cast("string") if on else F.lit("")
-    if on:
-        queries, vectors = queries.where(F.col(on).isNotNull()), vectors.where(F.col(on).isNotNull())
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for i in range(blocks):  # a stated query set, in blocks of bounded size
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", "embedding", wanted.alias("wanted")).orderBy("query_id").collect()
-        if not rows:
-            continue
-        ids, q = [r["query_id"] for r in rows], np.array([r["embedding"] for r in rows], float)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        sent = queries.sparkSession.sparkContext.broadcast((ids, q, np.array([r["wanted"] for r in rows], object)))
-
-        def run(batches, sent=sent):
-            ids, q, wanted = sent.value
-            for b in batches:
-                got = [(v, e, x) for v, e, x in zip(*(b[c].to_pylist() for c in ("vec_id", "embedding", "wanted")), strict=True) if e is not None and len(e) == q.shape[1]]
-                if not got:
-                    continue
-                names, m = np.array([v for v, _, _ in got]), np.array([e for _, e, _ in got], float)
-                fits = wanted[:, None] == np.array([x for _, _, x in got], object)
-                c = q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T
-                order = np.lexsort((np.broadcast_to(names, c.shape), -np.round(c, 9), ~fits))[:, :k]
-                keep = np.take_along_axis(fits, order, 1).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[keep]), pa.array(names[order].ravel()[keep]), pa.array(np.take_along_axis(c, order, 1).ravel()[keep])], ["query_id", "vec_id", "cosine"])
-
-        part = vectors.select("vec_id", "embedding", wanted.alias("wanted")).mapInArrow(run, "query_id long, vec_id long, cosine double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, cosine double, rank int")
-    w = Window.partitionBy("query_id").orderBy(F.round("cosine", 9).desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def neighbours(queries: DataFrame, vectors: DataFrame, k: int, on: str | None = None) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): the ``k`` nearest vectors of each query vector, exactly, by tiles
+    (see ``vectors.Tiles``). With ``on``, a column of both, only vectors that equal the query in
+    it are among the ``k``."""
+    return Tiles(vectors, on).nearest(queries, k)
 
 
 def all_terms(name: Column, wanted: Column) -> Column:
@@ -338,6 +302,39 @@ def resorted(near: DataFrame, parts: DataFrame, sort: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order(sort)))).select("query_id", "xid", "cosine", "rank")
 
 
+def semantic(queries: DataFrame, vectors: DataFrame, parts: DataFrame, values: DataFrame | None = None, *, sort: str = "relevance", limit: int = 50, **filters) -> DataFrame:
+    """(query_id, xid, cosine, rank): for each query (query_id, embedding and, if wanted, raw_query) the
+    parts with the nearest vectors (xid, embedding) among those that pass every filter.
+
+    ``filters`` are those of ``filtered`` and hold for all queries: they become places in the
+    vectors' tiles, so a nearer part that fails them takes nobody's place. Quantities and a
+    package in ``raw_query`` hold for that query alone; parts that meet its quantities come
+    from ``parametric`` over ``values`` (xid, parameter, value) and are scored pair by pair,
+    and a package is a key that tiles are kept by. The first ``limit`` by cosine, ties by
+    ``xid``, are then placed by ``sort``.
+    """
+    check(sort)
+    limit = clamp(limit)
+    passed = filtered(parts, **filters)
+    named = vectors.select(F.col("xid").alias("vec_id"), "embedding")
+    if "raw_query" not in queries.columns:
+        near = Tiles(named).nearest(queries, limit, passed.select(F.col("xid").alias("vec_id")) if filters else None)
+        return resorted(near.withColumnRenamed("vec_id", "xid"), parts, sort)
+    q = queries.select("query_id", "embedding", exprs.parse_query(F.col("raw_query")).alias("p")).select("query_id", "embedding", F.coalesce("p.quantities", F.array().cast("array<struct<parameter:string,value:double>>")).alias("quantities"), "p.package")
+    q, passed = stage_table(q, "semantic_queries"), stage_table(passed.select("xid", "package"), "semantic_parts")
+    plain, allowed = F.size("quantities") == 0, passed.select(F.col("xid").alias("vec_id"))
+    found = Tiles(named).nearest(q.where(plain & F.col("package").isNull()), limit, allowed)
+    packed = Tiles(named.join(passed.withColumnRenamed("xid", "vec_id"), "vec_id"), on="package")
+    found = found.unionByName(packed.nearest(q.where(plain & F.col("package").isNotNull()), limit))
+    if values is not None:
+        targets = q.select("query_id", F.explode("quantities").alias("t")).select("query_id", "t.parameter", F.col("t.value").alias("target")).distinct()
+        pairs = parametric(targets, values.join(passed.select("xid"), "xid", "left_semi")).join(passed, "xid").join(q.select("query_id", F.col("embedding").alias("asked"), F.col("package").alias("wanted")), "query_id")
+        pairs = pairs.where(F.col("wanted").isNull() | (F.col("wanted") == F.col("package"))).join(vectors.select("xid", "embedding"), "xid")
+        scored = pairs.select("query_id", F.col("xid").alias("vec_id"), exprs.cosine(F.col("asked"), F.col("embedding")).alias("cosine")).where("cosine IS NOT NULL AND NOT isnan(cosine)")
+        found = found.unionByName(first(scored, limit))
+    return resorted(found.withColumnRenamed("vec_id", "xid"), parts, sort)
+
+
 #: The keys of a result, in their order.
 RESULT = ("mpn", "mpn_norm", "manufacturer", "package", "category", "stock", "is_basic", "price_usd", "match_type", "similarity", "datasheets", "params")
 
