@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_tree, bpe_codec, chat_format, fingerprints, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, simhash, toxicity
+from . import ann_tree, bpe_codec, chat_format, fingerprints, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, simhash, toxicity, whitening
 
 QUERIES = {
     "op1_lm_score": lm_scoring.op1_lm_score,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat": chat_format.op9_chat,
     "op10_simhash": simhash.op10_simhash,
     "op12_ann": ann_tree.op12_ann,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
