@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann_tree, bpe_codec, chat_format, fingerprints, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, simhash, toxicity, whitening
+from . import ann_tree, bpe_codec, chat_format, fingerprints, line_dedup, lm_scoring, mixing, prefix_trie, quality_classifier, quality_rules, simhash, toxicity, whitening
 
 QUERIES = {
     "op1_lm_score": lm_scoring.op1_lm_score,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mix": mixing.op8_mix,
     "op9_chat": chat_format.op9_chat,
     "op10_simhash": simhash.op10_simhash,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_ann": ann_tree.op12_ann,
     "op13_whitening": whitening.op13_whitening,
 }
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
     "op8_mix": mixing.ORACLE,
     "op9_chat": chat_format.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
