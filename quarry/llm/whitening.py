@@ -133,7 +133,7 @@ def leading(v: np.ndarray, k: int, seed: int = 11) -> tuple[np.ndarray, np.ndarr
     alone or is as narrow as rounding allows; eigenvalues that no shift parts are one
     cluster, whose vectors are any orthonormal basis. Rayleigh quotient iteration starts
     from inverse iteration at the interval's middle and leaves out vectors found before;
-    if it ends outside of the interval, inverse iteration at a narrower one takes over.
+    if counts around where it ends deny the number, it starts again from a narrower interval.
     """
     n = len(v)
     k, eye, size = min(k, n), np.eye(n), max(np.abs(v).sum(axis=1).max(), np.finfo(float).tiny)
@@ -178,7 +178,7 @@ def leading(v: np.ndarray, k: int, seed: int = 11) -> tuple[np.ndarray, np.ndarr
             y -= found.T @ (found @ y)
             y /= np.linalg.norm(y)
             value = y @ v @ y
-            if low - fine <= value <= high + fine or high - low <= fine:
+            if above(value - 4 * fine) >= number > above(value + 4 * fine) or high - low <= fine:
                 break
             width = (high - low) / 16
         values.append(value)
