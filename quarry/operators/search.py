@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..staging import stage_table
+from ..staging import stage_observed, stage_table
 from .vectors import Tiles, first
 
 # Match tiers, strongest first, with their scores, and their names in result documents.
@@ -23,6 +23,10 @@ STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or
 # How far a parameter may be from the value asked for.
 BRACKETS = {"resistance": 0.01, "frequency_max": 0.01, "capacitance": 0.05, "inductance": 0.05, "current_max": 0.05, "power": 0.05, "voltage_max": 0.02, "voltage_min": 0.02}
 GRAM = 3
+#: Buckets of a parameter's values.
+BUCKETS = 64
+#: Rows of keys that may be sent to every task.
+FEW = 200_000
 
 
 def words(c: Column) -> Column:
@@ -48,22 +52,59 @@ def exact(queries: DataFrame, parts: DataFrame) -> DataFrame:
     return q.join(parts.select("mpn_norm", "xid"), "mpn_norm").select("query_id", "xid")
 
 
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, ``n`` at most, to be sent to every task if they are few; more are joined by a shuffle."""
+    return F.broadcast(rows) if n <= FEW else rows
+
+
+def _pieces(text: Column, sizes) -> Column:
+    """array<struct(gram, at)>: every piece of a text of the given lengths, with its place, from 0."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.struct(F.substring(text, i, F.lit(n)).alias("gram"), (i - 1).alias("at")))
+    return F.concat(*[F.when(F.length(text) >= n, cut(n)).otherwise(F.array().cast("array<struct<gram:string,at:int>>")) for n in sizes])
+
+
+def containing(needles: DataFrame, parts: DataFrame, best: int | None = None, package: bool = False) -> DataFrame:
+    """(needle, xid) of the parts whose number contains each ``needle``, a table of distinct ones; with
+    ``best``, of the first so many in order of relevance; with ``package``, rows are
+    (needle, package, xid) and a package that is not null must be the part's.
+
+    A positional index of 3-grams, read only where needles have grams. One pass counts the
+    parts that hold each gram that any needle has; each needle is then looked up by its two
+    rarest grams: the postings of the rarest tell where the needle would start, a second
+    one must be at its own place from there, and what they agree on must be the needle's first
+    occurrence, so a part is met once. Needles of one or two letters are pieces themselves.
+    Needles that are few go to the parts; no posting is shuffled then, and each task keeps
+    ``best`` parts a needle.
+    """
+    own = ["needle", *(["package"] if package else [])]
+    needles = needles.select(*own).where("needle != ''")
+    columns = ["xid", "mpn_norm", *(["stock", "is_basic"] if best is not None else []), *([F.col("package").alias("__of")] if package else [])]
+    number = F.col("mpn_norm")
+    pieces = _pieces(F.col("needle"), [GRAM])
+    looked = needles.select("needle", F.explode_outer(F.when(F.length("needle") >= GRAM, pieces)).alias("g")).select("needle", F.coalesce("g.gram", "needle").alias("gram"), F.coalesce("g.at", F.lit(0)).alias("at"))
+    looked, seen = stage_observed(looked.distinct(), "needle_grams", one=F.count_if(F.length("gram") == 1), two=F.count_if(F.length("gram") == 2), three=F.count_if(F.length("gram") >= GRAM))
+    sizes = [n for n, k in enumerate(("one", "two", "three"), 1) if seen[k]] or [GRAM]
+    held = parts.select(F.explode(F.array_distinct(F.transform(_pieces(number, sizes), lambda g: g["gram"]))).alias("gram"))
+    held = held.join(_few(looked.select("gram").distinct(), seen["rows"]), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rare = looked.join(held, "gram", "left").groupBy("needle").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "at"))).alias("g"))  # the grams of one needle
+    second = F.coalesce(F.try_element_at("g", F.lit(2)), F.element_at("g", 1))
+    probes = rare.where(F.element_at("g", 1)["n"] > 0).select("needle", F.element_at("g", 1)["gram"].alias("gram"), F.element_at("g", 1)["at"].alias("first_at"), second["gram"].alias("other"), second["at"].alias("other_at"))
+    if package:
+        probes = probes.join(needles, "needle")
+    probes, n = stage_observed(probes, "probes")
+    postings = parts.select(*columns, F.explode(_pieces(number, sizes)).alias("g")).select("*", "g.gram", "g.at").drop("g")
+    start = F.col("at") - F.col("first_at") + 1
+    agree = (F.substring(number, start + F.col("other_at"), F.length("other")) == F.col("other")) & (F.expr("instr(mpn_norm, needle)") == start)  # where it is first: once a part
+    met = postings.join(_few(probes, n["rows"]), "gram").where((start >= 1) & agree).drop("gram", "at", "first_at", "other", "other_at")
+    if package:
+        met = met.where(F.col("package").isNull() | (F.col("package") == F.col("__of"))).withColumn("package", F.coalesce("package", F.lit("")))
+    return (met if best is None else top(met, own, relevance(), best)).select(*own, "xid")
+
+
 def substring(queries: DataFrame, parts: DataFrame) -> DataFrame:
-    """(query_id, xid): the part's number contains the normalised query. Both sides are split into
-    3-grams, queries join by their rarest one, so that common ones make no candidates, and
-    what they meet is verified. Shorter queries are grams themselves."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substring(c, i, F.lit(GRAM))))
-    n = F.col("mpn_norm")
-    index = parts.where(F.length(n) >= GRAM).select("xid", "mpn_norm", F.explode(grams(n)).alias("gram"))
-    seen = index.groupBy("gram").agg(F.count("*").alias("n"))
-    q = queries.select("query_id", exprs.normalize(F.col("raw_query")).alias("needle")).where(F.length("needle") >= GRAM)
-    rare = q.select("query_id", "needle", F.explode(grams(F.col("needle"))).alias("gram")).join(seen, "gram")
-    rare = rare.groupBy("query_id", "needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    found = rare.join(index, "gram").where(F.contains("mpn_norm", "needle")).select("query_id", "xid")
-    short = queries.select("query_id", exprs.normalize(F.col("raw_query")).alias("gram")).where(F.length("gram").between(1, GRAM - 1))
-    cut = lambda size: F.when(F.length(n) >= size, F.transform(F.sequence(F.lit(1), F.length(n) - (size - 1)), lambda i: F.substring(n, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
-    pieces = parts.select("xid", F.explode(F.array_distinct(F.concat(*[cut(size) for size in range(1, GRAM)]))).alias("gram"))
-    return found.unionByName(short.join(pieces, "gram").select("query_id", "xid")).distinct()
+    """(query_id, xid): the part's number contains the normalised query. Equal queries are looked up once."""
+    q = queries.select("query_id", exprs.normalize(F.col("raw_query")).alias("needle"))
+    return q.join(containing(q.select("needle").distinct(), parts), "needle").select("query_id", "xid").distinct()
 
 
 def full_text(queries: DataFrame, parts: DataFrame, best: int | None = None) -> DataFrame:
@@ -140,42 +181,40 @@ def _order(sort: str) -> list[Column]:
     return {"relevance": [F.desc("tier_score"), *relevance()], "stock": [stocked.desc(), F.asc("mpn_norm"), F.asc("xid")], "price": [F.asc_nulls_last("price_usd"), F.asc("mpn_norm"), F.asc("xid")]}[sort]
 
 
-def _tiers(plain: DataFrame, bound: DataFrame | None, parts: DataFrame, limit: int) -> DataFrame:
-    """(query_id, xid, tier) of queries (query_id, words, package), no tier with fewer than its first
-    ``limit``.
+def _tiers(q: DataFrame, asked_for: int, bound: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
+    """(query_id, xid, tier, relaxed): hits of ``asked_for`` read queries (query_id, words, package, quantities), no tier
+    with fewer than its first ``limit``.
 
-    ``bound`` has the queries with quantities, a row for each part (xid) that meets them; text and
-    package are tested on those parts. ``plain`` queries look things up: numbers by equality
-    and 3-grams, words and packages in lists of the best ``limit`` parts of each, which is all
-    that a tier keeps, since the order of parts does not depend on the query.
+    Every query is looked up by its words: numbers by equality and by 3-grams, words and
+    packages in lists of the best ``limit`` parts of each, which is all that a tier keeps, since
+    the order of parts does not depend on the query. Queries that ask for one thing share
+    its list. For a query with quantities such hits are ``relaxed``; its others are tested on
+    ``bound``, a row (query_id, xid) for each part that meets the quantities.
     """
     p = parts.select("xid", "mpn_norm", "package", "stock", "is_basic", terms(F.col("description")).alias("found"))
-    joined, none = F.array_join("words", " "), F.size("words") == 0
-    read = lambda df: df.withColumn("needle", exprs.normalize(joined)).withColumn("asked", terms(joined))
-    q, named = read(plain), F.col("needle") != ""
-    fits = F.col("wanted").isNull() | (F.col("wanted") == F.col("package"))
-    tier = lambda df, name: df.select("query_id", "xid", F.lit(name).alias("tier"))
-
-    texts, wanted = q.where(named).select("query_id", F.col("needle").alias("raw_query")), q.select("query_id", F.col("package").alias("wanted"))
-    packages = p.select("xid", "package")
-    out = None
-    for find, name in ((exact, "exact"), (substring, "trig")):
-        found = tier(find(texts, parts).join(wanted, "query_id").join(packages, "xid").where(fits), name)
-        out = found if out is None else out.unionByName(found)
+    joined, none, numeric = F.array_join("words", " "), F.size("words") == 0, F.size("quantities") > 0
+    q = q.withColumn("needle", exprs.normalize(joined)).withColumn("asked", terms(joined))
+    named, blank = F.col("needle") != "", F.coalesce("package", F.lit("")).alias("package")
+    texts = q.where(named).select("query_id", "needle", blank, numeric.alias("relaxed"))
+    needles = q.where(named).select("needle", "package").distinct()
+
+    equal = needles.withColumnRenamed("package", "wanted").join(p, F.col("needle") == F.col("mpn_norm")).where(F.col("wanted").isNull() | (F.col("wanted") == F.col("package")))
+    equal = top(equal.withColumn("package", F.coalesce("wanted", F.lit(""))), ["needle", "package"], relevance(), limit).select("needle", "package", "xid", F.lit("exact").alias("tier"))
+    within = containing(needles, parts, limit, package=True).withColumn("tier", F.lit("trig"))
+    out = texts.join(equal.unionByName(within), ["needle", "package"]).select("query_id", "xid", "tier", "relaxed")
 
     key = lambda word, package: F.struct(word.alias("word"), F.coalesce(package, F.lit("")).alias("package"))
-    asked = q.select("query_id", F.when(none, "exact").otherwise("fts").alias("tier"), F.explode(F.when(none, F.array(F.lit(""))).otherwise(F.col("asked"))).alias("word"), "package")
-    asked = asked.select("query_id", "tier", key(F.col("word"), F.col("package")).alias("key"))
+    asked = q.select("query_id", F.when(none, "exact").otherwise("fts").alias("tier"), F.explode(F.when(none, F.array(F.lit(""))).otherwise(F.col("asked"))).alias("word"), "package", numeric.alias("relaxed"))
+    asked = asked.where("word != '' OR package IS NOT NULL").select("query_id", "tier", key(F.col("word"), F.col("package")).alias("key"), "relaxed")
     every = F.array_append("found", "")
     of_package = F.when(F.col("package") != "", F.transform(every, lambda w: key(w, F.col("package")))).otherwise(F.array().cast("array<struct<word:string,package:string>>"))
     lists = p.select("xid", "mpn_norm", "stock", "is_basic", F.explode(F.concat(F.transform(every, lambda w: key(w, F.lit(""))), of_package)).alias("key"))
-    lists = top(lists.join(asked.select("key").distinct(), "key", "left_semi"), ["key"], relevance(), limit).select("key", "xid")
-    out = out.unionByName(asked.join(lists, "key").select("query_id", "xid", "tier"))
-    if bound is not None:
-        met = read(bound).withColumnRenamed("package", "wanted").join(p, "xid").where(fits)
-        out = out.unionByName(tier(met.where(none | (named & (F.col("needle") == F.col("mpn_norm")))), "exact"))
-        out = out.unionByName(tier(met.where(named & F.contains("mpn_norm", "needle")), "trig"))
-        out = out.unionByName(tier(met.where(F.arrays_overlap("asked", "found")), "fts"))
+    lists = top(lists.join(_few(asked.select("key").distinct(), asked_for * exprs.QUERY_TOKENS), "key", "left_semi"), ["key"], relevance(), limit).select("key", "xid")
+    out = out.unionByName(asked.join(lists, "key").select("query_id", "xid", "tier", "relaxed"))
+
+    met = q.withColumnRenamed("package", "wanted").join(bound, "query_id").join(p, "xid").where(F.col("wanted").isNull() | (F.col("wanted") == F.col("package")))
+    for test, name in ((none | (named & (F.col("needle") == F.col("mpn_norm"))), "exact"), (named & F.contains("mpn_norm", "needle"), "trig"), (F.arrays_overlap("asked", "found"), "fts")):
+        out = out.unionByName(met.where(test).select("query_id", "xid", F.lit(name).alias("tier"), F.lit(False).alias("relaxed")))
     return out.distinct()
 
 
@@ -186,59 +225,83 @@ def lexical(queries: DataFrame, parts: DataFrame, values: DataFrame, *, sort: st
     A text is read into quantities, a package and words. Parts that pass ``filters`` (see
     ``filtered``) and the query's own quantities and package are found by number, part of a
     number and words; without words there is one tier, exact. Where a query has quantities
-    and finds nothing, it is asked again without them, and what it finds is placed by
-    distance. Blank queries find nothing. Returns query_id, rank, xid, tier, tier_score,
-    nearest_match and distance, beside the columns that order results. Parts that pass, the
-    read queries and the direct hits are written down, as the plan names them many times.
+    and finds nothing, what it finds without them is placed by distance. Blank queries find
+    nothing. Returns query_id, rank, xid, tier, tier_score, nearest_match and distance, beside
+    the columns that order results. Parts that pass, the read queries and the hits are written
+    down, as the plan names them many times.
     """
     check(sort)
     limit = clamp(limit)
     parts = stage_table(filtered(parts, **filters).select("xid", "mpn_norm", "description", "package", "stock", "is_basic", "price_usd"), "eligible_parts")
     q = queries.select("query_id", exprs.parse_query(F.col("raw_query")).alias("p")).select("query_id", "p.*")
-    q = stage_table(q.where((F.size("quantities") > 0) | F.col("package").isNotNull() | (F.size("words") > 0)), "read_queries")
+    q, n = stage_observed(q.where((F.size("quantities") > 0) | F.col("package").isNotNull() | (F.size("words") > 0)), "read_queries")
     targets = q.select("query_id", F.explode("quantities").alias("t")).select("query_id", "t.parameter", F.col("t.value").alias("target")).distinct()
     met = parametric(targets, values.join(parts.select("xid"), "xid", "left_semi"))
-    numeric = F.size("quantities") > 0
-    found = stage_table(_tiers(q.where(~numeric), q.where(numeric).join(met, "query_id"), parts, limit), "direct_hits")
-    hard = stage_table(ranked(found, parts, sort, limit), "direct_results")
+    found = stage_table(_tiers(q, n["rows"], met, parts, limit), "hits")
+    hard = stage_table(ranked(found.where("NOT relaxed").drop("relaxed"), parts, sort, limit), "direct_results")
 
-    again = q.where(numeric).join(hard.select("query_id").distinct(), "query_id", "left_anti")
-    relaxed = ranked(stage_table(_tiers(again, None, parts, limit), "relaxed_hits"), parts, "relevance", limit).select("query_id", "xid")
-    near = nearest(targets.join(again.select("query_id"), "query_id", "left_semi"), relaxed, hard.select("query_id", "xid"), values, 3 * limit, parts)
+    relaxed = ranked(found.where("relaxed").drop("relaxed").join(hard.select("query_id").distinct(), "query_id", "left_anti"), parts, "relevance", limit).select("query_id", "xid")
+    near = nearest(targets, relaxed, hard.select("query_id", "xid"), values, 3 * limit, parts)
     shown = parts.select("xid", "mpn_norm", "stock", "is_basic", "price_usd")
     near = near.join(shown, "xid").select("query_id", "rank", "xid", F.lit("nearest").alias("tier"), F.lit(0).alias("tier_score"), F.lit(True).alias("nearest_match"), "distance", "mpn_norm", "stock", "is_basic", "price_usd")
     return hard.select("query_id", "rank", "xid", "tier", "tier_score", F.lit(False).alias("nearest_match"), F.lit(None).cast("double").alias("distance"), "mpn_norm", "stock", "is_basic", "price_usd").unionByName(near)
 
 
+def _cuts(values: DataFrame) -> DataFrame:
+    """(parameter, cuts): quantiles that part each parameter's values into ``BUCKETS`` buckets; a value that
+    many parts have is several quantiles, which tell how many."""
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    return values.groupBy("parameter").agg(F.array_sort(F.percentile_approx("value", shares, 1000)).alias("cuts"))
+
+
 def parametric(targets: DataFrame, values: DataFrame) -> DataFrame:
     """(query_id, xid) where every target (query_id, parameter, target) of a query has a value
     (xid, parameter, value) within its bracket; parameters without a bracket must be equal.
 
-    A range join by logarithmic buckets: a value is in one bucket, a bracket spans a few. The
-    sizes of the buckets tell which target of a query is met least; only that one is joined
-    by bucket, and what it finds is tested for the others.
+    A range join by buckets: quantiles of each parameter bound its buckets, so values that
+    crowd together are parted, whatever their sign or size. A bracket spans the buckets from
+    that of its low end to that of its high end. The quantiles in a bracket tell which target
+    of a query is met least; only that one is joined by bucket, and what it finds is tested
+    for the others. Brackets that are few go to the values. Many are joined by a shuffle, in
+    which a bucket that stays large, as very many values are equal, is dealt into parts of
+    even size, and brackets on it go to each part. Nulls and NaN are within no bracket.
     """
     table = F.create_map(*[F.lit(x) for kv in BRACKETS.items() for x in kv])
-    step = math.log(1 + 2 * min(BRACKETS.values()))
-    bucket = lambda c: F.floor(F.log(c) / step)
-    q = targets.select("query_id", "parameter", "target", F.coalesce(F.try_element_at(table, "parameter"), F.lit(0.0)).alias("f"))
-    q = q.withColumn("low", F.col("target") * (1 - F.col("f"))).withColumn("high", F.col("target") * (1 + F.col("f")))
-    spread = q.where("low > 0").withColumn("bucket", F.explode(F.sequence(bucket(F.col("low")) - 1, bucket(F.col("high")) + 1)))
-    v = values.where("value > 0").withColumn("bucket", bucket(F.col("value")))
-    sizes = v.groupBy("parameter", "bucket").agg(F.count("*").alias("n"))
-    least = spread.join(sizes, ["parameter", "bucket"], "left").groupBy("query_id", "parameter", "target", "low", "high").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    values = values.where("value IS NOT NULL AND NOT isnan(value)")
+    cuts = stage_table(_cuts(values), "parameter_cuts")
+    bucket = lambda c: F.size(F.filter("cuts", lambda x: x <= c))
+    v = values.join(F.broadcast(cuts), "parameter").select("xid", "parameter", "value", bucket(F.col("value")).alias("bucket"))  # a row a parameter
+    q = targets.where("target IS NOT NULL AND NOT isnan(target)").select("query_id", "parameter", "target", F.coalesce(F.try_element_at(table, "parameter"), F.lit(0.0)).alias("f"))
+    ends = [F.col("target") * (1 - F.col("f")), F.col("target") * (1 + F.col("f"))]
+    q = q.select("query_id", "parameter", "target", F.least(*ends).alias("low"), F.greatest(*ends).alias("high"))
+    sized = q.join(F.broadcast(cuts), "parameter").withColumn("n", bucket(F.col("high")) - F.size(F.filter("cuts", lambda x: x < F.col("low"))))  # in quantiles
     first = F.row_number().over(Window.partitionBy("query_id").orderBy("n", "parameter", "target"))
-    chosen = least.withColumn("place", first).where("place = 1").select("query_id", "parameter", "target")
-    # no bucket holds zero: a query of zeros alone is looked up as it is
-    of_zero = q.where("low = 0 AND high = 0").join(chosen.select("query_id"), "query_id", "left_anti").select("query_id", "parameter").distinct()
-    met = spread.join(chosen, ["query_id", "parameter", "target"], "left_semi").join(v, ["parameter", "bucket"]).where(F.col("value").between(F.col("low"), F.col("high"))).select("query_id", "xid").distinct()
-    met = met.unionByName(of_zero.join(values.where("value = 0"), "parameter").select("query_id", "xid").distinct()).distinct()
-    wanted = q.groupBy("query_id").agg(F.countDistinct("parameter", "target").alias("wanted"))
+    chosen = sized.withColumn("place", first).where("place = 1")
+    spread = chosen.select("query_id", "parameter", "low", "high", F.explode(F.sequence(bucket(F.col("low")), bucket(F.col("high")))).alias("bucket"))
+    brackets, n = stage_observed(spread, "brackets")
+    met = bucket_join(brackets, n["rows"], v).select("query_id", "xid").distinct()
+    wanted = targets.groupBy("query_id").agg(F.countDistinct("parameter", "target").alias("wanted"))
     tested = met.join(q, "query_id").join(values, ["xid", "parameter"]).where(F.col("value").between(F.col("low"), F.col("high")))
     got = tested.groupBy("query_id", "xid").agg(F.countDistinct("parameter", "target").alias("got"))
     return got.join(wanted, "query_id").where("got = wanted").select("query_id", "xid")
 
 
+def bucket_join(brackets: DataFrame, n: int, values: DataFrame, few: int = FEW) -> DataFrame:
+    """``n`` rows ``brackets`` (parameter, bucket, low, high, ...) with the ``values`` (parameter, bucket,
+    value, xid) in them. Up to ``few`` go to every task; more meet the values by a shuffle, for
+    which every bucket is dealt into parts of even size."""
+    fits = F.col("value").between(F.col("low"), F.col("high"))
+    if n <= few:
+        return values.join(F.broadcast(brackets), ["parameter", "bucket"]).where(fits)
+    partitions = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = stage_table(values.groupBy("parameter", "bucket").agg(F.count("*").alias("n")), "bucket_sizes")  # BUCKETS rows a parameter
+    share = sizes.agg(F.ceil(F.sum("n") / (16 * partitions)).alias("share")).first()["share"] or 1
+    sizes = F.broadcast(sizes.select("parameter", "bucket", F.ceil(F.col("n") / share).cast("int").alias("parts")))
+    dealt = values.join(sizes, ["parameter", "bucket"]).withColumn("part", F.pmod(F.xxhash64("xid"), F.col("parts")).cast("int")).drop("parts")
+    each = brackets.join(sizes, ["parameter", "bucket"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.join(each, ["parameter", "bucket", "part"]).where(fits)
+
+
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int, on: str | None = None) -> DataFrame:
     """(query_id, vec_id, cosine, rank): the ``k`` nearest vectors of each query vector, exactly, by tiles
     (see ``vectors.Tiles``). With ``on``, a column of both, only vectors that equal the query in

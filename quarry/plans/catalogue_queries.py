@@ -291,13 +291,45 @@ def search_nearest(spark, d):
     return search.nearest(targets, relaxed, hard, values, 5)
 
 
-@query(f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id)::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, vec_id) AS n FROM ({SIM})) s JOIN embeddings q ON q.vec_id = s.query_id JOIN embeddings v ON v.vec_id = s.vec_id WHERE n <= 200 AND q.label = v.label QUALIFY rank <= 10".replace("SELECT query_id, vec_id, row", "SELECT query_id, s.vec_id, row", 1).replace("DESC, vec_id)::INT", "DESC, s.vec_id)::INT", 1))
+@query(f"SELECT s.query_id, s.vec_id, row_number() OVER (PARTITION BY s.query_id ORDER BY round(c, 9) DESC, s.vec_id)::INT AS rank FROM ({SIM}) s JOIN embeddings q ON q.vec_id = s.query_id JOIN embeddings v ON v.vec_id = s.vec_id WHERE q.label = v.label QUALIFY rank <= 10")
 def semantic_hybrid(spark, d):
     e = _t(spark, d, "embeddings")
     asked = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
     return search.hybrid(asked, e, "label", 10).select("query_id", "vec_id", "rank")
 
 
+def _part_vectors(spark, d):
+    """Parts, their vectors and every fiftieth of these as a query."""
+    parts = catalogue.parts(spark, d).withColumn("package", F.lpad("package", 4, "0"))
+    e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding").join(parts.select("p_partkey", "xid", "package", "resistance"), "p_partkey")
+    return parts, e.select("xid", "embedding"), e.where("p_partkey % 50 = 0").withColumnRenamed("p_partkey", "query_id")
+
+
+VECTORS = f"""{PARTS}, e AS (SELECT p.*, lpad(package, 4, '0') AS pack, embedding FROM parts p JOIN embeddings ON vec_id = p_partkey),
+s AS (SELECT q.p_partkey AS query_id, q.pack AS qpack, q.resistance AS qr, e.* EXCLUDE (embedding), round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS c FROM e q, e WHERE q.p_partkey % 50 = 0)"""
+
+
+@query(f"""WITH {VECTORS}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, xid) AS n FROM s WHERE stock >= 1 AND NOT is_basic AND price_usd <= 1500)
+SELECT query_id, xid, c AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY price_usd NULLS LAST, mpn_norm, xid)::INT AS rank FROM n WHERE n <= 10""")
+def semantic_filtered(spark, d):
+    """Filters hold before the nearest are taken; the ten nearest are then placed by price."""
+    parts, vectors, asked = _part_vectors(spark, d)
+    out = search.semantic(asked.select("query_id", "embedding"), vectors, parts, sort="price", limit=10, min_stock=1, is_basic=False, max_price=1500.0)
+    return out.withColumn("cosine", F.round("cosine", 9))
+
+
+@query(f"""WITH {VECTORS}, k AS (SELECT *, query_id // 50 % 4 AS kind FROM s), h AS (SELECT * FROM k WHERE (kind NOT IN (1, 3) OR pack = qpack) AND (kind NOT IN (2, 3) OR resistance BETWEEN qr * (1 - 0.01::DOUBLE) AND qr * (1 + 0.01::DOUBLE))),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, xid) AS n FROM h WHERE stock >= 1) SELECT query_id, xid, c AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY greatest(coalesce(stock, 0), 0) DESC, mpn_norm, xid)::INT AS rank FROM n WHERE n <= 5""")
+def semantic_read(spark, d):
+    """A query's own text adds a package, a quantity or both; the five nearest are placed by stock."""
+    parts, vectors, asked = _part_vectors(spark, d)
+    kind, ohms = F.floor(F.col("query_id") / 50) % 4, F.concat(F.col("resistance").cast("string"), F.lit("ohm"))
+    raw = F.concat_ws(" ", F.when(kind.isin(1, 3), F.col("package")), F.when(kind.isin(2, 3), ohms))
+    values = parts.select("xid", F.lit("resistance").alias("parameter"), F.col("resistance").alias("value"))
+    out = search.semantic(asked.select("query_id", "embedding", raw.alias("raw_query")), vectors, parts, values, sort="stock", limit=5, min_stock=1)
+    return out.withColumn("cosine", F.round("cosine", 9))
+
+
 @query(f"WITH {PARTS}, t AS (SELECT xid, row_number() OVER (ORDER BY mpn_norm, xid) AS n FROM parts), top AS (SELECT * FROM t WHERE n <= 11) SELECT xid, related, rank FROM (SELECT p.xid, top.xid AS related, row_number() OVER (PARTITION BY p.xid ORDER BY top.n)::INT AS rank FROM parts p JOIN top ON top.xid <> p.xid) WHERE rank <= 10")
 def related_parts(spark, d):
     """All numbers of these tables are of one family."""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _ROOTS: set[str] = set()
 
@@ -28,3 +29,10 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_observed(df: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """``stage_table`` with its ``rows`` and other aggregates, taken while it is written."""
+    seen = Observation()
+    staged = stage_table(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in figures.items()]), name)
+    return staged, seen.get
