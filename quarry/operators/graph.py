@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import stage_table
+from ..staging import stage_observed, stage_table
 
 
 def two_hop(edges: DataFrame) -> DataFrame:
@@ -14,6 +14,64 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("a.dst").alias("mid"), F.col("b.dst").alias("dst"))
 
 
+#: Nodes of a frontier, or pairs, that may be sent to every task.
+FEW = 200_000
+
+
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= FEW else rows
+
+
+class _Search:
+    """Breadth first from many roots: rows (root, node, depth, prev), written level by level.
+
+    ``prev`` is the least neighbour of the level before; paths are walked back along it, so no
+    row holds more than one step, whatever the depth.
+    """
+
+    def __init__(self, edges: DataFrame, roots: DataFrame, name: str):
+        self.edges, self.name, self.depth = edges, name, 0
+        first = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(roots.schema["root"].dataType).alias("prev"))
+        self.frontier, seen = stage_observed(first.distinct(), f"{name}_0")
+        self.size, self.reached = seen["rows"], self.frontier
+
+    def step(self, live: DataFrame | None = None) -> None:
+        """One level on, from the roots in ``live`` if it is given."""
+        self.depth += 1
+        from_ = self.frontier.select("root", F.col("node").alias("prev"))
+        if live is not None:
+            from_ = from_.join(live, "root", "left_semi")
+        met = self.edges.join(_few(from_, self.size), self.edges["src"] == F.col("prev")).groupBy("root", F.col("dst").alias("node")).agg(F.min("prev").alias("prev"))
+        new = met.join(self.reached.select("root", "node"), ["root", "node"], "left_anti")
+        self.frontier, seen = stage_observed(new.select("root", "node", F.lit(self.depth).alias("depth"), "prev"), f"{self.name}_{self.depth}")
+        self.size = seen["rows"]
+        if self.size:
+            self.reached = self.reached.unionByName(self.frontier)
+
+    def back(self, rows: DataFrame, column: str) -> DataFrame:
+        """``rows`` (root, node, ...) with ``column``, the nodes from the root to each row's node."""
+        rows = rows.withColumn(column, F.array("node")).withColumn("at", F.col("node"))
+        for _ in range(self.depth):  # a row's nodes are no more than there were levels
+            steps = self.reached.select("root", F.col("node").alias("at"), "prev")
+            rows = rows.join(steps, ["root", "at"], "left").withColumn(column, F.when(F.col("prev").isNull(), F.col(column)).otherwise(F.concat(F.array("prev"), column))).withColumn("at", F.coalesce("prev", "at")).drop("prev")
+        return rows.drop("at")
+
+
+def distances(edges: DataFrame, source: DataFrame, hops: int) -> DataFrame:
+    """(node, hops) of all nodes within ``hops`` edges (src, dst) of ``source`` (node), breadth first.
+    Rounds are written down, and the frontier goes to the edges while it is small."""
+    edges = stage_table(edges.select("src", "dst").distinct(), "edges")
+    frontier, seen = stage_observed(source.select("node", F.lit(0).alias("hops")).where("node IS NOT NULL").distinct(), "hop_0")
+    reached = frontier
+    for i in range(1, hops + 1):
+        if not seen["rows"]:
+            break
+        met = edges.join(_few(frontier.select(F.col("node").alias("src")), seen["rows"]), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier, seen = stage_observed(met.join(reached.select("node"), "node", "left_anti").select("node", F.lit(i).alias("hops")), f"hop_{i}")
+        reached = reached.unionByName(frontier)
+    return reached
+
+
 def paths(edges: DataFrame, source: DataFrame, hops: int) -> DataFrame:
     """(node, hops, path) for all nodes within ``hops`` edges of ``source`` (node), breadth first.
 
@@ -32,9 +90,36 @@ def paths(edges: DataFrame, source: DataFrame, hops: int) -> DataFrame:
     return reached
 
 
-def distances(edges: DataFrame, source: DataFrame, hops: int) -> DataFrame:
-    """(node, hops) as of ``paths``."""
-    return paths(edges, source, hops).select("node", "hops")
+def between(edges: DataFrame, pairs: DataFrame, hops: int) -> DataFrame:
+    """(src, dst, hops, path): one shortest path of up to ``hops`` edges for each pair (src, dst) of a table.
+
+    The search goes forth from all sources and back from all targets at once, level by level;
+    each round the side with the smaller frontier goes on, from the roots of pairs that have
+    not met. Every pair's searches are whole levels, so the first level at which they share a
+    node is the shortest way; of the shared nodes the least is taken, and the path is walked
+    from it to both ends along the least predecessors. Pairs that are not within reach, and
+    those with a null, give no row; a pair that is twice there gives one. ``path`` is the
+    array of its nodes; that of a node to itself is the node alone.
+    """
+    edges = stage_table(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
+    open_, seen = stage_observed(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "pairs")
+    forth = _Search(edges, open_.select(F.col("src").alias("root")), "forth")
+    back = _Search(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), open_.select(F.col("dst").alias("root")), "back")
+    found = None
+    while True:
+        a = forth.reached.select(F.col("root").alias("src"), "node", F.col("depth").alias("da"))
+        b = back.reached.select(F.col("root").alias("dst"), "node", F.col("depth").alias("db"))
+        met = a.join(_few(open_, seen["rows"]), "src").join(b, ["dst", "node"]).groupBy("src", "dst").agg(F.min(F.struct((F.col("da") + F.col("db")).alias("hops"), "node")).alias("m"))
+        met = stage_table(met.select("src", "dst", F.col("m.hops").alias("hops"), F.col("m.node").alias("node")), "met")
+        found = met if found is None else found.unionByName(met)
+        open_, seen = stage_observed(open_.join(met, ["src", "dst"], "left_anti"), "open")
+        if not seen["rows"] or forth.depth + back.depth >= hops or not (forth.size and back.size):
+            break
+        side, end = (forth, "src") if forth.size <= back.size else (back, "dst")
+        side.step(open_.select(F.col(end).alias("root")).distinct())
+    half = forth.back(found.withColumnRenamed("src", "root"), "path").withColumnRenamed("root", "src")
+    whole = back.back(half.withColumnRenamed("dst", "root"), "rest").withColumnRenamed("root", "dst")
+    return whole.select("src", "dst", "hops", F.concat("path", F.slice(F.reverse("rest"), F.lit(2), F.greatest(F.size("rest"), F.lit(1)))).alias("path"))
 
 
 def hierarchy(categories: DataFrame) -> DataFrame:

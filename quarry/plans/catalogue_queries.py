@@ -253,10 +253,21 @@ def _edges(spark, d):
 
 @query("SELECT 'R0' AS node, 0 AS hops UNION ALL SELECT 'N' || n_nationkey, 1 FROM nation WHERE n_regionkey = 0 UNION ALL SELECT 'S' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0 UNION ALL SELECT DISTINCT 'P' || l_partkey, 3 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0")
 def shortest_path(spark, d):
-    made = _t(spark, d, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst")).distinct()
+    made = _t(spark, d, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"))
     return graph.distances(_edges(spark, d).union(made), spark.createDataFrame([("R0",)], "node string"), 4)
 
 
+@query("""WITH made AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), asked AS (SELECT n_nationkey AS n, p_partkey AS p FROM nation, part WHERE p_partkey % 100 = n_nationkey)
+SELECT 'N' || n AS src, 'P' || asked.p AS dst, 2 AS hops, 'N' || n || '>' || min('S' || s_suppkey) || '>P' || asked.p AS path FROM asked JOIN supplier ON s_nationkey = n JOIN made ON made.s = s_suppkey AND made.p = asked.p GROUP BY n, asked.p""")
+def path_between(spark, d):
+    """One shortest path from a nation to each of some parts, through a supplier."""
+    made = _t(spark, d, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"))
+    pairs = _t(spark, d, "part").select((F.col("p_partkey") % 100).alias("n"), "p_partkey").join(_t(spark, d, "nation"), F.col("n") == F.col("n_nationkey"))
+    pairs = pairs.select(F.concat(F.lit("N"), "n").alias("src"), F.concat(F.lit("P"), "p_partkey").alias("dst"))
+    found = graph.between(_edges(spark, d).union(made), pairs, 3)
+    return found.select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
+
+
 PRICE_TEXT = "CASE p_partkey % 4 WHEN 0 THEN '[{\"price\": ' || p_size || '}, {\"price\": 1}]' WHEN 1 THEN CAST(p_size AS STRING) WHEN 2 THEN '[{\"qFrom\": 1}, {\"price\": true, \"usd\": \"' || p_size || '\"}]' ELSE 'n/a' END"
 
 
