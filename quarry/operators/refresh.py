@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from ..sources.ledger import write_observed
 
 MOST_STOCK, MOST_PRICE = 1e9, 1e6
 
@@ -49,10 +50,15 @@ def stock_write_back(parts: DataFrame, source: DataFrame, now: Column, days: int
     return rows.select(*[new.get(c, F.col(c)).alias(c) for c in parts.columns], outcome.alias("outcome"))
 
 
+def stock_figures() -> dict[str, Column]:
+    """Parts checked, matched and absent, to be observed while a ``stock_write_back`` is written."""
+    of = lambda k: F.count_if(F.col("outcome") == k)
+    return {"checked": F.count_if(F.col("outcome") != "fresh"), "matched": of("matched"), "absent": of("absent")}
+
+
 def stock_summary(written: DataFrame) -> DataFrame:
-    """One row: parts checked, matched and absent of a ``stock_write_back``."""
-    of = lambda k: F.count_if(F.col("outcome") == k).alias(k)
-    return written.agg(F.count_if(F.col("outcome") != "fresh").alias("checked"), of("matched"), of("absent"))
+    """One row: ``stock_figures`` of a table."""
+    return written.agg(*[v.alias(k) for k, v in stock_figures().items()])
 
 
 def link_write_back(sheets: DataFrame, edges: DataFrame, checks: DataFrame, now: Column, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -63,17 +69,40 @@ def link_write_back(sheets: DataFrame, edges: DataFrame, checks: DataFrame, now:
     that a dead link whose counter has reached ``most`` goes, with its edges; ``purged`` is
     (url, fail_count, parts_unlinked). Several checks of a link count as one, the best.
     """
+    written = _links_checked(sheets, checks, now)
+    gone = _purgeable(written, most)
+    purged = gone.join(edges, "url", "left").groupBy("url", "fail_count").agg(F.countDistinct("xid").alias("parts_unlinked"))
+    left = lambda df: df.join(gone.select("url"), "url", "left_anti")
+    return left(written.select(*sheets.columns)), left(edges), purged
+
+
+def _links_checked(sheets: DataFrame, checks: DataFrame, now: Column) -> DataFrame:
+    """Datasheets with what their checks say and ``alive``, null for those not checked."""
     seen = checks.groupBy("url").agg(F.min_by("status", F.struct(~exprs.link_status(F.col("url"), F.col("status"))["alive"], "status")).alias("status"))
     seen = seen.select("url", exprs.link_status(F.col("url"), F.col("status")).alias("c"))
     rows = sheets.join(seen, "url", "left")
     checked = F.col("c").isNotNull()
     count = F.when(F.col("c.alive"), 0).otherwise(F.coalesce("fail_count", F.lit(0)) + 1)
     new = {"verified_at": now, "http_status": F.col("c.http_status"), "fail_count": count}
-    written = rows.select(*[(F.when(checked, new[k]).otherwise(F.col(k)).cast(sheets.schema[k].dataType).alias(k) if k in new else F.col(k)) for k in sheets.columns], (checked & ~F.col("c.alive")).alias("__dead"))
-    gone = written.where(F.coalesce("__dead", F.lit(False)) & (F.col("fail_count") >= most)).select("url", "fail_count")
+    return rows.select(*[(F.when(checked, new[k]).otherwise(F.col(k)).cast(sheets.schema[k].dataType).alias(k) if k in new else F.col(k)) for k in sheets.columns], F.when(checked, F.col("c.alive")).alias("__alive"))
+
+
+def _purgeable(written: DataFrame, most: int) -> DataFrame:
+    return written.where(~F.coalesce("__alive", F.lit(True)) & (F.col("fail_count") >= most)).select("url", "fail_count")
+
+
+def write_links(sheets: DataFrame, edges: DataFrame, checks: DataFrame, now: Column, path: str, most: int = 3) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+    """``link_write_back`` written under the new folder ``path``, with its summary: links checked, alive,
+    dead and purged, all counted by the one write of the links."""
+    spark = sheets.sparkSession
+    rows = _links_checked(sheets, checks, now)
+    dead = ~F.coalesce("__alive", F.lit(True))
+    figures = write_observed(rows, f"{path}/checked", checked=F.count("__alive"), alive=F.count_if("__alive"), dead=F.count_if(dead), purged=F.count_if(dead & (F.col("fail_count") >= most)))
+    written = spark.read.parquet(f"{path}/checked")
+    gone = _purgeable(written, most)
     purged = gone.join(edges, "url", "left").groupBy("url", "fail_count").agg(F.countDistinct("xid").alias("parts_unlinked"))
-    left = lambda df: df.join(gone.select("url"), "url", "left_anti")
-    return left(written.drop("__dead")), left(edges), purged
+    stays = F.coalesce("__alive", F.lit(True)) | F.coalesce(F.col("fail_count") < most, F.lit(True))
+    return written.where(stays).select(*sheets.columns), edges.join(gone.select("url"), "url", "left_anti"), purged, {k: figures[k] for k in ("checked", "alive", "dead", "purged")}
 
 
 def link_summary(sheets: DataFrame, checks: DataFrame, purged: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import embed, enrich, graph, refresh, search, tables
+from ..operators import embed, enrich, graph, loads, refresh, search, tables
 from ..sources import catalogue
-from .catalogue_queries import PARTS, WORDS, _edges, _t, query
+from ..staging import scratch_path
+from .catalogue_queries import ORACLES, PARTS, WORDS, _edges, _t, query
 
 NORM = "regexp_replace(upper({}), '[^A-Z0-9]', '', 'g')"
 KEPT = f"""kept AS (SELECT *, {NORM.format("mpn")} || '|' || {NORM.format("coalesce(n_name, '')")} AS xid, p_partkey % 10 >= 5 AS has_attributes FROM (
@@ -45,6 +46,27 @@ def ingest_second_load(spark, d):
     return tables.merge(*loads)["part"].select("xid", "stock", "is_basic", F.array_join("source_refs", ",").alias("source_refs"), "resistance")
 
 
+def _store(spark, d):
+    """A store after both loads, of which the second was sent twice."""
+    raw, makers, kinds = catalogue.raw_tables(spark, d)
+    store = loads.Store(spark, scratch_path(spark, "store"))
+    for rows, name in ((raw.where("lcsc % 2 = 0"), "first"), *[(raw.where("lcsc % 3 = 0").withColumn("stock", F.col("stock") * 2), "second")] * 2):
+        store.load(catalogue.staged(rows, makers, kinds), name, name)
+    return store
+
+
+@query(ORACLES["ingest_second_load"])
+def ingest_store(spark, d):
+    """Parts of a store of versioned loads."""
+    return _store(spark, d).read()["part"].select("xid", "stock", "is_basic", F.array_join("source_refs", ",").alias("source_refs"), "resistance")
+
+
+@query(ORACLES["ingest_node_counts"].replace("WHERE mpn IS NOT NULL)", "WHERE mpn IS NOT NULL AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0))"))
+def ingest_store_counts(spark, d):
+    """Node counts that the loads took while they wrote."""
+    return spark.createDataFrame(list(_store(spark, d).node_counts().items()), "type string, n long")
+
+
 STAMPS = "CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN TIMESTAMP '2024-01-19 00:00:00' ELSE TIMESTAMP '2024-01-01 00:00:00' END"
 NOW = "2024-01-20 12:34:56"
 STOCK = f"""WITH s AS (SELECT l_partkey, max({{'pos': l_orderkey * 10 + l_linenumber, 'stock': (l_quantity * 3e7)::DOUBLE, 'price': l_extendedprice * 40, 'b': l_linenumber = 1}}) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),

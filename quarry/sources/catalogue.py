@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
@@ -43,14 +43,24 @@ def _part_number(extra) -> F.Column:
     return F.coalesce(F.when(F.trim("own") != "", F.col("own")), other)
 
 
-def staged(components: DataFrame, manufacturers: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
+def _figures(skip: Column, corrupt: Column) -> dict[str, Column]:
+    """Rows skipped for want of a number, corrupt ``extra`` fields of any row, and orphaned keys of the
+    rows kept (a row may have two)."""
+    return {"skipped_empty_mpn": F.count_if(skip), "corrupt_extra": F.count_if(corrupt), "fk_orphan": F.coalesce(F.sum(F.when(~skip, F.col("orphans"))), F.lit(0))}
+
+
+def staged(components: DataFrame, manufacturers: DataFrame | None = None, categories: DataFrame | None = None, seen: Observation | None = None) -> DataFrame:
     """Components of either shape - the flat one, or the one with foreign keys - as staged parts.
 
     Rows without a part number are left out. Attributes are as written, tags, parameters and
-    source are for ``normalise`` to fill in.
+    source are for ``normalise`` to fill in. ``seen`` gets the figures of ``quality`` when the
+    result is first written, so that no second pass is needed for them.
     """
     rows = _rows(components, manufacturers, categories).withColumn("decoded", exprs.extra(F.col("extra")))
-    rows = rows.withColumn("mpn", _part_number(F.col("decoded"))).where("mpn IS NOT NULL")
+    rows = rows.withColumn("mpn", _part_number(F.col("decoded")))
+    if seen is not None:
+        rows = rows.observe(seen, *[v.alias(k) for k, v in _figures(F.col("mpn").isNull(), exprs.corrupt(F.col("extra"))).items()])
+    rows = rows.where("mpn IS NOT NULL")
     none = F.lit(None)
     records = F.transform(exprs.attribute_records(F.col("decoded.attributes")), lambda a: F.struct(a["name"].alias("name"), a["value_text"].alias("value_text"), none.cast("double").alias("value_num"), none.cast("string").alias("unit")))
     made = {
@@ -61,11 +71,10 @@ def staged(components: DataFrame, manufacturers: DataFrame | None = None, catego
 
 
 def quality(components: DataFrame, manufacturers: DataFrame | None = None, categories: DataFrame | None = None) -> DataFrame:
-    """One row: rows skipped for want of a number, corrupt ``extra`` fields of any row, and orphaned
-    keys of the rows kept (a row may have two)."""
+    """One row of figures alone, for a look at a catalogue that is not loaded (see ``staged``)."""
     rows = _rows(components, manufacturers, categories)
     rows = rows.select(_part_number(exprs.extra(F.col("extra"))).isNull().alias("skip"), exprs.corrupt(F.col("extra")).alias("corrupt"), "orphans")
-    return rows.agg(F.count_if("skip").alias("skipped_empty_mpn"), F.count_if("corrupt").alias("corrupt_extra"), F.coalesce(F.sum(F.when(~F.col("skip"), F.col("orphans"))), F.lit(0)).alias("fk_orphan"))
+    return rows.agg(*[v.alias(k) for k, v in _figures(F.col("skip"), F.col("corrupt")).items()])
 
 
 def write_staged(rows: DataFrame, path: str) -> None:

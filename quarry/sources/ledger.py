@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,10 @@ def write_measured(rows: DataFrame, path: str) -> dict[str, float]:
     rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     took = time.monotonic() - began
     return {"parts_loaded": seen.get["n"], "wall_seconds": took, "parts_per_second": seen.get["n"] / max(took, 1e-9)}
+
+
+def write_observed(rows: DataFrame, path: str, **figures: Column) -> dict:
+    """Write ``rows`` to a new folder; how many there were and other aggregates, taken on the way."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[v.alias(k) for k, v in figures.items()]).write.parquet(path)
+    return seen.get
