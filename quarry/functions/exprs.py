@@ -242,3 +242,27 @@ def embed_text(description: Column, category: Column, package: Column, tags: Col
     base = F.filter(F.transform(F.array(description, category, package), lambda c: F.trim(c)), lambda c: c != "")
     named = F.array_sort(F.filter(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != ""))
     return F.when(F.size(base) == 0, "").otherwise(F.concat_ws(" ", base, named))
+
+
+#: English endings, step by step: (what the word looks like, what is kept and put in its place). In each
+#: step the first that fits counts. They are the plural, -ed, -ing and -y steps of the English
+#: Snowball stemmer, without its exceptions; a stem that the second step has cut is mended by the third.
+PLURALS = (("^(.*ss)es$", "$1"), ("^(..+)ie[sd]$", "$1i"), ("^(.)ie[sd]$", "$1ie"), ("^(.*[us]s)$", "$1"), ("^(.*[aeiouy].+)s$", "$1"))
+CUTS = (("^(.*[aeiouy][^aeiouy].*ee)d(ly)?$", "$1"), ("^(.*eed(ly)?)$", "$1"), ("^(.*[aeiouy].*)(ed|ing)(ly)?$", "$1"))
+MENDS = (("^(.*(at|bl|iz))$", "$1e"), *((f"^(.*{c}){c}$", "$1") for c in "bdfgmnprt"), ("^([^aeiouy]*[aeiouy][^aeiouywx])$", "$1e"))
+LAST = (("^(.+[^aeiouy])y$", "$1i"),)
+
+
+def _step(word: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    out = None
+    for pattern, kept in rules:
+        test, made = F.regexp_like(word, F.lit(pattern)), F.regexp_replace(word, pattern, kept)
+        out = F.when(test, made) if out is None else out.when(test, made)
+    return out.otherwise(word)
+
+
+def stem(word: Column) -> Column:
+    """An English word without its plural, -ed, -ing or -ly; words of under three letters and those
+    that have anything but a to z stay as they are."""
+    cut = let(_step(word, PLURALS), lambda w: let(_step(w, CUTS), lambda c: F.when((c == w) | F.endswith(w, F.lit("eed")) | F.endswith(w, F.lit("eedly")), c).otherwise(_step(c, MENDS))))
+    return F.when(F.regexp_like(word, F.lit("^[a-z]{3,}$")), let(cut, lambda w: _step(w, LAST))).otherwise(word)

@@ -34,8 +34,8 @@ def words(c: Column) -> Column:
 
 
 def terms(c: Column) -> Column:
-    """The words that full-text search looks for. There is no stemming."""
-    return F.array_except(words(c), F.array(*map(F.lit, STOP_WORDS)))
+    """The stems of the words that full-text search looks for."""
+    return F.array_distinct(F.transform(F.array_except(words(c), F.array(*map(F.lit, STOP_WORDS))), exprs.stem))
 
 
 def top(rows: DataFrame, keys: list[str], order: list[Column], k: int, salt: str = "xid") -> DataFrame:
@@ -108,7 +108,7 @@ def substring(queries: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def full_text(queries: DataFrame, parts: DataFrame, best: int | None = None) -> DataFrame:
-    """(query_id, xid): any word of the query is in the description.
+    """(query_id, xid): any word of the query is in the description, in any of its forms (see ``exprs.stem``).
 
     With ``best``, only that many first parts of each word are held against the queries: all
     that a tier of ``best`` parts can need, as their order does not depend on the query.

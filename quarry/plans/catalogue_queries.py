@@ -105,6 +105,29 @@ def search_fulltext(spark, d):
     return search.full_text(q, parts).groupBy("query_id").agg(F.count("*").alias("hits"), F.min("xid").alias("first_xid"))
 
 
+def _sql_step(word, rules):
+    return "CASE " + " ".join(f"WHEN regexp_matches({word}, '{p}') THEN regexp_replace({word}, '{p}', '{k.replace('$', chr(92))}')" for p, k in rules) + f" ELSE {word} END"
+
+
+FORMS = "concat(x, CASE p_partkey // 50 % 4 WHEN 0 THEN 's' WHEN 1 THEN 'ing' WHEN 2 THEN 'ed' ELSE '' END)"
+STEMMED = f"""s1 AS (SELECT *, {_sql_step("w", exprs.PLURALS)} AS a FROM w), s2 AS (SELECT *, {_sql_step("a", exprs.CUTS)} AS b FROM s1),
+s3 AS (SELECT *, CASE WHEN a = b OR a LIKE '%eed' OR a LIKE '%eedly' THEN b ELSE {_sql_step("b", exprs.MENDS)} END AS c FROM s2), s AS (SELECT *, CASE WHEN regexp_matches(w, '^[a-z]{{3,}}$') THEN {_sql_step("c", exprs.LAST)} ELSE w END AS stem FROM s3)"""
+
+
+@query(f"""WITH {PARTS}, x AS (SELECT p_partkey, p_partkey % 50 = 0 AS asks, xid, unnest({WORDS.format("description")}) AS x FROM parts),
+w AS (SELECT p_partkey, xid, true AS asks, {FORMS} AS w FROM x WHERE asks AND x IN ('ring', 'widget', 'small', 'bolt', 'valve', 'copper', 'steel') UNION ALL SELECT p_partkey, xid, false, CASE WHEN p_partkey % 3 = 0 THEN concat(x, 's') ELSE x END FROM x), {STEMMED}
+SELECT q.p_partkey AS query_id, count(DISTINCT p.xid)::BIGINT AS hits, min(p.xid) AS first_xid FROM s q JOIN s p USING (stem) WHERE q.asks AND NOT p.asks GROUP BY 1""")
+def search_stems(spark, d):
+    """Words in the plural, in -ing and in -ed find those without, and the other way round."""
+    parts = catalogue.bare_parts(spark, d)
+    x = F.col("x")
+    kept = F.filter(search.words(F.col("description")), lambda x: x.isin("ring", "widget", "small", "bolt", "valve", "copper", "steel"))
+    ending = F.when(F.floor(F.col("p_partkey") / 50) % 4 == 0, "s").when(F.floor(F.col("p_partkey") / 50) % 4 == 1, "ing").when(F.floor(F.col("p_partkey") / 50) % 4 == 2, "ed").otherwise("")
+    asked = parts.where("p_partkey % 50 = 0").select("p_partkey", ending.alias("e"), F.explode(kept).alias("x")).groupBy(F.col("p_partkey").alias("query_id")).agg(F.array_join(F.collect_list(F.concat(x, F.col("e"))), " ").alias("raw_query"))
+    many = F.array_join(F.transform(search.words(F.col("description")), lambda w: F.concat(w, F.when(F.col("p_partkey") % 3 == 0, "s").otherwise(""))), " ")
+    return search.full_text(asked, parts.withColumn("description", many)).groupBy("query_id").agg(F.count("*").alias("hits"), F.min("xid").alias("first_xid"))
+
+
 HITS = f"""{PARTS}, q AS (SELECT p_partkey AS query_id, mpn_norm AS m, right(mpn_norm, 6) AS piece, mpn || ' ' || split_part(description, ' ', 1) AS raw FROM parts WHERE p_partkey % 50 = 0),
 w AS (SELECT query_id, unnest({WORDS.format("raw")}) AS word FROM q), p AS (SELECT xid, unnest({WORDS.format("description")}) AS word FROM parts),
 hits AS (SELECT query_id, xid, 4 AS s FROM q JOIN parts ON mpn_norm = m UNION ALL SELECT query_id, xid, 3 FROM q JOIN parts ON contains(mpn_norm, piece) UNION ALL SELECT query_id, xid, 2 FROM (SELECT DISTINCT query_id, xid FROM w JOIN p USING (word))),
