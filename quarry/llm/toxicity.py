@@ -8,18 +8,24 @@ reported-speech transducers mark each insult and threat by its context and multi
 weight, up for a target, down for a negation or a report. Cues before a match are read
 left to right, cues after it right to left.
 
-What is scored is the matched clause: its weight is that of its heaviest path. A document's features are made of its clause weights alone, and a logistic
-regression over them, with weights that are never negative, gives the score; so a
-negation or a report can only lower it.
+What is scored is the matched clause: its weight is that of its heaviest path. A document's
+insult features are made of its clause weights alone, and a logistic regression over them,
+with weights that are never negative, gives a probability; so a negation or a report can
+only lower it. A match needs company: one insult in a whole document, without a target
+in its clause, weighs next to nothing. Threats are too rare in labels to be learned from, so
+they have a prior, ``THREAT``, which the same transducers raise or lower; the document's score is
+that of either being so.
 
 Insults beyond a small seed list are learned: whole words and word beginnings that occur
 in more toxic than clean training documents, by evidence that holds against the number of
-patterns tried, weighted by their log odds.
+patterns tried, weighted by their log odds. Training documents are dealt into two folds,
+and a pattern that either fold does not bear out is dropped.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -48,12 +54,15 @@ LEXICON = {
     "negation": "not no never isn't aren't don't wasn't won't cannot can't pas jamais nicht kein keine nie nunca jamás",
     "report": "said says say saying reported claimed wrote quoted called according dit disait écrit selon sagte sagt schrieb laut dijo dice escribió según",
 }
-#: Weight of a harm verb without an intent, and factors of the contexts.
-BARE_HARM, TARGETED, NEGATED, REPORTED = 0.3, 1.5, 0.2, 0.25
+#: Probability that a verb of harm after an intent is a threat, before its context is known.
+THREAT = 0.3
+#: Factors: of a verb of harm without an intent, of the contexts, of a threat with someone as its object,
+#: and of a document's only match if nothing in its clause is aimed at.
+BARE_HARM, TARGETED, NEGATED, REPORTED, AIMED, ALONE = 0.15, 1.5, 0.2, 0.25, 3.0, 0.1
 #: Words of its clause that a cue reaches.
 REACH = {"intent": 3, "target": 5, "negation": 3, "report": 12}
 MATCHES = ("insult", "threat")
-FEATURES = ("total", "heaviest", "clauses")
+FEATURES = ("total", "heaviest", "clauses", "threat")
 _EDGE = ".,;:!?\"'()[]{}«»¿¡…|*#$%&“”„"
 _CLAUSE_END = (".", "!", "?", ";", ":")
 
@@ -66,7 +75,7 @@ class Lexicon:
         self.root: dict = {}
         for symbol, words in LEXICON.items():
             for w in words.split():
-                self._state(w).setdefault("=", (symbol, SEED_WEIGHT))
+                self._state(w).setdefault("=", (symbol, THREAT if symbol == "harm" else SEED_WEIGHT))
         for pattern, weight in patterns:
             self._state(pattern[1:])[pattern[0]] = ("insult", weight)
         self.seen: dict[str, tuple[str, float] | None] = {}
@@ -153,22 +162,24 @@ def _threats() -> Transducer:
     return out
 
 
-def _contexts(cue: str, mark: str, factor: float, undo: bool = False) -> Transducer:
-    """Marks plain matches; with ``undo`` also those marked targeted, whose factor is taken back."""
-    marks = {m: (f"{m}_{mark}", factor) for m in MATCHES}
+def _contexts(cue: str, mark: str, undo: bool = False, **factors: float) -> Transducer:
+    """Marks the plain matches that have a factor; with ``undo`` also those marked targeted, whose factor is
+    taken back."""
+    marks = {m: (f"{m}_{mark}", f) for m, f in factors.items()}
     if undo:
-        marks |= {f"{m}_targeted": (f"{m}_{mark}", factor / TARGETED) for m in MATCHES}
+        marks |= {f"{m}_targeted": (f"{m}_{mark}", f / TARGETED) for m, f in factors.items()}
     return _marker(cue, marks)
 
 
 def forward() -> list[Transducer]:
-    """Left to right: threats, then reports, negations and targets before a match."""
-    return [_threats(), _contexts("report", "reported", REPORTED), _contexts("negation", "negated", NEGATED), _contexts("target", "targeted", TARGETED)]
+    """Left to right: threats, then reports, negations and targets before a match. What stands before a
+    threat is who makes it, not its target."""
+    return [_threats(), _contexts("report", "reported", insult=REPORTED, threat=REPORTED), _contexts("negation", "negated", insult=NEGATED, threat=NEGATED), _contexts("target", "targeted", insult=TARGETED)]
 
 
 def backward() -> list[Transducer]:
-    """Right to left: reports and targets after a match."""
-    return [_contexts("report", "reported", REPORTED, undo=True), _contexts("target", "targeted", TARGETED)]
+    """Right to left: reports, negations and targets after a match."""
+    return [_contexts("report", "reported", True, insult=REPORTED, threat=REPORTED), _contexts("negation", "negated", True, insult=NEGATED, threat=NEGATED), _contexts("target", "targeted", insult=TARGETED, threat=AIMED)]
 
 
 class Matcher:
@@ -176,52 +187,61 @@ class Matcher:
         self.lexicon = Lexicon(patterns)
         self.forward, self.backward = reduce(Composed, forward()), reduce(Composed, backward())
 
-    def clause(self, words: list[str]) -> float:
-        """Weight of a clause: that of its heaviest match in its context."""
+    def clause(self, words: list[str]) -> tuple[float, float, int, bool]:
+        """Weight of a clause's heaviest insult in its context, the probability of its likeliest threat, how
+        many insults it has, and whether any of them is aimed at someone."""
         read = [self.lexicon.read(w) or ("other", 0.0) for w in words]
         symbols, ahead = self.forward.run([s for s, _ in read])
         symbols, behind = self.backward.run(symbols[::-1])
-        return max(w * f * g for (s, w), f, g in zip(read, ahead, behind[::-1], strict=True) if s in ("insult", "harm"))
+        found = [(s, w * f * g, mark) for (s, w), f, g, mark in zip(read, ahead, behind[::-1], symbols[::-1], strict=True) if s in ("insult", "harm")]
+        insults, threats = [[(x, m) for s, x, m in found if s == kind] for kind in ("insult", "harm")]
+        return max((x for x, _ in insults), default=0.0), min(1.0, max((x for x, _ in threats), default=0.0)), len(insults), any(m == "insult_targeted" for _, m in insults)
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Log of the summed clause weights, the heaviest, log of the clauses that weigh 1 or more."""
+    def features(self, text: str) -> tuple[float, float, float, float]:
+        """Log of the summed clause weights, the heaviest, log of the clauses that weigh 1 or more, and the
+        probability of the likeliest threat."""
         words = text.lower().split()
         read = self.lexicon.read
         hits = {w for w in set(words) if (r := read(w)) and r[0] in ("insult", "harm")}
         if not hits:
-            return 0.0, 0.0, 0.0
-        weights, begin, hit = [], 0, False
+            return 0.0, 0.0, 0.0, 0.0
+        weights, threat, insults, aimed, begin, hit = [], 0.0, 0, False, 0, False
         for i, w in enumerate(words, 1):
             hit = hit or w in hits
             if i == len(words) or w.endswith(_CLAUSE_END):
                 if hit:
-                    weights.append(self.clause(words[begin:i]))
+                    weight, p, n, at = self.clause(words[begin:i])
+                    weights.append(weight)
+                    threat, insults, aimed = max(threat, p), insults + n, aimed or at
                 begin, hit = i, False
-        return math.log1p(sum(weights)), max(weights), math.log1p(sum(x >= 1 for x in weights))
+        if insults == 1 and not aimed:
+            weights = [x * ALONE for x in weights]
+        return math.log1p(sum(weights)), max(weights), math.log1p(sum(x >= 1 for x in weights)), threat
 
 
 def pattern_counts(training: DataFrame) -> DataFrame:
-    """(pattern, toxic, clean): distinct texts that hold each word (=) and word beginning (^)."""
+    """(pattern, fold, toxic, clean): distinct texts of each fold, 0 or 1, that hold each word (=) and word
+    beginning (^)."""
 
     def run(batches):
         for b in common.sliced(batches, "text"):
-            counts: dict[str, list[int]] = {}
+            counts: dict[tuple[str, int], list[int]] = {}
             for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
-                found = set()
+                found, fold = set(), zlib.crc32((text or "").encode()) & 1
                 for w in {w.strip(_EDGE) for w in (text or "").lower().split()}:
                     if w:
                         found.add(f"={w}")
                         found.update(f"^{w[:k]}" for k in PREFIXES if len(w) > k)
                 for p in found:
-                    counts.setdefault(p, [0, 0])[label] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["pattern", "toxic", "clean"])
+                    counts.setdefault((p, fold), [0, 0])[label] += 1
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in counts], pa.string()), pa.array([f for _, f in counts], pa.int32()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["pattern", "fold", "toxic", "clean"])
 
-    per_batch = training.select("text", "label").distinct().mapInArrow(run, "pattern string, toxic long, clean long")
-    return per_batch.groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    per_batch = training.select("text", "label").distinct().mapInArrow(run, "pattern string, fold int, toxic long, clean long")
+    return per_batch.groupBy("pattern", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_patterns(training: DataFrame) -> list[tuple[str, float]]:
-    """Patterns that are toxic beyond chance, with their log odds.
+    """Patterns that are toxic beyond chance, in both folds, with their log odds.
 
     A word is read by its heaviest pattern, so a pattern that begins with one of at least
     its weight decides nothing and is left out. What remains is as many as the bounded
@@ -236,9 +256,14 @@ def learn_patterns(training: DataFrame) -> list[tuple[str, float]]:
     against = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - base))).otherwise(0.0)
     evidence = n * (q * F.log(q / base) + against)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    counts = common.stage_table(pattern_counts(training), "pattern_counts")
+    of = lambda k, f: F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(k))), F.lit(0)).alias(f"{k}_{f}")
+    counts = pattern_counts(training).groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *[of(k, f) for k in ("toxic", "clean") for f in (0, 1)])
+    counts = common.stage_table(counts, "pattern_counts")
+    borne = F.lit(True)
+    for f in (0, 1):  # in either fold more toxic than all of the documents are
+        borne = borne & (F.col(f"toxic_{f}") > 0) & (F.col(f"toxic_{f}") > base * (F.col(f"toxic_{f}") + F.col(f"clean_{f}")))
     least = math.log(max(1, counts.count()) / LUCKY)
-    found = counts.where("toxic > 1").select("pattern", odds.alias("weight"), evidence.alias("evidence")).where((F.col("evidence") > least) & (F.col("weight") > 1.5))
+    found = counts.where(borne).select("pattern", odds.alias("weight"), evidence.alias("evidence")).where((F.col("evidence") > least) & (F.col("weight") > 1.5))
     found = common.stage_table(found.select("pattern", "weight"), "patterns")
     shorter = F.array(*[F.concat(F.lit("^"), F.substring("pattern", 2, k)) for k in PREFIXES])
     heads = found.select(F.col("pattern").alias("head"), F.col("weight").alias("head_weight"))
@@ -296,18 +321,19 @@ def train(docs: DataFrame, labels: DataFrame, training) -> Model:
     """
     sample = common.stage_table(training_rows(docs, labels, "toxic", training, MAX_LABELLED), "labelled")
     patterns = learn_patterns(sample)
-    rows = np.array([list(r) for r in features(sample, patterns, "label").collect()], float)  # at most 2 * MAX_LABELLED rows of 4 numbers
+    rows = np.array([list(r) for r in features(sample, patterns, "label").collect()], float)  # at most 2 * MAX_LABELLED rows of 5 numbers
     if not len(rows) or len(set(rows[:, 0])) < 2:
         return Model(patterns, [1.0, 1.5, 0.0, -3.0])
-    return Model(patterns, fit(rows[:, 1:], rows[:, 0]).tolist())
+    return Model(patterns, fit(rows[:, 1:-1], rows[:, 0]).tolist())
 
 
 def _scorer(model: Model):
     matcher, weights = Matcher(model.patterns), np.array(model.weights)
 
     def scores(texts: list[str | None]) -> np.ndarray:
-        z = _batch_features(matcher, texts) @ weights[:-1] + weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+        found = _batch_features(matcher, texts)
+        insult = 1 / (1 + np.exp(-np.clip(found[:, :-1] @ weights[:-1] + weights[-1], -700, 700)))
+        return 1 - (1 - insult) * (1 - found[:, -1])
 
     return scores
 
