@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from ..staging import scratch_path, stage_table  # noqa: F401  (used as common.stage_table)
+from ..staging import discard, recorded, scratch_path, stage_table  # noqa: F401  (used as common.stage_table)
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -15,6 +15,7 @@ def write(spark, folder, texts):
     labels = [(i, i % 2, 0) for i, _, _ in texts if i is not None]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([], "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
@@ -56,5 +57,23 @@ def test_run(spark, folder, tmp_path):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_queries_keep_every_row(spark, folder, name):
     got = registry.QUERIES[name](spark, folder)
-    want = {"op9_chat": 1}.get(name, len(ROWS))  # no conversation but the one that the query adds
+    want = {"op9_chat": 1, "op11_prefix_trie": 0, "op12_ann": 0, "op13_whitening": 0}.get(name, len(ROWS))  # no conversation but the one that a query adds
     assert got.count() == want
+
+
+def test_stages_leave_no_tables_behind(spark, folder):
+    """When a stage is called, what the one before it staged goes, unless it is still to be read."""
+    from quarry.llm import common
+
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{folder}/documents.parquet")
+    first = stages["line dedup"](spark, docs, folder)
+    held = list(corpus_pipeline._HELD)
+    assert held and first.count() == len(ROWS)
+    lazy = stages["mixing"](spark, first, folder)  # ``first`` was not written
+    assert lazy.columns == docs.columns and first.count() == len(ROWS)
+    kept = common.stage_table(first, "kept")
+    stages["line dedup"](spark, docs, folder).count()
+    gone = list(corpus_pipeline._HELD)
+    stages["toxicity"](spark, kept, folder).count()
+    exists = lambda p: spark._jvm.java.io.File(p.removeprefix("file:")).exists()
+    assert gone and not any(map(exists, gone))
