@@ -219,13 +219,16 @@ class Matcher:
         return math.log1p(sum(weights)), max(weights), math.log1p(sum(x >= 1 for x in weights)), threat
 
 
+COUNTS = ("clean_0", "toxic_0", "clean_1", "toxic_1")
+
+
 def pattern_counts(training: DataFrame) -> DataFrame:
-    """(pattern, fold, toxic, clean): distinct texts of each fold, 0 or 1, that hold each word (=) and word
-    beginning (^)."""
+    """(pattern, clean_0, toxic_0, clean_1, toxic_1): distinct texts of each fold, 0 or 1, that hold each
+    word (=) and word beginning (^)."""
 
     def run(batches):
         for b in common.sliced(batches, "text"):
-            counts: dict[tuple[str, int], list[int]] = {}
+            counts: dict[str, list[int]] = {}
             for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
                 found, fold = set(), zlib.crc32((text or "").encode()) & 1
                 for w in {w.strip(_EDGE) for w in (text or "").lower().split()}:
@@ -233,11 +236,12 @@ def pattern_counts(training: DataFrame) -> DataFrame:
                         found.add(f"={w}")
                         found.update(f"^{w[:k]}" for k in PREFIXES if len(w) > k)
                 for p in found:
-                    counts.setdefault((p, fold), [0, 0])[label] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in counts], pa.string()), pa.array([f for _, f in counts], pa.int32()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["pattern", "fold", "toxic", "clean"])
+                    counts.setdefault(p, [0, 0, 0, 0])[2 * fold + label] += 1
+            table = np.array(list(counts.values()), np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), *(pa.array(table[:, i]) for i in range(len(COUNTS)))], ["pattern", *COUNTS])
 
-    per_batch = training.select("text", "label").distinct().mapInArrow(run, "pattern string, fold int, toxic long, clean long")
-    return per_batch.groupBy("pattern", "fold").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    per_batch = training.select("text", "label").distinct().mapInArrow(run, f"pattern string, {', '.join(f'{c} long' for c in COUNTS)}")
+    return per_batch.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def learn_patterns(training: DataFrame) -> list[tuple[str, float]]:
@@ -256,8 +260,7 @@ def learn_patterns(training: DataFrame) -> list[tuple[str, float]]:
     against = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - base))).otherwise(0.0)
     evidence = n * (q * F.log(q / base) + against)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    of = lambda k, f: F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(k))), F.lit(0)).alias(f"{k}_{f}")
-    counts = pattern_counts(training).groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), *[of(k, f) for k in ("toxic", "clean") for f in (0, 1)])
+    counts = pattern_counts(training).withColumns({k: F.col(f"{k}_0") + F.col(f"{k}_1") for k in ("toxic", "clean")})
     counts = common.stage_table(counts, "pattern_counts")
     borne = F.lit(True)
     for f in (0, 1):  # in either fold more toxic than all of the documents are
@@ -348,6 +351,8 @@ def score(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
         scores = _scorer(sent.value)
         for b in common.sliced(batches, "text"):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(scores(b["text"].to_pylist()))], ["doc_id", "score"])
+        del scores
+        common.trim()  # the worker lives on
 
     read = docs.select("doc_id", "text")
     found = read.mapInArrow(run, common.with_fields(read.select("doc_id").schema, score="double"))
@@ -366,6 +371,8 @@ def reject(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
         scores = _scorer(sent.value)
         for b in common.sliced(batches, "text"):
             yield b.filter(pa.array(scores(b["text"].to_pylist()) < THRESHOLD))
+        del scores
+        common.trim()  # the worker lives on
 
     return docs.mapInArrow(run, docs.schema)
 
