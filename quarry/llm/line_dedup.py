@@ -206,15 +206,21 @@ class LineIndex:
     def build(cls, docs: DataFrame) -> LineIndex:
         postings = common.stage_table(postings_of(docs).withColumn("n", F.lit(1).cast("long")), "postings")
         counts = common.stage_table(count_refs(postings), "counts")
-        shared = counts.where(SHARED)
+        return cls._sharded([postings], [counts])
+
+    @classmethod
+    def _sharded(cls, postings: list[DataFrame], counts: list[DataFrame]) -> LineIndex:
+        """An index with filters made anew, in as many shards as its shared keys need."""
+        shared = cls(postings, counts, [], 1).counts.where(SHARED)
         shards = max(1, -(-shared.count() // SHARD_KEYS))
         sharded = shared.select("key", F.pmod("shard_hash", F.lit(shards)).alias("shard"))
         filters = common.stage_table(sharded.groupBy("shard").applyInPandas(_fill, FILTERS), "filters")
-        return cls([postings], [counts], [filters], shards)
+        return cls(postings, counts, [filters], shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """Add documents. Those whose id the index holds are left out; null ids count as one id."""
-        new = postings_of(docs).join(self.postings.select("doc_id").distinct(), "doc_id", "left_anti")
+        """Add documents. Those whose id the index holds are left out; rows without an id are all added, and
+        together stand for one document, as in ``build``."""
+        new = postings_of(docs).join(self.postings.select("doc_id").where(F.col("doc_id") != NO_ID).distinct(), "doc_id", "left_anti")
         new = common.stage_table(new.select("key", "shard_hash", "doc_id", "tk", F.lit(1).cast("long").alias("n")), "new_postings")
         touched = count_refs(new).alias("t")
         old = self.counts.alias("o")
@@ -239,6 +245,8 @@ class LineIndex:
         now = F.coalesce(F.expr(SHARED), F.lit(False)) & (F.col("refs") > 0)
         moves = fresh.join(before, "key", "left").select("key", F.pmod("shard_hash", F.lit(self.shards)).alias("shard"), now.alias("add"), F.coalesce("was", F.lit(False)).alias("was")).where("add != was")
         moves = common.stage_table(moves.select("shard", "key", "add"), "moves")
+        if moves.count() > self.shards * SHARD_KEYS:  # more than the shards were made for
+            return self._sharded([*self._postings, postings], [*self._counts, fresh])
 
         def apply(state: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
             filt = Cuckoo.load(bytes(state["filter"].iloc[0])) if len(state) else Cuckoo(2 * len(pdf))
@@ -251,6 +259,8 @@ class LineIndex:
         out = LineIndex([*self._postings, postings], [*self._counts, fresh], [*self._filters, changed], self.shards)
         full = changed.where("full").select("shard")
         if not full.isEmpty():
+            if out.counts.where(SHARED).count() > 2 * self.shards * SHARD_KEYS:
+                return self._sharded(out._postings, out._counts)
             keys = out.counts.where(SHARED).select("key", F.pmod("shard_hash", F.lit(self.shards)).alias("shard")).join(full, "shard", "left_semi")
             out._filters.append(common.stage_table(keys.groupBy("shard").applyInPandas(_fill, FILTERS), "larger_filters"))
         return out

@@ -59,3 +59,18 @@ def test_filter_lets_no_shared_key_slip():
     filt, keys = line_dedup.Cuckoo(8), [hashlib.md5(b"%d" % i).digest() for i in range(500)]
     filt.insert(keys)
     assert filt.full() and filt.contains(keys).all()
+
+
+def test_insert_is_build_with_null_ids_and_from_nothing(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 15)
+    rng = random.Random(8)
+    text = lambda: "\n".join(f"a line that may repeat {rng.randrange(90)}" for _ in range(3))
+    rows = [(i if rng.random() < 0.7 else None, text()) for i in range(90)] + [(None, None), (None, text()), (None, "a line of rows without an id"), (500, "a line of rows without an id")]
+    frame = lambda some: spark.createDataFrame(some, "doc_id long, text string")
+    lost = lambda index: sorted((r["doc_id"], r["tk"], [bytes(k) for k in r["keys"]]) for r in index.drops().collect())
+    whole = line_dedup.LineIndex.build(frame(rows))
+    for cut in (0, 40):
+        index = line_dedup.LineIndex.build(frame(rows[:cut])).insert(frame(rows[cut:70])).insert(frame(rows[70:]))
+        assert lost(index) == lost(whole) and index.shards > 1  # an index begun empty splits its one shard
+        assert sorted(map(tuple, index.counts.collect())) == sorted(map(tuple, whole.counts.collect()))
+        assert lost(index.delete(frame([(None, "")]).select("doc_id"))) == lost(line_dedup.LineIndex.build(frame([r for r in rows if r[0] is not None])))
