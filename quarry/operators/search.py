@@ -402,6 +402,34 @@ def semantic(queries: DataFrame, vectors: DataFrame, parts: DataFrame, values: D
 RESULT = ("mpn", "mpn_norm", "manufacturer", "package", "category", "stock", "is_basic", "price_usd", "match_type", "similarity", "datasheets", "params")
 
 
+#: Lists that ``expanded`` adds, by the edge table that each is read from.
+REACHED = {"makers": "made_by", "categories": "in_category", "packages": "in_package", "tags": "tagged"}
+
+
+def expanded(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows (xid, ...) with what each part's edges lead to: ``makers``, ``categories`` (the parent before
+    the name), ``packages`` and ``tags``, each a sorted list of names, and ``sheets``, a list of
+    (url, http_status, fail_count) in order of url.
+
+    Edges of the parts that are asked for are gathered in one shuffle, whatever their kind. A part
+    without edges, or one that is unknown, has empty lists; a link without a datasheet row has
+    nulls. Columns of ``rows`` that have one of these names are replaced.
+    """
+    asked, none = rows.select("xid").distinct(), F.lit(None).cast("int")
+    name = {"in_category": F.concat_ws(" > ", "parent_name", "name")}
+    links = tables["datasheet_of"].join(asked, "xid", "left_semi").join(tables["datasheet"].select("url", "http_status", "fail_count"), "url", "left")
+    edges = links.select("xid", F.lit("sheets").alias("kind"), F.col("url").alias("name"), "http_status", "fail_count")
+    for kind, table in REACHED.items():
+        of = tables[table].select("xid", F.lit(kind).alias("kind"), name.get(table, F.col("name")).alias("name"), none.alias("http_status"), none.alias("fail_count"))
+        edges = edges.unionByName(of.join(asked, "xid", "left_semi"))
+    listed = lambda kind, value: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, value))).alias(kind)
+    sheet = F.struct(F.col("name").alias("url"), "http_status", "fail_count")
+    found = edges.groupBy("xid").agg(*[listed(k, F.col("name")) for k in REACHED], listed("sheets", sheet))
+    added = [*REACHED, "sheets"]
+    out = rows.drop(*added).join(found, "xid", "left")
+    return out.withColumns({k: F.coalesce(k, F.array().cast(found.schema[k].dataType)) for k in added})
+
+
 def shaped(rows: DataFrame, parts: DataFrame, sheets: DataFrame, parameters: list[str]) -> DataFrame:
     """Ranked rows (query_id, rank, xid, tier, ...) with the ``RESULT`` keys: scalars of the part, its
     datasheets (edges (xid, url)) in order, and the parameters that it has."""

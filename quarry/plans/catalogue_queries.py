@@ -66,12 +66,13 @@ def promote_params(spark, d):
     return enrich.promote(enrich.enrich(catalogue.attributes(spark, d)), "p_partkey")
 
 
-LEXICON = {"RING": "ring", "WIDGET": "widget", "SMALL": "small", "RED": "red"}
+SAID = "concat(p_name, CASE p_partkey % 15 WHEN 0 THEN ' with rs232, RS-485' WHEN 1 THEN ' rs 232/usb' WHEN 2 THEN ' I2C-SPI' WHEN 3 THEN ' uart_x uart' WHEN 4 THEN ' can lin' WHEN 5 THEN ' cannot line' WHEN 6 THEN ' Ethernet' WHEN 7 THEN ' HDMI(lvds)' WHEN 8 THEN ' pcie' WHEN 9 THEN ' USB2' WHEN 10 THEN ' rs--485' ELSE '' END)"
 
 
-@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN regexp_matches(p_name, '(^|[^a-z])ring($|[^a-z])') THEN 'RING' END, CASE WHEN regexp_matches(p_name, '(^|[^a-z])widget($|[^a-z])') THEN 'WIDGET' END, CASE WHEN regexp_matches(p_name, '(^|[^a-z])small($|[^a-z])') THEN 'SMALL' END, CASE WHEN regexp_matches(p_name, '(^|[^a-z])red($|[^a-z])') THEN 'RED' END], lambda x: x IS NOT NULL), ',') AS tags FROM part")
+@query(f"SELECT p_partkey, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '(?i){chr(92)}b{p}{chr(92)}b') THEN '{k}' END" for k, p in exprs.PROTOCOLS.items())}], lambda x: x IS NOT NULL), ',') AS tags FROM (SELECT p_partkey, {SAID} AS t FROM part)")
 def protocol_tags(spark, d):
-    return _t(spark, d, "part").select("p_partkey", F.array_join(exprs.tags(F.col("p_name"), LEXICON), ",").alias("tags"))
+    """All twelve patterns, in texts that hold them in several spellings, inside words and not at all."""
+    return _t(spark, d, "part").select("p_partkey", F.array_join(exprs.tags(F.expr(SAID)), ",").alias("tags"))
 
 
 @query("SELECT count(*)::BIGINT AS n, count(*) FILTER (props <> '' AND NOT coalesce(json_valid(props) AND json_type(props) = 'OBJECT', false))::BIGINT AS corrupt, sum((props ->> '$.k')::BIGINT)::BIGINT AS k_sum FROM events")
@@ -195,11 +196,28 @@ def recall_canary(spark, d):
     return top.agg(F.avg((F.col("query_id") == F.col("vec_id")).cast("int")).alias("recall"), F.count("*").alias("n"))
 
 
-@query("SELECT 'C' || p_partkey AS lcsc_id, CASE WHEN s BETWEEN 0 AND 1e9 THEN s ELSE p_size END::DOUBLE AS stock, CASE WHEN p BETWEEN 0 AND 1e6 THEN p ELSE p_retailprice END AS price_usd, l_partkey IS NOT NULL AS matched FROM part LEFT JOIN (SELECT l_partkey, max(l_quantity) AS s, max(l_extendedprice) AS p FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_partkey = p_partkey")
+@query("""SELECT 'C' || p_partkey AS lcsc_id, CASE WHEN r.s BETWEEN 0 AND 1e9 THEN r.s ELSE p_size END::DOUBLE AS stock, CASE WHEN r.p BETWEEN 0 AND 1e6 THEN r.p ELSE p_retailprice END AS price_usd, l_partkey IS NOT NULL AS matched
+FROM part LEFT JOIN (SELECT l_partkey, max({'pos': l_orderkey * 10 + l_linenumber, 's': l_quantity::DOUBLE, 'p': l_extendedprice}) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_partkey = p_partkey""")
 def stock_refresh_merge(spark, d):
+    """Of the source's rows for a part the last counts."""
     parts = _t(spark, d, "part").select(F.concat(F.lit("C"), "p_partkey").alias("lcsc_id"), F.col("p_size").cast("double").alias("stock"), F.col("p_retailprice").alias("price_usd"))
-    source = _t(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy("l_partkey").agg(F.max("l_quantity").alias("stock"), F.max("l_extendedprice").alias("price_usd"))
-    return refresh.stock_merge(parts, source.select(F.concat(F.lit("C"), "l_partkey").alias("lcsc_id"), "stock", "price_usd"))
+    source = _t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("C"), "l_partkey").alias("lcsc_id"), F.col("l_quantity").cast("double").alias("stock"), F.col("l_extendedprice").alias("price_usd"), F.lit(False).alias("is_basic"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return refresh.stock_merge(parts, refresh.stock_index(source))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 5 IN (0, 3) AND p_size % 7 > 0")
+def search_presence(spark, d):
+    """Parts that have one parameter and lack two others."""
+    part = _t(spark, d, "part")
+    at = lambda c, test: F.when(F.expr(test), F.lit(1.0)).alias(c)
+    parts = part.select("p_partkey", at("resistance", "p_partkey % 5 < 4"), at("voltage_min", "p_partkey % 5 IN (1, 2)"), at("power", "p_size % 7 = 0"))
+    return search.filtered(parts, has=("resistance",), lacks=("voltage_min", "power")).select("p_partkey")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS n FROM events) WHERE n = 1")
+def refresh_first(spark, d):
+    """Of several requests of one user only the first is acted on."""
+    return refresh.first_per(_t(spark, d, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
 @query("SELECT page_id, regexp_matches(lower(regexp_extract(url, '^(?i)https?://([^/?#:@]+)', 1)), '^[a-z0-9_-]+(\\.[a-z0-9_-]+)*\\.[a-z]{2,}$') AS ok FROM pages")

@@ -13,10 +13,17 @@ _ROOTS: set[str] = set()
 _RECORDERS: list[list[str]] = []
 
 
+def _warehouse(spark: SparkSession) -> str:
+    """The warehouse; an error on a cluster where nobody has set it, as Spark's default lies on the driver's own disk."""
+    if not spark.sparkContext.master.startswith("local") and not spark.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
+        raise ValueError("set spark.checkpoint.dir, or spark.sql.warehouse.dir, to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the cluster's shared folder: that of spark.checkpoint.dir, else the warehouse.
     All of an application's paths lie in one folder, which Spark removes when it ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _warehouse(spark)
     root = f"{base.rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
     if root not in _ROOTS:
         _ROOTS.add(root)
