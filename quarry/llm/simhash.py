@@ -70,6 +70,14 @@ def bucket_keys(table: Column) -> Column:
     return F.element_at(F.transform(F.array(codes), keys), 1)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of unsigned hashes: a bit is set if it is in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def simhash(text: str, size: int = SHINGLE) -> int:
     """Unsigned fingerprint of a text; 0 if it has no words."""
     words = text.encode("utf-8", "replace").lower().split()
@@ -81,11 +89,7 @@ def simhash(text: str, size: int = SHINGLE) -> int:
     k = min(size, len(words))
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(line[a:b], SEED) for a, b in spans], np.uint64)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(np.array([h(line[a:b], SEED) for a, b in spans], np.uint64))
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
