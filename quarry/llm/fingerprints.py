@@ -89,23 +89,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def followers(docs: DataFrame) -> DataFrame:
-    """(id, tk, next): the key of the next document by ascending id, the first after the last.
-    Rows without an id follow none and are followed by the first, or by themselves if no row has one.
+    """(id, tk, copies, next): how many rows have a key, and the key of the next document by ascending id,
+    the first after the last. Rows without an id follow none and are followed by the first, or by themselves if no row has one.
 
     Keys are dealt into ranges; the follower of a range's last key is the least key of the
     next range that has one, which a table of one row per range tells.
     """
     key = F.struct(*KEY)
-    keys = _keyed(docs).select(*KEY).distinct()
+    keys = _keyed(docs).groupBy(*KEY).agg(F.count("*").alias("copies"))
     nameless, keys = keys.where(F.col("id") == NO_ID), keys.where(F.col("id") != NO_ID)
     ranged = keys.repartitionByRange(common.partitions(docs.sparkSession), *KEY).withColumn("block", F.spark_partition_id())
     ranged = common.stage_table(ranged, "ranged_ids")
     firsts = ranged.groupBy("block").agg(F.min(key).alias("first"))
     firsts = firsts.select("block", F.coalesce(F.lead("first").over(Window.orderBy("block")), F.min("first").over(Window.partitionBy())).alias("after"))
     ahead = F.lead(key).over(Window.partitionBy("block").orderBy(*KEY))
-    named = ranged.withColumn("ahead", ahead).join(F.broadcast(firsts), "block").select(*KEY, F.coalesce("ahead", "after").alias("next"))
+    named = ranged.withColumn("ahead", ahead).join(F.broadcast(firsts), "block").select(*KEY, "copies", F.coalesce("ahead", "after").alias("next"))
     first = F.broadcast(ranged.agg(F.min(key).alias("first")))  # one row
-    return named.unionByName(nameless.crossJoin(first).select(*KEY, F.coalesce("first", key).alias("next")))
+    return named.unionByName(nameless.crossJoin(first).select(*KEY, "copies", F.coalesce("first", key).alias("next")))
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -117,12 +117,12 @@ def compare(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     order = common.stage_table(followers(docs), "followers")
-    base = _keyed(docs).groupBy(*KEY).agg(F.max("text").alias("text"), F.count("*").alias("copies"))
+    base = _keyed(docs).groupBy(*KEY).agg(F.max("text").alias("text"))  # the same columns wherever it is read, so texts are shuffled once
     quarter = F.floor(F.char_length("text") / 4).cast("int")
     sk = sketched(base, "text", "sketch")
-    before = sk.join(order, list(KEY)).select(F.col("next.id").alias("id"), F.col("next.tk").alias("tk"), F.col("id").alias("before_id"), F.col("tk").alias("before_tk"), quarter.alias("take"), lone(F.col("sketch")).alias("sought"))
+    before = sk.join(order, list(KEY)).select(F.col("next.id").alias("id"), F.col("next.tk").alias("tk"), F.col("id").alias("before_id"), F.col("tk").alias("before_tk"), "copies", quarter.alias("take"), lone(F.col("sketch")).alias("sought"))
     heads = holds(sk.join(before, list(KEY)), "text", F.col("sought"), "in_next")
-    heads = heads.select(F.col("before_id").alias("id"), F.col("before_tk").alias("tk"), F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"), F.col("sketch_n").alias("next_n"), "in_next")
+    heads = heads.select(F.col("before_id").alias("id"), F.col("before_tk").alias("tk"), "copies", F.substring("text", F.lit(1), F.col("take")).alias("head"), F.col("sketch").alias("next_sketch"), F.col("sketch_n").alias("next_n"), "in_next")
     both = holds(sk.join(heads, list(KEY)), "text", lone(F.col("next_sketch")), "next_in")
     chars = F.char_length("text")
     both = both.withColumn("n_chars", chars.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), (chars - F.floor(chars / 4)).cast("int")), F.col("head"))).drop("head")

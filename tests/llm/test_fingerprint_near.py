@@ -31,3 +31,15 @@ def test_short_within_long(spark):
         if share(t, got[i]["edited"]) in (0.0, 1.0):
             assert got[i]["near_edited"] == share(t, got[i]["edited"]), i
     assert bare >= 120
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """All three reads of the texts share one exchange."""
+    spark.createDataFrame([(i, f"text {i} " * 20) for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # adaptive plans reuse exchanges only as they run
+    try:
+        plan = fingerprints.op3_fingerprint(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    scans = [x for x in plan.splitlines() if "FileScan" in x and "[doc_id#" in x and ",text#" in x]
+    assert len(scans) == 1 and plan.count("ReusedExchange") >= 2, plan
