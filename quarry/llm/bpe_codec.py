@@ -32,6 +32,8 @@ from . import common
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that are given to the tokenizer at once.
 ENCODED = 1_000
+#: Rows, and bytes, that are gathered before they are dealt into chunks: small lots pack badly.
+GATHERED, GATHERED_BYTES = 10_000, 16 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -102,14 +104,28 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False, text:
 
 
 def pack_rows(chunk: str, own: list[str]):
+    def deal(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        b = pa.concat_batches(held)
+        held.clear()
+        labels = b[chunk].to_numpy()
+        order, b = np.argsort(labels, kind="stable"), b.select(own)
+        labels = labels[order]
+        cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)]
+        blobs = [common.pack(b.take(pa.array(order[i:j]))) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(labels[cuts[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "rows"])
+
     def run(batches):
+        held, rows, size = [], 0, 0
         for b in batches:
-            labels = b[chunk].to_numpy()
-            order = np.argsort(labels, kind="stable")
-            b, labels = b.select(own).take(pa.array(order)), labels[order]
-            cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(labels)] if len(labels) else [0]
-            blobs = [common.pack(b.slice(i, j - i)) for i, j in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array(labels[cuts[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "rows"])
+            if b.num_rows:
+                held.append(b)
+                rows, size = rows + b.num_rows, size + b.nbytes
+            if rows >= GATHERED or size >= GATHERED_BYTES:
+                yield deal(held)
+                rows = size = 0
+        if held:
+            yield deal(held)
+        common.trim()
 
     return run
 
@@ -136,7 +152,8 @@ def distinct_words(added: list[str], labels: list[int]):
 
 
 def encode_words(content):
-    """A bucket's distinct words, each encoded once, as (word, ids) lists for the chunks that asked."""
+    """A bucket's distinct words, each encoded once, as (word, ids) lists for the chunks that asked.
+    Words and ids are held as Arrow arrays, which take a fraction of what Python's objects would."""
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -145,20 +162,30 @@ def encode_words(content):
         tokenizer = Tokenizer.from_str(content.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        known: dict[str, bytes] = {}
+        common.trim()  # what reading the vocabulary took
+
+        def encoded(words: pa.Array) -> pa.Array:
+            parts, lengths = [np.zeros(0, np.int32)], [0]
+            for i in range(0, len(words), ENCODED):
+                found = [e.ids for e in tokenizer.encode_batch(words[i : i + ENCODED].to_pylist(), add_special_tokens=False)]
+                lengths += map(len, found)
+                parts.append(np.fromiter((x for ids in found for x in ids), np.int32))
+            return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(parts)))
+
+        known, ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
         for b in batches:
-            for c, rows in zip(b["chunk"].to_pylist(), b["rows"].to_pylist(), strict=True):
-                words = common.unpack(rows)["word"].to_pylist()
-                new = [w for w in words if w not in known]
-                for i in range(0, len(new), ENCODED):
-                    some = new[i : i + ENCODED]
-                    known.update(zip(some, (np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch(some, add_special_tokens=False)), strict=True))
-                found = [known[w] for w in words]
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                blob = common.pack(pa.table({"word": words, "ids": ids}))
+            lists = [common.unpack(rows)["word"].combine_chunks() for rows in b["rows"].to_pylist()]
+            if not lists:
+                continue
+            words = pa.concat_arrays(lists).dictionary_encode()
+            new = words.dictionary.filter(pc.invert(pc.is_in(words.dictionary, value_set=known)))
+            known, ids = pa.concat_arrays([known, new]), pa.concat_arrays([ids, encoded(new)])
+            at, begin = pc.index_in(words.dictionary, value_set=known).take(words.indices), 0
+            for c, some in zip(b["chunk"].to_pylist(), lists, strict=True):
+                blob = common.pack(pa.table({"word": some, "ids": ids.take(at.slice(begin, len(some)))}))
+                begin += len(some)
                 yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "words"])
-        known.clear()
+        del tokenizer, encoded, known, ids
         common.trim()
 
     return run
@@ -172,30 +199,38 @@ def look_up(own: list[str], added: list[str], pieces=None):
     def run(packed: pa.Table, encoded: pa.Table) -> pa.Table:
         split = splitter(added)
         table = pa.concat_tables([common.unpack(x) for x in encoded["words"].to_pylist()]) if len(encoded) else pa.table({"word": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-        place = {w: i for i, w in enumerate(table["word"].to_pylist())}
-        lengths = pc.list_value_length(table["ids"]).to_numpy().astype(np.int64)
-        values, starts = pc.list_flatten(table["ids"]).to_numpy(), np.cumsum(lengths) - lengths
+        known, ids = table["word"].combine_chunks(), table["ids"].combine_chunks()
+        del table
+        lengths = pc.list_value_length(ids).to_numpy().astype(np.int64)
+        values, starts = ids.flatten().to_numpy(), np.cumsum(lengths) - lengths
+        if pieces is not None and not held:
+            held.append(piece_table(pieces.value))
+
+        def places(words: list[str]) -> np.ndarray:
+            """Where each word is in the chunk's list, by a hash table of these words, which is the smaller one."""
+            words = pa.array(words, pa.string()).dictionary_encode()
+            found = pc.index_in(known, value_set=words.dictionary).fill_null(-1).to_numpy()
+            at = np.zeros(len(words.dictionary), np.int64)
+            at[found[found >= 0]] = np.flatnonzero(found >= 0)
+            return at[words.indices.to_numpy()]
+
         done = []
-        texts = out = None
         for rows in packed["rows"].to_pylist():
-            texts = common.unpack(rows)
-            out, ends = [np.zeros(0, np.int32)], [0]
-            for text in texts["text"].to_pylist():
-                words = split(text or "")
-                at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            for texts in common.sliced(common.unpack(rows).to_batches(), "text"):
+                words, ends = [], [0]
+                for text in texts["text"].to_pylist():
+                    words += split(text or "")
+                    ends.append(len(words))
+                at = places(words)
                 each = lengths[at]
-                shift = starts[at] - (np.cumsum(each) - each)
-                out.append(values[np.arange(each.sum()) + np.repeat(shift, each)])
-                ends.append(ends[-1] + len(out[-1]))
-            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out), pa.int32()))
-            done.append(texts.select(own).append_column("ids", made))
-            if pieces is not None:
-                if not held:
-                    held.append(piece_table(pieces.value))
-                done[-1] = done[-1].append_column("decoded", join_pieces(made, held[0]))
-        del table, place, values, texts, out
+                before = np.concatenate([[0], np.cumsum(each)])
+                found = values[np.arange(before[-1]) + np.repeat(starts[at] - before[:-1], each)]
+                made = pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), pa.array(found, pa.int32()))
+                columns = [*(texts[c] for c in own), made, *([join_pieces(made, held[0])] if pieces is not None else [])]
+                done.append(pa.RecordBatch.from_arrays(columns, [*own, "ids", *(["decoded"] if pieces is not None else [])]))
+        del known, ids, lengths, values, starts, places
         common.trim()
-        return pa.concat_tables(done)
+        return pa.Table.from_batches(done)
 
     return run
 
