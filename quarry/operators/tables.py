@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs
@@ -27,6 +27,22 @@ def normalise(staged: DataFrame, source_ref: str) -> DataFrame:
     return read.withColumn("promoted", kept).withColumn("tags", found).withColumn("source_ref", F.lit(source_ref)).drop("__read")
 
 
+#: Stands between a part's key and its source number; no key holds it.
+LISTED = "@"
+
+
+def listings(staged: DataFrame) -> DataFrame:
+    """Staged parts keyed by ``xid`` and the source's number, for tables with a row for each part that
+    the source lists: numbers that differ in nothing but where they are parted, such as A1-23
+    and A12-3, have one ``xid``. ``part_key`` gives the key without it."""
+    return staged.withColumn("xid", F.concat("xid", F.lit(LISTED), F.coalesce("lcsc_id", F.lit(""))))
+
+
+def part_key(listed: Column) -> Column:
+    """The ``xid`` of a part whose key is that of ``listings``."""
+    return F.substring_index(listed, LISTED, 1)
+
+
 def entity_tables(staged: DataFrame) -> dict[str, DataFrame]:
     """Node and edge tables of normalised parts, by name. Of rows with one ``xid`` the last by
     ``lcsc_id`` gives the scalars; edges of all of them count."""
