@@ -36,8 +36,6 @@ from pyspark.sql import functions as F
 from . import common
 from .labelled import training_rows
 
-#: At most about so many labelled documents of each class are learned from.
-MAX_LABELLED = 20_000
 THRESHOLD = 0.7
 PREFIXES = range(4, 8)
 #: Of all patterns tried, so many at most are expected to look as toxic by luck.
@@ -248,8 +246,8 @@ def learn_patterns(training: DataFrame) -> list[tuple[str, float]]:
     """Patterns that are toxic beyond chance, in both folds, with their log odds.
 
     A word is read by its heaviest pattern, so a pattern that begins with one of at least
-    its weight decides nothing and is left out. What remains is as many as the bounded
-    sample bears out.
+    its weight decides nothing and is left out. What remains is as many as the labelled
+    documents bear out.
     """
     totals = {r["label"]: r["count"] for r in training.groupBy("label").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
@@ -274,18 +272,38 @@ def learn_patterns(training: DataFrame) -> list[tuple[str, float]]:
     return [(r["pattern"], r["weight"]) for r in found.join(implied, "pattern", "left_anti").collect()]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Weights of a logistic regression, the intercept last, by Newton's method. A feature whose
-    weight would be negative is left out, the most negative first."""
-    used = list(range(x.shape[1]))
+def _newton(rows: DataFrame, names: list[str], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the log likelihood of ``rows`` (label, names, n) at weights ``w``, summed
+    where the rows lie; one row a task reaches the driver."""
+    k = len(w)
+
+    def run(batches):
+        sums = np.zeros(k + k * k)
+        for b in batches:
+            a = np.column_stack([*(b[c].to_numpy() for c in names), np.ones(b.num_rows)])
+            p, n = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30))), b["n"].to_numpy()
+            sums += np.concatenate([a.T @ (n * (b["label"].to_numpy() - p)), ((a.T * (n * (p * (1 - p) + 1e-9))) @ a).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    sums = np.sum([r["sums"] for r in rows.mapInArrow(run, "sums array<double>").collect()], axis=0)
+    return sums[:k], sums[k:].reshape(k, k)
+
+
+def fit(rows: DataFrame, names: list[str], ridge: float = 1e-2) -> np.ndarray:
+    """Weights of a logistic regression of ``label`` on the columns ``names``, the intercept last, by Newton's
+    method; a row counts ``n`` times. A feature whose weight would be negative is left out, the most
+    negative first."""
+    used = list(range(len(names)))
     while True:
-        a = np.hstack([x[:, used], np.ones((len(x), 1))])
-        w, keep = np.zeros(a.shape[1]), ridge * np.eye(a.shape[1])
+        w, keep = np.zeros(len(used) + 1), ridge * np.eye(len(used) + 1)
         for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            w = w + np.linalg.solve((a.T * (p * (1 - p) + 1e-9)) @ a + keep, a.T @ (y - p) - keep @ w)
+            gradient, curvature = _newton(rows, [names[i] for i in used], w)
+            step = np.linalg.solve(curvature + keep, gradient - keep @ w)
+            w = w + step
+            if np.abs(step).max() < 1e-10:
+                break
         if not used or w[:-1].min() >= 0:
-            out = np.zeros(x.shape[1] + 1)
+            out = np.zeros(len(names) + 1)
             out[[*used, -1]] = w
             return out
         used.pop(int(w[:-1].argmin()))
@@ -317,17 +335,18 @@ def features(docs: DataFrame, patterns: list[tuple[str, float]], extra: str) ->
 
 
 def train(docs: DataFrame, labels: DataFrame, training) -> Model:
-    """Patterns and regression weights from bounded samples of labelled documents.
+    """Patterns and regression weights from all labelled documents.
 
     ``training`` is a condition on the labels' doc_id. Without documents of both
     classes only the seed lexicon counts.
     """
-    sample = common.stage_table(training_rows(docs, labels, "toxic", training, MAX_LABELLED), "labelled")
-    patterns = learn_patterns(sample)
-    rows = np.array([list(r) for r in features(sample, patterns, "label").collect()], float)  # at most 2 * MAX_LABELLED rows of 5 numbers
-    if not len(rows) or len(set(rows[:, 0])) < 2:
+    labelled = common.stage_table(training_rows(docs, labels, "toxic", training), "labelled")
+    patterns = learn_patterns(labelled)
+    rows = features(labelled, patterns, "label").groupBy("label", *FEATURES).agg(F.count("*").alias("n"))  # most documents match nothing and are one row
+    rows = common.stage_table(rows, "features")
+    if rows.select("label").distinct().count() < 2:
         return Model(patterns, [1.0, 1.5, 0.0, -3.0])
-    return Model(patterns, fit(rows[:, 1:-1], rows[:, 0]).tolist())
+    return Model(patterns, fit(rows, list(FEATURES[:-1])).tolist())
 
 
 def _scorer(model: Model):
