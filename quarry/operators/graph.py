@@ -15,7 +15,7 @@ def two_hop(edges: DataFrame) -> DataFrame:
 
 
 #: Nodes of a frontier, or pairs, that may be sent to every task.
-FEW = 200_000
+FEW = 500_000
 
 
 def _few(rows: DataFrame, n: int) -> DataFrame:
@@ -32,19 +32,27 @@ class _Search:
     def __init__(self, edges: DataFrame, roots: DataFrame, name: str):
         self.edges, self.name, self.depth = edges, name, 0
         first = roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(roots.schema["root"].dataType).alias("prev"))
-        self.frontier, seen = stage_observed(first.distinct(), f"{name}_0")
-        self.size, self.reached = seen["rows"], self.frontier
+        self._at(first.distinct(), f"{name}_0")
+        self.reached = self.frontier
 
-    def step(self, live: DataFrame | None = None) -> None:
-        """One level on, from the roots in ``live`` if it is given."""
+    def _at(self, rows: DataFrame, name: str) -> None:
+        """``rows`` are the frontier; ``nodes`` (node, roots) its distinct nodes, with how many roots are at each."""
+        self.frontier, seen = stage_observed(rows, name)
+        self.size = seen["rows"]
+        self.nodes, seen = stage_observed(self.frontier.groupBy("node").agg(F.count("*").alias("roots")), f"{name}_nodes")
+        self.width = seen["rows"]
+
+    def cut(self, live: DataFrame, n: int) -> None:
+        """Go on from the ``n`` roots ``live`` alone."""
+        self._at(self.frontier.join(_few(live, n), "root", "left_semi"), f"{self.name}_{self.depth}_live")
+
+    def step(self) -> None:
+        """One level on."""
         self.depth += 1
         from_ = self.frontier.select("root", F.col("node").alias("prev"))
-        if live is not None:
-            from_ = from_.join(live, "root", "left_semi")
         met = self.edges.join(_few(from_, self.size), self.edges["src"] == F.col("prev")).groupBy("root", F.col("dst").alias("node")).agg(F.min("prev").alias("prev"))
         new = met.join(self.reached.select("root", "node"), ["root", "node"], "left_anti")
-        self.frontier, seen = stage_observed(new.select("root", "node", F.lit(self.depth).alias("depth"), "prev"), f"{self.name}_{self.depth}")
-        self.size = seen["rows"]
+        self._at(new.select("root", "node", F.lit(self.depth).alias("depth"), "prev"), f"{self.name}_{self.depth}")
         if self.size:
             self.reached = self.reached.unionByName(self.frontier)
 
@@ -93,33 +101,57 @@ def paths(edges: DataFrame, source: DataFrame, hops: int) -> DataFrame:
 def between(edges: DataFrame, pairs: DataFrame, hops: int) -> DataFrame:
     """(src, dst, hops, path): one shortest path of up to ``hops`` edges for each pair (src, dst) of a table.
 
-    The search goes forth from all sources and back from all targets at once, level by level;
-    each round the side with the smaller frontier goes on, from the roots of pairs that have
-    not met. Every pair's searches are whole levels, so the first level at which they share a
-    node is the shortest way; of the shared nodes the least is taken, and the path is walked
-    from it to both ends along the least predecessors. Pairs that are not within reach, and
-    those with a null, give no row; a pair that is twice there gives one. ``path`` is the
-    array of its nodes; that of a node to itself is the node alone.
+    The search goes forth from all sources and back from all targets at once, level by level,
+    from the roots of pairs that have not met. Each round asks which pairs' last levels are
+    joined by an edge, so the largest level, the last, is never made; then the side with
+    fewer edges ahead goes on. Every pair's searches are whole levels, so the first edge is
+    of the shortest way; of several the least is taken, and the path is walked from its ends
+    along the least predecessors. Pairs that are not within reach, and those with a null, give
+    no row; a pair that is twice there gives one. ``path`` is the array of its nodes; that of
+    a node to itself is the node alone.
     """
-    edges = stage_table(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "edges")
-    open_, seen = stage_observed(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "pairs")
+    edges = stage_table(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"), "edges")
+    all_ = stage_table(pairs.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "pairs")
+    same = all_.where("src = dst").select("src", "dst", F.lit(0).alias("hops"), F.array("src").alias("path"))
+    open_, seen = stage_observed(all_.where("src <> dst"), "open")
     forth = _Search(edges, open_.select(F.col("src").alias("root")), "forth")
     back = _Search(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), open_.select(F.col("dst").alias("root")), "back")
     found = None
-    while True:
-        a = forth.reached.select(F.col("root").alias("src"), "node", F.col("depth").alias("da"))
-        b = back.reached.select(F.col("root").alias("dst"), "node", F.col("depth").alias("db"))
-        met = a.join(_few(open_, seen["rows"]), "src").join(b, ["dst", "node"]).groupBy("src", "dst").agg(F.min(F.struct((F.col("da") + F.col("db")).alias("hops"), "node")).alias("m"))
-        met = stage_table(met.select("src", "dst", F.col("m.hops").alias("hops"), F.col("m.node").alias("node")), "met")
+    while seen["rows"] and forth.depth + back.depth < hops and forth.size and back.size:
+        met = stage_table(_joined(edges, forth, back, open_, seen["rows"]), "met")
         found = met if found is None else found.unionByName(met)
         open_, seen = stage_observed(open_.join(met, ["src", "dst"], "left_anti"), "open")
-        if not seen["rows"] or forth.depth + back.depth >= hops or not (forth.size and back.size):
+        if not seen["rows"] or forth.depth + back.depth + 1 >= hops:
             break
-        side, end = (forth, "src") if forth.size <= back.size else (back, "dst")
-        side.step(open_.select(F.col(end).alias("root")).distinct())
-    half = forth.back(found.withColumnRenamed("src", "root"), "path").withColumnRenamed("root", "src")
-    whole = back.back(half.withColumnRenamed("dst", "root"), "rest").withColumnRenamed("root", "dst")
-    return whole.select("src", "dst", "hops", F.concat("path", F.slice(F.reverse("rest"), F.lit(2), F.greatest(F.size("rest"), F.lit(1)))).alias("path"))
+        for side, end in ((forth, "src"), (back, "dst")):
+            side.cut(open_.select(F.col(end).alias("root")).distinct(), seen["rows"])
+        ahead, behind = _ahead(edges, forth, back)
+        (forth if ahead <= behind else back).step()
+    if found is None:
+        return same
+    half = forth.back(found.select(F.col("src").alias("root"), "dst", "hops", F.col("u").alias("node"), "v"), "path").withColumnRenamed("root", "src")
+    whole = back.back(half.select("src", "hops", "path", F.col("dst").alias("root"), F.col("v").alias("node")), "rest").withColumnRenamed("root", "dst")
+    return whole.select("src", "dst", "hops", F.concat("path", F.reverse("rest")).alias("path")).unionByName(same)
+
+
+def _joined(edges: DataFrame, forth: _Search, back: _Search, open_: DataFrame, n: int) -> DataFrame:
+    """(src, dst, hops, u, v): of each of the ``n`` pairs ``open_`` whose frontiers an edge joins, the least such edge."""
+    near = edges.join(_few(forth.nodes.select(F.col("node").alias("src")), forth.width), "src", "left_semi")
+    near = near.join(_few(back.nodes.select(F.col("node").alias("dst")), back.width), "dst", "left_semi").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    wanted = open_.join(_few(back.frontier.select(F.col("root").alias("dst"), F.col("node").alias("v")), back.size), "dst")
+    from_ = forth.frontier.select(F.col("root").alias("src"), F.col("node").alias("u"))
+    met = near.join(_few(from_, forth.size), "u").join(_few(wanted, FEW + 1 if back.depth else n), ["src", "v"])  # a row a pair, at first
+    met = met.groupBy("src", "dst").agg(F.min(F.struct("u", "v")).alias("m"))
+    return met.select("src", "dst", F.lit(forth.depth + back.depth + 1).alias("hops"), "m.u", "m.v")
+
+
+def _ahead(edges: DataFrame, forth: _Search, back: _Search) -> tuple[int, int]:
+    """Edges that the next level of either side would follow; where frontiers are not few, their sizes."""
+    if max(forth.width, back.width) > FEW:
+        return forth.size, back.size
+    a, b = forth.nodes.select(F.col("node").alias("src"), F.col("roots").alias("a")), back.nodes.select(F.col("node").alias("dst"), F.col("roots").alias("b"))
+    sums = edges.join(F.broadcast(a), "src", "left").join(F.broadcast(b), "dst", "left").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    return sums["a"] or 0, sums["b"] or 0
 
 
 def hierarchy(categories: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+from quarry import staging
 from quarry.operators import graph
 
 
@@ -39,3 +40,14 @@ def test_distances(spark):
     assert {r["node"]: r["hops"] for r in got.collect()} == {n: d for n, d in bfs(edges, 0).items() if d <= 5}
     assert graph.distances(e, spark.createDataFrame([], "node long"), 5).count() == 0
     assert graph.between(e, spark.createDataFrame([], "src long, dst long"), 3).count() == 0
+
+
+def test_largest_level_is_not_made(spark):
+    """Two sources, 40 nodes each behind them and 4,000 ends behind those, of which 200 are asked for."""
+    edges = [(f"R{i}", f"M{i}-{k}") for i in (0, 1) for k in range(40)] + [(f"M{i}-{k}", f"E{k}-{j}") for i in (0, 1) for k in range(40) for j in range(100)]
+    pairs = [(f"R{j % 2}", f"E{j % 40}-{j}") for j in range(100)] + [("R0", f"E1-{j}") for j in range(100)] + [("R1", "none")]
+    with staging.recorded() as made:
+        got = graph.between(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "src string, dst string"), 3).collect()
+    assert {(r["src"], r["dst"]): r["hops"] for r in got} == dict.fromkeys(pairs[:-1], 2)
+    levels = [p for p in made if "-forth_" in p or "-back_" in p]
+    assert levels and max(spark.read.parquet(p).count() for p in levels) <= 200
