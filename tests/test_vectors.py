@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import staging
 from quarry.operators import search, vectors
 
 
@@ -57,6 +58,26 @@ def test_tiles_are_exact(spark, rows):
     assert small.tiles.groupBy("block").count().agg(F.max("count")).first()[0] <= 4
 
 
+def test_blocks_are_as_many_as_rows_ask_for(spark, rows):
+    """However many partitions there are, few queries are one block for each length, and floats travel as floats."""
+    v = spark.createDataFrame(rows, SCHEMA).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    q = v.where("vec_id % 3 = 0 AND vec_id < 1000 OR vec_id = 3006").withColumnRenamed("vec_id", "query_id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        with staging.recorded() as made:
+            near = got(vectors.Tiles(v).nearest(q, 5))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    held, asked = (spark.read.parquet(next(p for p in made if p.endswith(name))) for name in ("vector_tiles", "query_tiles"))
+    assert asked.select("block").distinct().count() == 2
+    assert held.select("block").distinct().count() <= 6  # 64 cells and one, 16 tiles a block
+    assert held.where("octet_length(unit) <> 4 * dim * size(ids)").count() == 0
+    single = lambda w: None if w is None else [x if x is None else float(np.float32(x)) for x in w]
+    plain = [(r["query_id"], list(r["embedding"])) for r in q.collect()]
+    assert near == brute(plain, [(i, single(w)) for i, w, _ in rows], 5)
+
+
 def test_far_tiles_are_skipped(monkeypatch, rows):
     import pyarrow as pa
 
@@ -118,6 +139,18 @@ def test_semantic_filters_and_orders(spark, parts):
             assert have == (sorted(want(query, v, text), key=key) if key else want(query, v, text))
 
 
+def test_equal_requests_share_their_vectors(spark, parts):
+    """Many queries of one quantity: vectors are held once for all of them."""
+    rng = np.random.default_rng(3)
+    vectors_ = spark.createDataFrame([(f"x{i:03d}", v.tolist()) for i, v in enumerate(rng.standard_normal((300, 4)))], "xid string, embedding array<double>")
+    values = spark.createDataFrame([(f"x{i:03d}", "resistance", 10.0) for i in range(300)], "xid string, parameter string, value double")
+    q = spark.createDataFrame([(i, rng.standard_normal(4).tolist(), "10ohm") for i in range(50)], "query_id long, embedding array<double>, raw_query string")
+    with staging.recorded() as made:
+        assert search.semantic(q, vectors_, parts, values, limit=3).count() == 150
+    bound = [p for p in made if p.endswith("bound_vectors")]
+    assert bound and spark.read.parquet(bound[0]).count() == 300
+
+
 def test_presence_and_absence(parts):
     """Columns that must or must not be null."""
     have = {r["xid"] for r in search.filtered(parts, has=("price_usd",), lacks=("package",)).collect()}
