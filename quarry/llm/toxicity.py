@@ -217,6 +217,8 @@ class Matcher:
         return math.log1p(sum(weights)), max(weights), math.log1p(sum(x >= 1 for x in weights)), threat
 
 
+#: Patterns that a task counts before it sends them on.
+COUNTED = 100_000
 COUNTS = ("clean_0", "toxic_0", "clean_1", "toxic_1")
 
 
@@ -224,9 +226,13 @@ def pattern_counts(training: DataFrame) -> DataFrame:
     """(pattern, clean_0, toxic_0, clean_1, toxic_1): distinct texts of each fold, 0 or 1, that hold each
     word (=) and word beginning (^)."""
 
+    def rows_of(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        table = np.array(list(counts.values()), np.int64).reshape(-1, len(COUNTS))
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), *(pa.array(table[:, i]) for i in range(len(COUNTS)))], ["pattern", *COUNTS])
+
     def run(batches):
+        counts: dict[str, list[int]] = {}
         for b in common.sliced(batches, "text"):
-            counts: dict[str, list[int]] = {}
             for text, label in zip(b["text"].to_pylist(), b["label"].to_pylist(), strict=True):
                 found, fold = set(), zlib.crc32((text or "").encode()) & 1
                 for w in {w.strip(_EDGE) for w in (text or "").lower().split()}:
@@ -235,11 +241,13 @@ def pattern_counts(training: DataFrame) -> DataFrame:
                         found.update(f"^{w[:k]}" for k in PREFIXES if len(w) > k)
                 for p in found:
                     counts.setdefault(p, [0, 0, 0, 0])[2 * fold + label] += 1
-            table = np.array(list(counts.values()), np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), *(pa.array(table[:, i]) for i in range(len(COUNTS)))], ["pattern", *COUNTS])
+            if len(counts) >= COUNTED:
+                yield rows_of(counts)
+                counts.clear()
+        yield rows_of(counts)
 
-    per_batch = training.select("text", "label").distinct().mapInArrow(run, f"pattern string, {', '.join(f'{c} long' for c in COUNTS)}")
-    return per_batch.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    per_task = training.select("text", "label").distinct().mapInArrow(run, f"pattern string, {', '.join(f'{c} long' for c in COUNTS)}")
+    return per_task.groupBy("pattern").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def learn_patterns(training: DataFrame) -> list[tuple[str, float]]:
